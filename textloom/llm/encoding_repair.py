@@ -177,14 +177,12 @@ class Repairer:
             scores[w][k] = x - LOST * lost
         self.options.update({w: (scores[w], undone[w]) for w in new})
 
-    def line(self, line: str) -> tuple[str | None, float, bool]:
-        """What the line was, null when it is fine as it is; by how much the result is
-        likelier; whether an 8-bit chain took part. Empty when it can't be regained."""
+    def _decoded(self, line: str) -> tuple[str | None, float, bool]:
+        """The likeliest reading of the line (lost bytes are U+FFFD), null if that is
+        the line itself; by how much it is likelier; whether an 8-bit chain took part."""
         words = re.split("([ \t\r]+)", line)
         odd = [i for i in range(0, len(words), 2) if not words[i].isascii()]
-        asked = [w for w in words[::2] if _ASKED.match(w)]
-        if "�" in line or len(asked) > 1 or asked and max(map(len, asked)) > 4:
-            return "", 99.0, False
+        self.learn({words[i] for i in odd})
         if not odd or not any(self.asis[words[i]] < SUSPECT * (len(words[i]) + 1) or _strange(words[i]) for i in odd):
             return None, 0.0, False
         self._learn_options({words[i] for i in odd})
@@ -210,8 +208,16 @@ class Repairer:
             return None, gain, True
         for i, k in zip(odd, reversed(path)):
             words[i] = self.options[words[i]][1][k]
-        out = "".join(words)
-        return ("" if "�" in out else out), gain, bool(changed)
+        return "".join(words), gain, bool(changed)
+
+    def line(self, line: str) -> tuple[str | None, float, bool]:
+        """What the line was, null when it is fine as it is; by how much the result is
+        likelier; whether an 8-bit chain took part. Empty when it can't be regained."""
+        asked = [w for w in line.split() if _ASKED.match(w)] if "??" in line else []
+        if "�" in line or len(asked) > 1 or asked and max(map(len, asked)) > 4:
+            return "", 99.0, False
+        was, gain, eight_bit = self._decoded(line)
+        return ("" if was is not None and "�" in was else was), gain, eight_bit
 
     def lines(self, text: str) -> dict[int, str]:
         """Garbled lines of a text, by number from 1, with what they were."""
@@ -226,11 +232,15 @@ class Repairer:
         self.learn({w for t in texts if t and not t.isascii() for w in re.split("[ \t\r\n]+", t) if not w.isascii()})
 
     def text(self, text: str) -> str:
-        """The text with its garbled lines restored where possible."""
-        found = {k: v for k, v in self.lines(text).items() if v}
-        if not found:
-            return text
-        return "\n".join(found.get(k, line) for k, line in enumerate(text.split("\n"), 1))
+        """The text with its garbled lines restored as far as possible: of a line that
+        lost bytes, what is left of it."""
+        lines = text.split("\n")
+        for k, was in self.lines(text).items():
+            if not was:
+                rest, gain, eight_bit = self._decoded(lines[k - 1].replace("�", ""))
+                was = rest.replace("�", "") if rest is not None and gain > self.margins[eight_bit] else lines[k - 1]
+            lines[k - 1] = was
+        return "\n".join(lines)
 
 
 def validate_margins(model: CharModel, lines: list[str]) -> tuple[float, float]:

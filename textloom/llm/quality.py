@@ -49,7 +49,7 @@ def _ratio(text: Column, pattern: str, of: Column) -> Column:
 def statistics(df: DataFrame, common: list[str], text_col: str = "text") -> DataFrame:
     """``df`` with the columns of ``FEATURES``, all native."""
     lost = F.size(F.regexp_extract_all(text_col, F.lit(r"(?<![^\s\"'«(-])\?{2,}(?![?\w])"), F.lit(0)))
-    t = F.translate(F.regexp_replace(F.col(text_col), "\r", ""), "�", "a")
+    t = F.translate(F.regexp_replace(F.regexp_replace(F.col(text_col), "\r", ""), "��", "ta"), "�", "a")
     # words replaced by question marks: what is left of a text, not a pattern of symbols
     # words replaced by question marks: what is left of a text, not a pattern of symbols
     t = F.when(lost > 2, F.translate(F.regexp_replace(t, r"\?\?", "ta"), "?", "a")).otherwise(t)

@@ -11,6 +11,7 @@ from textloom.llm.seeds import SENTENCES
 
 STOPS = ".!?…。！？।؟"
 LETTERS = ("абвгдежзийклмнопрстуфхцчшщьюяіїєґ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "abcdefghijklmnopqrstuvwxyz")
+KEYBOARDS = ("qwertyuiop", "asdfghjkl;", "zxcvbnm,./", "йцукенгшщз", "фівапролджє", "ячсмитьбю.", "1234567890")
 SYMBOLS = "!#$%&*+-/<=>@[]^_{|}~\\"
 
 
@@ -118,7 +119,8 @@ def _junk(r: random.Random, words: list[str]) -> str:
         blank = r.choice((0.0, 0.03, 0.12))
         lines = ["".join(" " if r.random() < blank else r.choice(abc) for _ in range(r.randint(20, 70))) for _ in range(n)]
     elif kind == 3:
-        keys = ["".join(r.choice(abc) for _ in range(r.randint(3, 5))) for _ in range(5)] + ["qwert", "asdf", "123", "...", "!!!", r.choice(abc) * 3]
+        rows = [row[i : i + r.randint(3, 6)] for row in KEYBOARDS for i in r.sample(range(7), 2)]
+        keys = r.sample(rows, r.randint(3, 6)) + r.sample(["123", "1234", "...", "!!!", r.choice(abc) * 3, "???", "--"], r.randint(1, 4))
         lines = [" ".join(r.choice(keys) for _ in range(r.randint(3, 12))) for _ in range(n)]
     elif kind == 4:
         lines = [r.choice(("*", "-", "=", "?", "0 0", "<>", "№", "#", "~", "xX")) * r.randint(0, 25) + str(r.randint(1000, 999999)) for _ in range(n)]
@@ -127,8 +129,8 @@ def _junk(r: random.Random, words: list[str]) -> str:
     elif kind == 8:
         lines = ["".join(r.choice(abc + abc.upper() + "..!!??") * r.randint(9, 50) for _ in range(r.randint(4, 20)))]
     elif kind == 6:
-        part = r.choice((r.choice(words), r.choice(abc) * r.randint(2, 4), "la" + r.choice(abc), r.choice(words) + r.choice("!.- ")))
-        lines = [r.choice((" ", "", "-")).join([part] * r.randint(6, 30)) for _ in range(n)]
+        part = r.choice((r.choice(words), _entry(r, words), _entry(r, words), r.choice(abc) * r.randint(2, 4), "la" + r.choice(abc), r.choice(words) + r.choice("!.- ")))
+        lines = [r.choice((" ", "", "-", ", ", "\n", "\n")).join([part] * r.randint(6, 30)) for _ in range(n)]
     else:
         lines = ["".join(r.choice(abc + abc.upper() + SYMBOLS + "0123456789    ") for _ in range(r.randint(10, 60))) for _ in range(n)]
     return "\n".join(lines)
