@@ -304,9 +304,12 @@ def garbled_lines(df: DataFrame, id_col: str = "request_id", text_col: str = "te
     return src.mapInArrow(run, f"id {kind}, line_no int, restored string").withColumnRenamed("id", id_col)
 
 
+_ODD = re.compile("[\xa0\xad\u02bb-\u02bd\u0370-\u03ff\u2000-\u206f\u3000\ufb00-\uffff]|[A-Za-z][\u0400-\u04ff]|[\u0400-\u04ff][A-Za-z]|[\u0405\u0408\u0455\u0458]")
+
+
 def legible(text: str) -> str:
     """The text with odd blanks, width forms and look-alike letters as a reader sees them."""
-    return text if text.isascii() else "".join(x if x.isascii() else readable(x) for x in re.split("([ \t\r\n]+)", text))
+    return text if text.isascii() or not _ODD.search(text) else "".join(x if x.isascii() else readable(x) for x in re.split("([ \t\r\n]+)", text))
 
 
 def restored_texts(df: DataFrame, id_col: str = "request_id", text_col: str = "text", fitted: tuple[CharModel, tuple[float, float]] | None = None, clear: bool = False) -> DataFrame:
