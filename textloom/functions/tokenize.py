@@ -42,7 +42,7 @@ def sentences(text: Column, separator: str | None = None, newline: str = " ") ->
     if separator:
         kept = F.regexp_replace(kept, rf"\.{MARK} ", f"{MARK} ")
     parts = F.split(kept, rf"{MARK}{SPACE}*")
-    parts = F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, rf"{SPACE}$", ""), "\n", newline))
+    parts = F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, rf"{SPACE}+\z", ""), "\n", newline))
     return F.filter(parts, lambda s: s.rlike(rf"[^ \t\n\r\f\x0B]"))
 
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from textloom.functions import normalize as N
 
@@ -221,7 +223,7 @@ def rank_sentences(sents: DataFrame, word_stats: DataFrame, word_ctx_stats: Data
     decimals of the share of each token's readings."""
     s = load(word_stats, word_ctx_stats)
     held = sents.sparkSession.sparkContext.broadcast((dict(s.word), dict(s.tag), dict(s.suffix), dict(s.paradigm), {k: {a: dict(b) for a, b in v.items()} for k, v in s.ctx.items()}))
-    schema = sents.schema.add("rates", "array<array<double>>")
+    schema = StructType([*sents.schema.fields, StructField("rates", ArrayType(ArrayType(DoubleType())))])
 
     def run(batches):
         x = Statistics([], [])
@@ -236,7 +238,5 @@ def rank_sentences(sents: DataFrame, word_stats: DataFrame, word_ctx_stats: Data
                     t["readings"] = [t["readings"][k] for _, k in rates] if t["readings"] else t["readings"]
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(schema)
     return sents.mapInArrow(run, schema)

@@ -80,26 +80,38 @@ class Lexicon:
         return False
 
 
-def rewrite(df: DataFrame, steps: list[Rewrite], lexicons: dict[str, DataFrame], text_col: str = "text", limit: int = BROADCAST_FORMS) -> DataFrame:
+class Prepared:
+    """Lexicons made ready for rewrites: broadcast, or the table if they are too large."""
+
+    def __init__(self, lexicons: dict[str, DataFrame], limit: int = BROADCAST_FORMS):
+        self.table, self.held = None, None
+        for lang, x in lexicons.items():
+            f = forms(x).select(F.lit(lang).alias("lang"), "form")
+            self.table = f if self.table is None else self.table.unionByName(f)
+        if self.table is None:
+            return
+        rows = self.table.limit(limit + 1).toArrow()
+        if rows.num_rows <= limit:
+            answers: dict[str, set] = {}
+            for lang, form in zip(rows.column("lang").to_pylist(), rows.column("form").to_pylist()):
+                answers.setdefault(lang, set()).add(form)
+            self.held = self.table.sparkSession.sparkContext.broadcast(answers)
+
+
+def rewrite(df: DataFrame, steps: list[Rewrite], lexicons: dict[str, DataFrame] | Prepared, text_col: str = "text", limit: int = BROADCAST_FORMS) -> DataFrame:
     """``df`` with ``text_col`` rewritten by the steps in order. Null stays null."""
-    table = None
-    for lang, x in lexicons.items():
-        f = forms(x).select(F.lit(lang).alias("lang"), "form")
-        table = f if table is None else table.unionByName(f)
-    if table is None or table.limit(limit + 1).count() <= limit:
-        answers: dict[str, set] = {}
-        for r in table.toLocalIterator() if table is not None else ():
-            answers.setdefault(r.lang, set()).add(r.form)
-        held = df.sparkSession.sparkContext.broadcast(answers)
-
-        def apply(text, _):
-            x = Lexicon(held.value)
-            for s in steps:
-                text = s(text, x)
-            return text, []
-
-        return _pass(df, text_col, apply).drop("__told", "__asked")
-    return _in_rounds(df, steps, table, text_col)
+    p = lexicons if isinstance(lexicons, Prepared) else Prepared(lexicons, limit)
+    if p.table is not None and p.held is None:
+        return _in_rounds(df, steps, p.table, text_col)
+    held = p.held
+
+    def apply(text, _):
+        x = Lexicon(held.value if held else {})
+        for s in steps:
+            text = s(text, x)
+        return text, []
+
+    return _pass(df, text_col, apply).drop("__asked")
 
 
 def _pass(df: DataFrame, text_col: str, apply, told: bool = False) -> DataFrame:

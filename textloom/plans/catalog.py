@@ -1,9 +1,19 @@
 """All queries of the library by name, with their SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
+from inspect import getmembers, isfunction
 
+from textloom.plans import queries as Q
+from textloom.plans.sql import oracle_sql as _sql
 
-def oracle_sql() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable]:
+    """Every public function of the query module, in order of definition."""
+    own = [(f.__code__.co_firstlineno, n, f) for n, f in getmembers(Q, isfunction) if f.__module__ == Q.__name__ and not n.startswith("_")]
+    return {n: f for _, n, f in sorted(own)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return _sql()

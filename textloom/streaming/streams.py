@@ -14,8 +14,13 @@ from textloom.operators.cleaning import native_clean
 
 
 def documents_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 100) -> DataFrame:
-    """Documents from parquet files as they arrive."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    """Documents from parquet files as they arrive in a folder; a single file is read as a
+    folder of which only that file counts."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile():
+        return r.option("pathGlobFilter", path.getName()).parquet(path.getParent().toString())
+    return r.parquet(folder)
 
 
 def text_stream(spark: SparkSession, folder: str) -> DataFrame:
