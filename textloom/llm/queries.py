@@ -81,7 +81,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize_ids.encode(table(spark, d, "documents"))
 
 
-def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose ids do not decode to their text: none."""
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("was"))
     back = tokenize_ids.decode_column(tokenize_ids.encode(table(spark, d, "documents")))

@@ -22,5 +22,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p5_terms": _TERMS + "SELECT term, occurrences, records, mark FROM marked",
         "p5_found": _TERMS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
-        "p8_decoded": "SELECT doc_id FROM documents WHERE false",
+        "p8_roundtrip": "SELECT doc_id FROM documents WHERE false",
     }
