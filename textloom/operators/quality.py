@@ -11,7 +11,7 @@ from textloom.functions.tokenize import UK
 ONLY_UK, ONLY_RU = "іїєґ", "ыэъё"
 SAMPLE = 1024 * 1024
 BROKEN = r"[ \t-](?:[вжтч]ання|[вжчт]ення|лись|н?ість|нів|н?ня|ної|ност[іи]|вської|обов(?!['’ʼ])|ств[оа]|ськ(?:а|ий|им|ого|ому|ої)|ться|[ює]ть|[єю]ться|ючи)(?![\p{L}\p{N}_])"
-PAGE_NUMBER = r"^[ \t]*[-_–—~][ \t]*[0-9]{1,4}[ \t]*[-_–—~][ \t]*$"
+PAGE_NUMBER = r"^[ \t]*[-_–—~][ \t]*[0-9]{1,4}[ \t]*[-_–—~][ \t]*\z"
 LONG_LINE, LONG_WORD = 4096, 36
 
 
@@ -20,7 +20,7 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    return F.split(text, "\n")
+    return F.split(text, "\r?\n")
 
 
 def ukrainian_words(text: Column) -> Column:

@@ -68,10 +68,9 @@ def tag(tokens: DataFrame, lexicon: DataFrame, single: bool = False, lemma_for_u
 def split_particles(tokens: DataFrame) -> DataFrame:
     """Particles as tokens of their own, with ``part_no`` and ``is_part``."""
     pieces = F.coalesce(T.split_particle(F.col("value")), F.array("value"))
-    t = tokens.select("*", F.posexplode_outer(pieces).alias("part_no", "__v"))
+    t = tokens.select("*", F.size(pieces).alias("__k"), F.posexplode_outer(pieces).alias("part_no", "__v"))
     t = t.withColumns({"value": F.coalesce("__v", "value"), "is_part": F.coalesce(F.col("part_no") > 0, F.lit(False))})
-    whole = F.size(pieces) < 2
-    return t.withColumns({"clean": F.when(F.col("is_part") | ~whole, F.col("value")).otherwise(F.col("clean")), "whitespace_before": F.col("whitespace_before") & ~F.col("is_part")}).drop("__v")
+    return t.withColumns({"clean": F.when(F.col("__k") > 1, F.col("value")).otherwise(F.col("clean")), "whitespace_before": F.col("whitespace_before") & ~F.col("is_part")}).drop("__v", "__k")
 
 
 def token_shape(readings: Column) -> Column:

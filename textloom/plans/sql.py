@@ -151,8 +151,8 @@ def oracle_sql() -> dict[str, str]:
         "clean_lone_latin": _clean(_LONE),
         "clean_dos_newlines": "SELECT request_id, regexp_matches(text, '^[^\\n]*\\r\\n') AS dos FROM clean_requests",
         "homoglyph_translation": "SELECT DISTINCT form, translate(form, 'асеіорхуАВСЕНІКМОРТХУ', 'aceiopxyABCEHIKMOPTXY') AS latin, translate(translate(form, 'асеіорхуАВСЕНІКМОРТХУ', 'aceiopxyABCEHIKMOPTXY'), 'aceiopxyrABCEHIKMOPTXY', 'асеіорхугАВСЕНІКМОРТХУ') AS back FROM lexicon_uk",
-        "quality_lines": f"""SELECT request_id, len(list_filter({_LINES}, lambda x: regexp_matches(x, '^[ \\t]*[-_–—~][ \\t]*[0-9]{{1,4}}[ \\t]*[-_–—~][ \\t]*\\z'))) AS page_numbers, len(list_filter({_LINES}, lambda x: length(x) > 4096)) AS long_lines,
-            list_max(list_transform({_LINES}, lambda x: length(x))) AS longest, len(list_filter({_LINES}, lambda x: regexp_matches(x, '[{T.UK}''’ʼ]{{36}}'))) AS long_words FROM (SELECT request_id, coalesce(text, '') AS text FROM clean_requests)""",
+        "quality_lines": f"""SELECT request_id, len(list_filter(regexp_split_to_array(text, '\\r?\\n'), lambda x: regexp_matches(x, '^[ \\t]*[-_–—~][ \\t]*[0-9]{{1,4}}[ \\t]*[-_–—~][ \\t]*\\z'))) AS page_numbers, len(list_filter(regexp_split_to_array(text, '\\r?\\n'), lambda x: length(x) > 4096)) AS long_lines,
+            list_max(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x: length(x))) AS longest, len(list_filter(regexp_split_to_array(text, '\\r?\\n'), lambda x: regexp_matches(x, '[{T.UK}''’ʼ]{{36}}'))) AS long_words FROM (SELECT request_id, coalesce(text, '') AS text FROM clean_requests)""",
         "word_count_gate": "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[^А-ЯІЇЄҐа-яіїєґё''’ʼ\\x{301}-]+'), lambda w: regexp_matches(w, '^[А-ЩЬЮЯІЇЄҐа-щьюяіїєґ][А-ЩЬЮЯІЇЄҐа-щьюяіїєґ''’ʼ\\x{301}-]+\\z'))) AS n_words FROM documents",
         "alphabet_gate": "WITH c AS (SELECT doc_id, length(regexp_replace(lower(text), '[^іїєґ]', '', 'g')) AS n_uk, length(regexp_replace(lower(text), '[^ыэъё]', '', 'g')) AS n_ru FROM documents) SELECT doc_id, n_uk, n_ru, n_uk >= 5 AND n_uk >= n_ru AS ok FROM c",
         "leftover_marks": f"""SELECT count_if(regexp_matches(text, '[\\x{{00}}-\\x{{08}}\\x{{0B}}-\\x{{12}}\\x{{14}}-\\x{{1F}}]')) AS has_control, count_if(regexp_matches(text, '[\\x{{E000}}-\\x{{F8FF}}]')) AS has_private, count_if(contains(text, chr(173))) AS has_soft_hyphen, count_if(contains(text, '¬')) AS has_not_sign,

@@ -23,7 +23,7 @@ def word_statistics(spark: SparkSession, path: str, version: str | None = None)
         found = head.line.removeprefix("# version: ").strip() if head and head.line.startswith("# version: ") else ""
         if found != version:
             raise ValueError(f"statistics of version {found!r}, not {version!r}")
-    body = lines.filter("not line like '#%'").withColumn("p", F.split(F.trim("line"), r"\h+"))
+    body = lines.filter("not line like '#%'").withColumn("p", F.split(F.regexp_replace("line", r"^\h+|\h+$", ""), r"\h+"))
     head = ~F.col("line").startswith("\t")
     words = body.filter(head).select(F.col("p")[0].alias("word"), F.col("p")[1].alias("lemma"), F.col("p")[2].alias("postag"), F.col("p")[3].cast("double").alias("rate"))
     # the head line of each context line is the last one before it; one file is one group
@@ -35,7 +35,7 @@ def word_statistics(spark: SparkSession, path: str, version: str | None = None)
 
 def suffix_statistics(spark: SparkSession, path: str) -> DataFrame:
     """``(suffix, add_del, postag, cnt)`` of a file of four fields."""
-    p = _numbered(spark, path).filter("not line like '#%'").select(F.split(F.trim("line"), r"\h+").alias("p"))
+    p = _numbered(spark, path).filter("not line like '#%'").select(F.split(F.regexp_replace("line", r"^\h+|\h+$", ""), r"\h+").alias("p"))
     return p.filter(F.size("p") >= 4).select(F.col("p")[0].alias("suffix"), F.col("p")[1].alias("add_del"), F.col("p")[2].alias("postag"), F.col("p")[3].cast("int").alias("cnt"))
 
 
@@ -49,7 +49,7 @@ def semantic_tags(spark: SparkSession, path: str, pos: str) -> DataFrame:
 
 def derivations(spark: SparkSession, path: str) -> DataFrame:
     """``(advp_lemma, verb_lemma)``."""
-    return _numbered(spark, path).select(F.split(F.trim("line"), r"\h+").alias("p")).select(F.col("p")[0].alias("advp_lemma"), F.col("p")[1].alias("verb_lemma"))
+    return _numbered(spark, path).select(F.split(F.regexp_replace("line", r"^\h+|\h+$", ""), r"\h+").alias("p")).select(F.col("p")[0].alias("advp_lemma"), F.col("p")[1].alias("verb_lemma"))
 
 
 def ud_map(spark: SparkSession, path: str) -> DataFrame:
