@@ -47,6 +47,8 @@ CHAINS = [(w, r) for w, rs in WRITTEN_READ.items() for r in rs] + list(TWICE)
 SWITCH, LOST = 6.0, 9.0
 #: Lines drawn to validate the margin (a bounded sample; the model itself counts all lines).
 VALIDATE_LINES = 1500
+#: Texts whose words are scored together.
+TOGETHER = 500
 #: Log-probability per character under which a word makes its line suspect.
 SUSPECT = -4.0
 #: Log-probability per character that the words changed by 8-bit chains must reach together.
@@ -112,22 +114,32 @@ def _inked() -> tuple[dict, dict, dict]:
     return plain, latin, {ord(base): next(c for c in same if "Ѐ" <= c <= "ӿ") for base, same in SAME_SHAPE.items() if base.isascii() and any("Ѐ" <= c <= "ӿ" for c in same)}
 
 
+@functools.cache
+def _known_chars() -> re.Pattern:
+    """A word of characters that clean text has, and no others."""
+    ok = char_classes()[0]
+    return re.compile("[" + re.escape("".join(chr(p) for p in range(0x3000) if ok[p])) + "\u3000-\ud7ff\U00020000-\U0002ffff]*")
+
+
 def _strange(word: str) -> bool:
     """Whether the word holds a character that clean text does not."""
-    ok = char_classes()[0]
-    return not all(ok[ord(c)] for c in readable(word))
+    return _known_chars().fullmatch(word) is None
+
+
+_LATIN, _CYRILLIC = re.compile("[A-Za-z]"), re.compile("[Ѐ-ӿ]")
+_PLAIN = re.compile("[\x20-\x7eА-яЁёІіЇїЄєҐґ«»—–…’]*")
 
 
 def readable(word: str) -> str:
     """The word as a reader sees it, for scoring it as it is: writing with odd blanks
     or look-alike letters is no encoding error."""
     plain, latin, cyrillic = _inked()
-    word = word.translate(plain)
-    a = sum(c.isascii() and c.isalpha() for c in word)
-    b = sum("Ѐ" <= c <= "ӿ" for c in word)
-    if a and b:
-        return word.translate(latin if a >= b else cyrillic)
-    return word.translate(latin) if a else word
+    if not _PLAIN.fullmatch(word):
+        word = word.translate(plain)
+    if not _LATIN.search(word):
+        return word
+    a, b = len(_LATIN.findall(word)), len(_CYRILLIC.findall(word))
+    return word.translate(cyrillic if b > a else latin)
 
 
 
@@ -143,33 +155,44 @@ def garble(s: str, chain: tuple[str, ...]) -> str | None:
     return s
 
 
+_BLANKS = re.compile("([ \t\r]+)")
+_ALL_BLANKS = re.compile("[ \t\r\n]+")
+
+
 class Repairer:
-    """Restores lines by the model; one object serves a task, with a bounded cache."""
+    """Restores lines by the model; one object serves a task, with bounded caches."""
 
-    HELD = 100_000
+    HELD, OPTIONS_HELD, SLICE = 100_000, 20_000, 2_000
 
     def __init__(self, model: CharModel, margins: tuple[float, float]):
         self.model, self.margins = model, margins
-        self.asis: dict[str, float] = {}
+        self.suspect: dict[str, bool] = {}
         self.options: dict[str, tuple[np.ndarray, list]] = {}
 
     def learn(self, words: set[str]) -> None:
-        """Scores of the words as they are, all at once."""
-        if len(self.asis) > self.HELD:
-            self.asis.clear()
-        new = [w for w in words if w not in self.asis]
-        self.asis.update(zip(new, self.model.scores([readable(w) for w in new]).tolist()))
+        """Which of the words make their line suspect: unlikely as they are, or with a
+        character that clean text does not have."""
+        new = [w for w in words if w not in self.suspect]
+        if not new:
+            return
+        plain = [readable(w) for w in new]
+        scores = self.model.scores(plain).tolist()
+        self.suspect.update((w, x < SUSPECT * (len(w) + 1) or _strange(p)) for w, p, x in zip(new, plain, scores))
 
     def _learn_options(self, words: set[str]) -> None:
-        if len(self.options) > self.HELD // 10:
-            self.options.clear()
+        """What each word is through every chain, with its score."""
         new = [w for w in words if w not in self.options]
-        texts, where = [], []
-        undone = {}
+        for k in range(0, len(new), self.SLICE):
+            self._learn_slice(new[k : k + self.SLICE])
+
+    def _learn_slice(self, new: list[str]) -> None:
+        texts, where, undone = [], [], {}
         for w in new:
             undone[w] = [w, *(None if w.isascii() else undo(w, c) for c in CHAINS)]
             for k, t in enumerate(undone[w]):
-                if t is not None and (not k or _plausible(CHAINS[k - 1], t)):
+                if t is not None and k and not _plausible(CHAINS[k - 1], t):
+                    undone[w][k] = None
+                elif t is not None:
                     texts.append(t.replace("�", "") if k else readable(t))
                     where.append((w, k, t.count("�")))
         scores = {w: np.full(len(CHAINS) + 1, -np.inf) for w in new}
@@ -180,10 +203,12 @@ class Repairer:
     def _decoded(self, line: str) -> tuple[str | None, float, bool]:
         """The likeliest reading of the line (lost bytes are U+FFFD), null if that is
         the line itself; by how much it is likelier; whether an 8-bit chain took part."""
-        words = re.split("([ \t\r]+)", line)
+        if line.isascii():
+            return None, 0.0, False
+        words = _BLANKS.split(line)
         odd = [i for i in range(0, len(words), 2) if not words[i].isascii()]
         self.learn({words[i] for i in odd})
-        if not odd or not any(self.asis[words[i]] < SUSPECT * (len(words[i]) + 1) or _strange(words[i]) for i in odd):
+        if not any(self.suspect[words[i]] for i in odd):
             return None, 0.0, False
         self._learn_options({words[i] for i in odd})
         best, back = self.options[words[odd[0]]][0].copy(), []
@@ -222,14 +247,35 @@ class Repairer:
     def lines(self, text: str) -> dict[int, str]:
         """Garbled lines of a text, by number from 1, with what they were."""
         out = {}
+        if "�" not in text and "??" not in text and not self._is_suspect(text):
+            return out
         for k, line in enumerate(text.split("\n"), 1):
             was, gain, eight_bit = self.line(line)
             if was is not None and gain > self.margins[eight_bit]:
                 out[k] = was.removesuffix("\r")
         return out
 
+    def _is_suspect(self, text: str) -> bool:
+        odd = () if text.isascii() else [w for w in _ALL_BLANKS.split(text) if not w.isascii()]
+        self.learn(set(odd))
+        return any(self.suspect[w] for w in odd)
+
     def prepare(self, texts: list[str | None]) -> None:
-        self.learn({w for t in texts if t and not t.isascii() for w in re.split("[ \t\r\n]+", t) if not w.isascii()})
+        """Learn about the words of some texts all at once; old words are forgotten here."""
+        odd = [[] if not t or t.isascii() else [w for w in _ALL_BLANKS.split(t) if not w.isascii()] for t in texts]
+        if len(self.suspect) > self.HELD:
+            self.suspect.clear()
+        if len(self.options) > self.OPTIONS_HELD:
+            self.options.clear()
+        self.learn({w for ws in odd for w in ws})
+        bad: set[str] = set()
+        for t, ws in zip(texts, odd):
+            if any(map(self.suspect.__getitem__, ws)):
+                for line in t.split("\n"):
+                    ws = [w for w in _BLANKS.split(line)[::2] if not w.isascii()]
+                    if any(map(self.suspect.__getitem__, ws)):
+                        bad.update(ws)
+        self._learn_options(bad)
 
     def text(self, text: str) -> str:
         """The text with its garbled lines restored as far as possible: of a line that
@@ -292,9 +338,11 @@ def garbled_lines(df: DataFrame, id_col: str = "request_id", text_col: str = "te
     def run(batches):
         r = Repairer(CharModel(held.value), margins)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            r.prepare(texts)
-            out = [(i, k, s) for i, t in zip(b.column(0).to_pylist(), texts) if t for k, s in r.lines(t).items()]
+            texts, out = b.column(1).to_pylist(), []
+            ids = b.column(0).to_pylist()
+            for k in range(0, len(texts), TOGETHER):
+                r.prepare(texts[k : k + TOGETHER])
+                out += [(i, n, s) for i, t in zip(ids[k : k + TOGETHER], texts[k : k + TOGETHER]) if t for n, s in r.lines(t).items()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in out], b.column(0).type), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.string())], names=["id", "line_no", "restored"]
             )
@@ -321,9 +369,11 @@ def restored_texts(df: DataFrame, id_col: str = "request_id", text_col: str = "t
     def run(batches):
         r = Repairer(CharModel(held.value), margins)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            r.prepare(texts)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t and (legible(r.text(t)) if clear else r.text(t)) for t in texts], pa.string())], names=["id", "text"])
+            texts, out = b.column(1).to_pylist(), []
+            for k in range(0, len(texts), TOGETHER):
+                r.prepare(texts[k : k + TOGETHER])
+                out += [t and (legible(r.text(t)) if clear else r.text(t)) for t in texts[k : k + TOGETHER]]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["id", "text"])
 
     kind = df.schema[id_col].dataType.simpleString()
     src = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))

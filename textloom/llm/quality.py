@@ -34,7 +34,7 @@ FEATURES = [
 ]
 _END = r"[.!?…。！？।؟:][\"'»”’)」』\]]*$"
 _LEAD = r"^([-•▪◦*·]|\d{1,3}[.)]|\p{L}\)|\[\d{1,3}\]|\(\d{1,3}\)) ?\p{L}"
-_NO_VOWEL = r"(?iu)[бвгджзйклмнпрстфхцчшщґbcdfghjklmnpqrstvwxz]{5,}|(\p{L})\1{2,}"
+_NO_VOWEL = r"[бвгджзйклмнпрстфхцчшщґbcdfghjklmnpqrstvwxz]{5,}|(\p{L})\1{2,}"
 _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
 
 
@@ -43,7 +43,7 @@ def _share(lines: Column, test) -> Column:
 
 
 def _ratio(text: Column, pattern: str, of: Column) -> Column:
-    return F.length(F.regexp_replace(text, pattern, "")) / F.greatest(of, F.lit(1))
+    return F.length(F.regexp_replace(text, f"{pattern}+", "")) / F.greatest(of, F.lit(1))
 
 
 def statistics(df: DataFrame, common: list[str], text_col: str = "text") -> DataFrame:
@@ -55,11 +55,12 @@ def statistics(df: DataFrame, common: list[str], text_col: str = "text") -> Data
     t = F.when(lost > 2, F.translate(F.regexp_replace(t, r"\?\?", "ta"), "?", "a")).otherwise(t)
     df = df.withColumn("__t", blank_to_null(t))
     df = df.withColumn("__lines", F.filter(F.transform(F.split("__t", "\n"), lambda x: F.regexp_replace(x, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")), lambda x: x != ""))
-    df = df.withColumn("__words", F.regexp_extract_all(F.lower("__t"), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)))
-    lines, words, t = F.col("__lines"), F.col("__words"), F.col("__t")
-    ink = F.length(F.regexp_replace(t, r"[\s\p{Z}]", ""))
+    df = df.withColumn("__low", F.lower("__t"))
+    df = df.withColumn("__words", F.regexp_extract_all("__low", F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)))
+    df = df.withColumns({"__letters": F.length(F.regexp_replace("__low", r"[^\p{L}]+", "")), "__ink": F.length(F.regexp_replace("__t", r"[\s\p{Z}]+", ""))})
+    lines, words, t, low, letters, ink = (F.col(f"__{c}") for c in ("lines", "words", "t", "low", "letters", "ink"))
+    found = lambda c, p: F.size(F.regexp_extract_all(c, F.lit(p), F.lit(0)))
     n = F.greatest(F.size(words), F.lit(1))
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
     tables = {
         "pipe_share": lambda x: x.rlike(r"\|.*\|| \| "),
         "tab_share": lambda x: x.contains("\t"),
@@ -76,23 +77,23 @@ def statistics(df: DataFrame, common: list[str], text_col: str = "text") -> Data
         "line_end_share": _share(lines, lambda x: x.rlike(_END)),
         "common_share": F.size(F.filter(words, lambda w: w.isin(common))) / n if common else F.lit(0.0),
         "words_a_line": F.size(words) / F.greatest(F.size(lines), F.lit(1)),
-        "letters_a_word": F.size(F.filter(words, lambda w: w.rlike(r"^\p{L}[\p{L}\p{M}]+$"))) / n,
+        "letters_a_word": found(t, r"(?<![\p{L}\p{M}\p{N}])\p{L}[\p{L}\p{M}]+(?!\p{N})") / n,
         "stop_rate": F.size(F.regexp_extract_all(t, F.lit(r"[\p{L}\p{M}\p{N})»”\"][.!?…]+(?=\s|$|[»”\"])|[。！？।؟]"), F.lit(0))) / F.greatest(F.size(lines), F.lit(1)),
         "short_line_share": _share(lines, lambda x: (F.length(x) < 36) & ~x.rlike(_END)),
         "lead_share": _share(lines, lambda x: x.rlike(_LEAD)),
         "distinct_share": F.size(F.array_distinct(words)) / n,
-        "hard_share": (letters - F.length(F.regexp_replace(F.regexp_replace(t, _NO_VOWEL, ""), r"[^\p{L}]", ""))) / F.greatest(letters, F.lit(1)),
-        "long_word_share": F.size(F.filter(words, lambda w: (F.length(w) > 24) & w.rlike(r"[a-zа-яіїєґ]"))) / n,
+        "hard_share": (letters - F.length(F.regexp_replace(F.regexp_replace(low, _NO_VOWEL, ""), r"[^\p{L}]+", ""))) / F.greatest(letters, F.lit(1)),
+        "long_word_share": found(low, r"[a-zа-яіїєґ0-9]{25,}") / n,
         "entry_chars": F.aggregate(F.filter(lines, lambda x: x.rlike(_LEAD) | (F.length(x) < 36) & ~x.rlike(_END)), F.lit(0), lambda a, x: a + F.length(x)) / F.greatest(F.length(t), F.lit(1)),
         "fill": F.length(t) / F.greatest(F.size(lines), F.lit(1)) / F.greatest(F.array_max(F.transform(lines, F.length)), F.lit(1)),
         "longest_line": F.array_max(F.transform(lines, F.length)),
-        "hex_share": F.size(F.filter(words, lambda w: w.rlike(r"^[0-9a-f]{2}$"))) / n,
+        "hex_share": found(low, r"(?<![\p{L}\p{N}])[0-9a-f]{2}(?![\p{L}\p{N}])") / n,
         "repeat_share": F.lit(1.0) - F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1)),
         "line_length": F.length(t) / F.greatest(F.size(lines), F.lit(1)),
     } | {k: _share(lines, f) for k, f in tables.items()}
     df = df.withColumns({k: F.when(t.isNotNull(), c.cast("double")) for k, c in stats.items()})
     df = df.withColumn("cell_share", F.greatest(*tables))
-    return df.drop("__t", "__lines", "__words")
+    return df.drop("__t", "__lines", "__words", "__low", "__letters", "__ink")
 
 
 def common_words(df: DataFrame, text_col: str = "text") -> list[str]:
