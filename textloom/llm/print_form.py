@@ -111,7 +111,9 @@ def _row_of(offs: np.ndarray) -> np.ndarray:
 def _expand(points: np.ndarray, offs: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarray]:
     # Hangul syllables are decomposed by arithmetic below when marks follow; here they stay whole
     after = np.append(points[1:], 0)
-    cr = (points == 13) & (after != 10)  # a lone carriage return is a line break
+    last = np.zeros(len(points), bool)
+    last[offs[1:][offs[1:] > offs[:-1]] - 1] = True
+    cr = (points == 13) & ((after != 10) | last)  # a lone carriage return is a line break
     n = t["n"][points].astype(np.int64)
     n[cr] = 1
     at = np.concatenate([[0], np.cumsum(n)])

@@ -35,6 +35,7 @@ FINAL = {"etc", "usw", "itd", "itp", "ін", "інш", "др", "пр", "проч
 MONTHS = {"januar", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember"}
 QUOTES = {"«": "»", "„": "“”", "“": "”", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "《": "》"}
 CLOSERS = "»”“\"'’)]」』）》"
+VOWELS = set("аеєиіїоуюяыэёaeiouyąęóäöü")
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:[.'’ʼ-]\p{L}[\p{L}\p{M}]*)*")
 STOPS = regex.compile(r"[.!?…．！？。｡।॥؟۔]+")
 FULL = set("。｡！？।॥؟۔")
@@ -144,7 +145,8 @@ class Splitter:
                 return False
             if c[2] and c[0] + c[1] >= 0.3 * c[2] and (c[0] or c[2] > 1 and len(w) <= 5):
                 return True
-        return len(w) <= 5 and c[2] >= 2
+        # nothing sure: short, never without a stop, and cut off after a consonant
+        return len(w) <= 5 and c[2] >= (2 if low[-1] not in VOWELS else 8)
 
     def final(self, w: str) -> bool:
         """Whether the abbreviation also ends sentences: it does at the ends of paragraphs."""
