@@ -91,11 +91,19 @@ def statistics(df: DataFrame, common: list[str], text_col: str = "text") -> Data
         "repeat_share": F.lit(1.0) - F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1)),
         "line_length": F.length(t) / F.greatest(F.size(lines), F.lit(1)),
     } | {k: _share(lines, f) for k, f in tables.items()}
-    df = df.withColumns({k: F.when(t.isNotNull(), c.cast("double")) for k, c in stats.items()})
+    # a column of random numbers in the same projection, used by every verdict, keeps the optimizer
+    # from copying all these expressions into the filters on the verdict
+    df = df.withColumns({k: F.when(t.isNotNull(), c.cast("double")) for k, c in stats.items()} | {"__once": F.rand()})
     df = df.withColumn("cell_share", F.greatest(*tables))
     return df.drop("__t", "__lines", "__words", "__low", "__letters", "__ink")
 
 
+def with_shape(df: DataFrame, common: list[str], case: str, text_col: str = "text") -> DataFrame:
+    """``df`` with the statistics and the verdict of the rules."""
+    out = statistics(df, common, text_col)
+    return out.withColumn("shape", F.when(F.col("n_lines").isNotNull() & (F.col("__once") >= 0), F.expr(case))).drop("__once")
+
+
 def common_words(df: DataFrame, text_col: str = "text") -> list[str]:
     """The ``COMMON`` terms in the most records (a list of fixed length)."""
     t = term_counts(df, text_col).filter("not term rlike '[0-9]'").orderBy(F.desc("records"), "term").limit(COMMON)
@@ -117,5 +125,4 @@ def shapes(df: DataFrame, id_col: str = "request_id", text_col: str = "text", re
     restored = restored_texts(df, id_col, text_col, clear=True) if restored is None else restored
     common = common_words(df, text_col)
     case = learn_shapes(df, common, id_col, text_col)
-    out = statistics(restored, common)
-    return out.withColumn("shape", F.when(F.col("n_lines").isNotNull(), F.expr(case))).drop("text")
+    return with_shape(restored, common, case).drop("text")
