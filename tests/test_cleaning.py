@@ -129,3 +129,14 @@ def test_configs():
     assert TagConfig(output="conllu").adjusted().set_lemma_for_unknown
     with pytest.raises(ValueError):
         CleanConfig(mark_languages="x")
+
+
+def test_steps_are_the_same_in_both_engines(spark):
+    texts = [f"{a}{b} {c}" for a in ("сло­во 14­го", "''так'' зв”язок", "XХІ XVП Х", "150 - річчя д - р", "р о к у і й", "3а мрлд") for b in ("\n", "\r", " ", "​", "\x08") for c in ("i вона", "т р а в н я", "СО2 -oї", "повернетсья", "")]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, text string").coalesce(2)
+    steps = [*C.STEPS, C.mix_shortcuts, C.roman_numbers, C.lone_latin, C.dangling_numbers, C.letter_spacing, C.orphan_cr, C.without_cr]
+    from pyspark.sql import functions as F
+
+    got = {r.k: r for r in df.select("k", *(s(F.col("text")).alias(f"s{n}") for n, s in enumerate(steps))).collect()}
+    for k, t in enumerate(texts):
+        assert [got[k][f"s{n}"] for n in range(len(steps))] == [s.text(t) for s in steps], t

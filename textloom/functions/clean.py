@@ -1,7 +1,8 @@
-"""Cleaning steps that need no lexicon, as Column functions in the order of the plan.
+"""Cleaning steps that need no lexicon, in the order of the plan. Each is callable on a
+Column, and on a string inside a pass that asks a lexicon.
 
-Each step is guarded by a cheap test where it looks for one character, so that the
-regular expression runs on few rows.
+A step is guarded by a cheap test where it looks for one character, so that its
+regular expressions run on few rows.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.steps import Step, letters, put, sub
 from textloom.functions.tokenize import UK
 
 L = f"[{UK}]"
@@ -27,13 +29,87 @@ PROTECTED = "Fest|Train|Inform|SOS|Art|City|News|UA"
 BRANDS = [("Табло", "ID"), ("Ф", "irtka"), ("Схід", "Side"), ("Оsта", "NNя"), ("Depo", "Дніпро")]
 
 
-def _where(test: Column, then: Column, text: Column) -> Column:
-    return F.when(test, then).otherwise(text)
-
-
-def orphan_cr(text: Column) -> Column:
-    """A carriage return without a line feed becomes a line feed."""
-    return _where(text.contains("\r"), F.regexp_replace(text, r"\r(?!\n)", "\n"), text)
+_NOT_BEFORE, _NOT_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+
+#: A carriage return without a line feed becomes a line feed.
+orphan_cr = Step(sub(r"\r(?!\n)", "\n"), when="\r")
+without_cr = Step(put("\r", ""))
+dos_newlines = Step(put("\n", "\r\n"))
+direction_marks = Step(put("\u200e", ""))
+#: U+001D: joins a word at a line end, is a hyphen inside a word.
+unit_separator_hyphens = Step(sub(rf"({L})\x{{1D}}\n({L}+[,.;!?]?)", "$1$2\n"), sub(rf"({L})\x{{1D}}({L})", "$1-$2"), when="\x1d")
+control_chars = Step(sub(CONTROL, ""))
+#: Typos that are safe without a lexicon.
+typos = Step(
+    sub(f"тсья{_NOT_AFTER}", "ться"),
+    *(put(a, b) for a, b in TYPOS),
+    sub(f"{_NOT_BEFORE}(?:мдрд|мрлд|мрд){_NOT_AFTER}", "млрд"),
+    sub(f"{_NOT_BEFORE}перс-(служб|центр|секрет|конф)", "прес-$1"),
+    sub("(?:повдіомле|повідмле|повідмоле)нн", "повідомленн"),
+)
+#: Doubled and escaped quotes, U+200B, U+02BA and U+201A.
+quotes = Step(
+    sub("(?<!')''(?!')", '"'),
+    put('\\"', '"'),
+    sub(r"([бвгґдзкмнпрстфхш])\\'([яєюї])", "$1'$2"),
+    sub(rf"({L})\x{{200B}}([а-яіїєґ])", "$1$2"),
+    sub(r"([А-ЯІЄЇҐ])\x{200B}([А-ЯІЄЇҐ])", "$1$2"),
+    sub(r"\x{200B}+", " "),
+    letters("ʺ‚", '",'),
+)
+#: Letter and combining mark as ї or й; a Latin i counts as well.
+combining = Step(sub(r"[іi]\x{308}", "ї"), sub(r"[ІI]\x{308}", "Ї"), sub(r"и\x{306}", "й"), sub(r"И\x{306}", "Й"), when=r"[\x{306}\x{308}]")
+#: Quote-like characters between consonant and є ї ю я; acute before a vowel as accent.
+apostrophes = Step(
+    sub(f"([бвгґдзкмнпрстфхшБВГҐДЗКМНПРСТФХШ])[{''.join(chr(92) + c if c in '?*' else c for c in ODD_APOSTROPHES)}]([єїюяЄЇЮЯ])", "$1'$2"),
+    sub("[´`]([аеєиіїоуюяАЕЄИІЇОУЮЯ])", "\u0301$1"),
+)
+_W = rf"{UK}a-zA-Z{A}"
+#: U+00AD: at a line end it joins the word and the line end moves behind it; between digit
+#: and letter it is a hyphen; elsewhere it goes.
+soft_hyphens = Step(
+    sub(rf"([{_W}][-–—‑]?)\x{{AD}}+(\n[ \t]*)([-–—‑]?[{_W}-]+)([,;.!?]?)", "$1$3$4$2"),
+    sub(rf"([0-9])\x{{AD}}+([{UK}a-zA-Z])", "$1-$2"),
+    sub(rf"([{_W}:. ][-–—‑]?)\x{{AD}}+([-–—‑]?[{_W} -])", "$1$2"),
+    when=r"\x{AD}",
+)
+line_separators = Step(sub(r"\x{2028}\n?", "\n"))
+#: The digit 3 for the letter З, at the start of a sentence.
+digit_three = Step(sub(rf"(^|[!?.][\s\p{{Z}}]+)3[аa]([\s\p{{Z}}]*{L})", "$1За$2"))
+#: Frequent mixes of Latin and Cyrillic that need no lexicon.
+mix_shortcuts = Step(
+    sub(f"({L})([hH][tT][tT][pP])", "$1 $2"),
+    sub(r"([A-ZŁА-ЯІЇЄҐ]\.?)[ \t]+О[рp]\.[ \t]+[сc][іi]", "$1 Op. ci"),
+    put("СOVID", "COVID"),
+    sub(f"{_NOT_BEFORE}(?:СO|CО)(2?){_NOT_AFTER}", "CO$1"),
+    sub(f"{_NOT_BEFORE}СО2{_NOT_AFTER}", "CO2"),
+    sub(rf"(?<=[\p{{L}}\p{{N}}_])[°º][СC]{_NOT_AFTER}", "°C"),
+    put("-oї", "-ої"),
+    put("-iон", "-іон"),
+    put("-pіч", "-річ"),
+)
+_RUNS = [sub(p, r) for cyr, lat in (("Х", "X"), ("І", "I")) for p, r in ((f"([XVI]){cyr}(?![а-яіїєґa-z])", f"$1{lat}"), (f"{cyr}([XVI])(?![а-яіїєґa-z])", f"{lat}$1"))]
+#: Roman numbers written with Cyrillic letters: XVП, XVШ, and Х or І beside X V I; each
+#: round puts one more letter of a run right.
+roman_numbers = Step(sub(f"{_NOT_BEFORE}[XХ]VП", "XVII"), sub(f"{_NOT_BEFORE}[XХ]VШ", "XVIII"), *_RUNS * 10, when="[XVI][ХІ]|[ХІ][XVI]|V[ПШ]")
+#: Latin a, i, o and y as words of their own among Cyrillic words.
+lone_latin = Step(sub(rf"([^a-z])[,;–—-] a ({L})", "$1, а $2"), *(sub(rf"([^a-z]) {lat} ({L})", f"$1 {cyr} $2") for lat, cyr in (("i", "і"), ("o", "о"), ("y", "у"))))
+#: Known words and phrases written with a blank between the letters.
+letter_spacing = Step(
+    *(sub(rf"([0-9])[ \t]+{' '.join(word)}{_NOT_AFTER}", f"$1 {word}") for word in ("року", "година")),
+    *(put(" ".join(month), month) for month in MONTHS),
+    *(sub(r"[ \t]+".join(" ".join(w) for w in phrase.split()), phrase) for phrase in PHRASES),
+    when=f"(?:{L} ){{3}}",
+)
+_ENDS = "річчя|ліття|ий|го|ому|им|ої|ій|ою|ї"
+#: ``150 - річчя``, ``д - р``, ``будь - що`` without the blanks.
+dangling_numbers = Step(
+    sub(rf"(?iu)([0-9])\s*([–‑-])\s+({_ENDS}){_NOT_AFTER}", "$1$2$3"),
+    sub(rf"(?iu)([0-9])\s+([–‑-])\s*({_ENDS}){_NOT_AFTER}", "$1$2$3"),
+    sub(rf"{_NOT_BEFORE}([дД])\s+([–‑-])\s+р{_NOT_AFTER}", "$1$2р"),
+    sub(rf"(?iu){_NOT_BEFORE}(будь)\s+([–‑-])[ \t]*(що)[ \t]*([–‑-])[ \t]*(будь){_NOT_AFTER}", "$1$2$3$4$5"),
+    sub(rf"(?iu){_NOT_BEFORE}(будь)\s+([–‑-])[ \t]*(як(?:ий|их|ими?|ого|ому|ім|а|ої|ій|у|е|і)?|що|чого|чому|чим|чім){_NOT_AFTER}", "$1$2$3"),
+)
 
 
 def has_dos_newlines(text: Column) -> Column:
@@ -41,95 +117,6 @@ def has_dos_newlines(text: Column) -> Column:
     return text.rlike(r"^[^\n]*\r\n")
 
 
-def without_cr(text: Column) -> Column:
-    return F.replace(text, F.lit("\r"), F.lit(""))
-
-
-def dos_newlines(text: Column) -> Column:
-    return F.replace(text, F.lit("\n"), F.lit("\r\n"))
-
-
-def direction_marks(text: Column) -> Column:
-    return F.replace(text, F.lit("‎"), F.lit(""))
-
-
-def unit_separator_hyphens(text: Column) -> Column:
-    """U+001D: joins a word at a line end, is a hyphen inside a word."""
-    t = F.regexp_replace(text, rf"({L})\x{{1D}}\n({L}+[,.;!?]?)", "$1$2\n")
-    return _where(text.contains("\u001d"), F.regexp_replace(t, rf"({L})\x{{1D}}({L})", "$1-$2"), text)
-
-
-def control_chars(text: Column) -> Column:
-    return F.regexp_replace(text, CONTROL, "")
-
-
-def typos(text: Column) -> Column:
-    """Typos that are safe without a lexicon."""
-    t = F.regexp_replace(text, r"тсья(?![\p{L}\p{N}_])", "ться")
-    t = reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), TYPOS, t)
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}_])(?:мдрд|мрлд|мрд)(?![\p{L}\p{N}_])", "млрд")
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}_])перс-(служб|центр|секрет|конф)", "прес-$1")
-    return F.regexp_replace(t, "(?:повдіомле|повідмле|повідмоле)нн", "повідомленн")
-
-
-def quotes(text: Column) -> Column:
-    """Doubled and escaped quotes, U+200B, U+02BA and U+201A."""
-    t = F.regexp_replace(text, "(?<!')''(?!')", '"')
-    t = F.replace(t, F.lit('\\"'), F.lit('"'))
-    t = F.regexp_replace(t, r"([бвгґдзкмнпрстфхш])\\'([яєюї])", "$1'$2")
-    t = F.regexp_replace(t, rf"({L})\x{{200B}}([а-яіїєґ])", "$1$2")
-    t = F.regexp_replace(t, r"([А-ЯІЄЇҐ])\x{200B}([А-ЯІЄЇҐ])", "$1$2")
-    t = F.regexp_replace(t, r"\x{200B}+", " ")
-    return F.translate(t, "ʺ‚", '",')
-
-
-def combining(text: Column) -> Column:
-    """Letter and combining mark as ї or й; a Latin i counts as well."""
-    t = text
-    for pair, one in (("[іi]̈", "ї"), ("[ІI]̈", "Ї"), ("й", "й"), ("Й", "Й")):
-        t = F.regexp_replace(t, pair, one)
-    return _where(text.rlike("[̆̈]"), t, text)
-
-
-def apostrophes(text: Column) -> Column:
-    """Quote-like characters between consonant and є ї ю я; acute before a vowel as accent."""
-    odd = "".join("\\" + c if c in "?*" else c for c in ODD_APOSTROPHES)
-    t = F.regexp_replace(text, f"([бвгґдзкмнпрстфхшБВГҐДЗКМНПРСТФХШ])[{odd}]([єїюяЄЇЮЯ])", "$1'$2")
-    return F.regexp_replace(t, "[´`]([аеєиіїоуюяАЕЄИІЇОУЮЯ])", "́$1")
-
-
-def soft_hyphens(text: Column) -> Column:
-    """U+00AD: at a line end it joins the word and the line end moves behind it; between
-    digit and letter it is a hyphen; elsewhere it goes."""
-    w = rf"{UK}a-zA-Z{A}"
-    t = F.regexp_replace(text, rf"([{w}][-–—‑]?)\x{{AD}}+(\n[ \t]*)([-–—‑]?[{w}-]+)([,;.!?]?)", "$1$3$4$2")
-    t = F.regexp_replace(t, rf"([0-9])\x{{AD}}+([{UK}a-zA-Z])", "$1-$2")
-    t = F.regexp_replace(t, rf"([{w}:. ][-–—‑]?)\x{{AD}}+([-–—‑]?[{w} -])", "$1$2")
-    return _where(text.contains("­"), t, text)
-
-
-def line_separators(text: Column) -> Column:
-    return F.regexp_replace(text, r"\x{2028}\n?", "\n")
-
-
-def digit_three(text: Column) -> Column:
-    """The digit 3 for the letter З, at the start of a sentence."""
-    return F.regexp_replace(text, rf"(^|[!?.][\s\p{{Z}}]+)3[аa]([\s\p{{Z}}]*{L})", "$1За$2")
-
-
-def mix_shortcuts(text: Column) -> Column:
-    """Frequent mixes of Latin and Cyrillic that need no lexicon."""
-    t = F.regexp_replace(text, rf"({L})((?i)http)", "$1 $2")
-    t = F.regexp_replace(t, r"([A-ZŁА-ЯІЇЄҐ]\.?)[ \t]+О[рp]\.[ \t]+[сc][іi]", "$1 Op. ci")
-    t = F.replace(t, F.lit("СOVID"), F.lit("COVID"))
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}_])(?:СO|CО)(2?)(?![\p{L}\p{N}_])", "CO$1")
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}_])СО2(?![\p{L}\p{N}_])", "CO2")
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N}_])[°º][СC](?![\p{L}\p{N}_])", "°C")
-    for a, b in (("-oї", "-ої"), ("-iон", "-іон"), ("-pіч", "-річ")):
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return t
-
-
 def to_cyrillic(word: Column) -> Column:
     """Latin letters as the Cyrillic letters of the same shape."""
     t = F.translate(word, LATIN, CYRILLIC)
@@ -141,48 +128,6 @@ def to_latin(word: Column) -> Column:
     return F.translate(word, "асеіорхуАВСЕНІКМОРТХУ", "aceiopxyABCEHIKMOPTXY")
 
 
-def roman_numbers(text: Column, rounds: int = 10) -> Column:
-    """Roman numbers written with Cyrillic letters: XVП, XVШ, and Х or І beside X V I."""
-    t = F.regexp_replace(text, r"(?<![\p{L}\p{N}_])[XХ]VП", "XVII")
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}_])[XХ]VШ", "XVIII")
-    for _ in range(rounds):  # each round puts one more letter of a run right
-        for cyr, lat in (("Х", "X"), ("І", "I")):
-            t = F.regexp_replace(t, f"([XVI]){cyr}(?![а-яіїєґa-z])", f"$1{lat}")
-            t = F.regexp_replace(t, f"{cyr}([XVI])(?![а-яіїєґa-z])", f"{lat}$1")
-    return _where(text.rlike("[XVI][ХІ]|[ХІ][XVI]|V[ПШ]"), t, text)
-
-
-def lone_latin(text: Column) -> Column:
-    """Latin a, i, o and y as words of their own among Cyrillic words."""
-    t = F.regexp_replace(text, rf"([^a-z])[,;–—-] a ({L})", "$1, а $2")
-    for lat, cyr in (("i", "і"), ("o", "о"), ("y", "у")):
-        t = F.regexp_replace(t, rf"([^a-z]) {lat} ({L})", f"$1 {cyr} $2")
-    return t
-
-
-def letter_spacing(text: Column) -> Column:
-    """Known words and phrases written with a blank between the letters."""
-    t = text
-    for word in ("року", "година"):
-        t = F.regexp_replace(t, rf"([0-9])[ \t]+{' '.join(word)}(?![\p{{L}}\p{{N}}_])", f"$1 {word}")
-    for month in MONTHS:
-        t = F.replace(t, F.lit(" ".join(month)), F.lit(month))
-    for phrase in PHRASES:
-        t = F.regexp_replace(t, r"[ \t]+".join(" ".join(w) for w in phrase.split()), phrase)
-    return _where(text.rlike(rf"(?:{L} ){{3}}"), t, text)
-
-
-def dangling_numbers(text: Column) -> Column:
-    """``150 - річчя``, ``д - р``, ``будь - що`` without the blanks."""
-    ends = "річчя|ліття|ий|го|ому|им|ої|ій|ою|ї"
-    after = r"(?![\p{L}\p{N}_])"
-    t = F.regexp_replace(text, rf"(?iu)([0-9])\s*([–‑-])\s+({ends}){after}", "$1$2$3")
-    t = F.regexp_replace(t, rf"(?iu)([0-9])\s+([–‑-])\s*({ends}){after}", "$1$2$3")
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}_])([дД])\s+([–‑-])\s+р{after}", "$1$2р")
-    t = F.regexp_replace(t, rf"(?iu)(?<![\p{{L}}\p{{N}}_])(будь)\s+([–‑-])[ \t]*(що)[ \t]*([–‑-])[ \t]*(будь){after}", "$1$2$3$4$5")
-    return F.regexp_replace(t, rf"(?iu)(?<![\p{{L}}\p{{N}}_])(будь)\s+([–‑-])[ \t]*(як(?:ий|их|ими?|ого|ому|ім|а|ої|ій|у|е|і)?|що|чого|чому|чим|чім){after}", "$1$2$3")
-
-
 def split_long_lines(text: Column, longest: int = 1024, shortest: int = 64) -> Column:
     """A text of one or two lines, one of them too long: the heading becomes a paragraph
     and long sentences get lines of their own; null if the text is not of that kind."""

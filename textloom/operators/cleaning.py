@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from textloom.config import CleanConfig
 from textloom.functions import clean as C
 from textloom.functions.tokenize import UK
-from textloom.operators import quality, rewrites
+from textloom.operators import quality
+from textloom.operators import rewrites as R
 from textloom.operators.langmark import mark_russian
-from textloom.operators.lexicon import Prepared, rewrite
+from textloom.operators.lexicon import Rewrite, rewrite
 
 
 def native(df: DataFrame, steps: list, text_col: str = "text") -> DataFrame:
@@ -22,37 +23,36 @@ def native(df: DataFrame, steps: list, text_col: str = "text") -> DataFrame:
     return df
 
 
+def plan(config: CleanConfig) -> list[Rewrite]:
+    """All steps between the line ends, in order, as functions of a text and a lexicon."""
+    native = lambda *steps: [lambda t, _, s=s: s.text(t) for s in steps]
+    steps = [*native(C.direction_marks, C.unit_separator_hyphens), R.control_in_word, *native(C.control_chars, C.typos), R.tripled, *native(C.quotes, C.combining)]
+    steps += [] if "oi" in config.disabled_rules else [R.feminine_endings]
+    steps += [*native(C.apostrophes), R.spaced_apostrophes, *native(C.soft_hyphens), R.not_sign_hyphens, R.tilde_hyphens, *native(C.line_separators, C.digit_three)]
+    if not config.simple:
+        steps += [*native(C.mix_shortcuts, C.roman_numbers), R.mixed_letters, *native(C.lone_latin)]
+    steps.append(R.leading_hyphens)
+    if not config.simple:
+        steps += [*native(C.dangling_numbers), R.line_end_hyphens, R.split_words, *native(C.letter_spacing), R.lone_g]
+    return steps
+
+
 def clean(df: DataFrame, lexicons: dict[str, DataFrame], config: CleanConfig = CleanConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with ``text_col`` cleaned and the columns ``status`` and ``changed``.
 
     ``status`` is ok, two_columns, few_words or few_letters; rejected texts are null.
     DOS line ends are taken off and put back. ``lexicons``: uk, ru, en.
     """
-    raw, known = "__raw", Prepared(lexicons)
+    raw = "__raw"
     df = df.withColumn(raw, F.col(text_col)).withColumn(text_col, C.orphan_cr(F.col(text_col)))
     df = df.withColumn("__dos", F.coalesce(C.has_dos_newlines(F.col(text_col)), F.lit(False))).withColumn(text_col, C.without_cr(F.col(text_col)))
-    # the lexicon steps between native ones are few; each group is one Arrow pass
-    df = native(df, [C.direction_marks, C.unit_separator_hyphens], text_col)
-    df = rewrite(df, [rewrites.control_in_word], known, text_col)
-    df = native(df, [C.control_chars, C.typos, C.quotes, C.combining, C.apostrophes], text_col)
-    first = [rewrites.tripled, *([] if "oi" in config.disabled_rules else [rewrites.feminine_endings]), rewrites.spaced_apostrophes]
-    df = rewrite(df, first, known, text_col)
-    df = native(df, [C.soft_hyphens], text_col)
-    df = rewrite(df, [rewrites.not_sign_hyphens, rewrites.tilde_hyphens], known, text_col)
-    df = native(df, [C.line_separators, C.digit_three], text_col)
     status: Column = F.lit("ok")
-    if not config.simple:
-        df = native(df, [C.mix_shortcuts, C.roman_numbers], text_col)
-        df = rewrite(df, [rewrites.mixed_letters], known, text_col)
-        df = native(df, [C.lone_latin], text_col)
-        if not config.allow_two_columns:
-            status = F.when(quality.two_columns(F.col(text_col)), "two_columns").otherwise(status)
-    df = rewrite(df, [rewrites.leading_hyphens], known, text_col)
-    if not config.simple:
-        df = native(df, [C.dangling_numbers], text_col)
-        df = rewrite(df, [rewrites.line_end_hyphens, rewrites.split_words], known, text_col)
-        df = native(df, [C.letter_spacing], text_col)
-        df = rewrite(df, [rewrites.lone_g], known, text_col)
+    if not config.simple and not config.allow_two_columns:
+        status = F.when(quality.two_columns(F.col(text_col)), "two_columns").otherwise(status)
+    df = df.withColumn("status", status)
+    # the steps that ask the lexicon lie between the others, so all run in one Arrow pass
+    df = rewrite(df, plan(config), lexicons, text_col)
+    status = F.col("status")
     if config.min_words:
         status = F.when(status != "ok", status).when(quality.ukrainian_words(F.col(text_col)) < config.min_words, "few_words").when(~quality.alphabet_ok(F.col(text_col), config.min_words), "few_letters").otherwise("ok")
     df = df.withColumn("status", status)
