@@ -47,7 +47,9 @@ def two_columns(text: Column) -> Column:
     left = F.regexp_extract_all(head, F.lit(r"(?ium)(.*?[а-яїієґ] {4,})[а-яіїєґ].{4}"), F.lit(1))
     widths = F.transform(F.slice(left, 1, 5), F.length)
     gaps = F.length(head) - F.length(F.regexp_replace(head, "    ", "   "))
-    return (gaps >= 5) & (F.size(left) >= 5) & (F.size(left) > (F.size(_lines(head)) - 1) * 0.75) & (F.array_min(widths) == F.array_max(widths))
+    aligned = (F.size(left) >= 5) & (F.size(left) > (F.size(_lines(head)) - 1) * 0.75) & (F.array_min(widths) == F.array_max(widths))
+    # the expensive part only where there are gaps at all
+    return F.when(gaps < 5, False).otherwise(aligned)
 
 
 def suspect_empty_lines(text: Column) -> Column:
