@@ -40,8 +40,8 @@ MOST_SHARE, MOST_SHARE_OF_LANGUAGE = 0.1, 0.15
 LANGUAGE_DOCS = 20
 ROUNDS = 3
 #: Prior labels of a term; least information (nats) of a verified term; bounds of its
-#: weight; least lead for a sentence to have a subject.
-PRIOR, INFORMATION, LOW, HIGH, LEAD = 2.0, 0.15, -1.0, 3.0, 0.7
+#: weight; least probability, given its terms, for a sentence to have a subject.
+PRIOR, INFORMATION, LOW, HIGH, SURE = 2.0, 0.15, -2.5, 3.0, 0.75
 #: Share of a document's sentences from which it deals with a subject; share from
 #: which it passes a subject on; share under which the graph contradicts a label.
 DEALS, PASSES, CONTRADICTS = 0.25, 0.2, 0.1
@@ -104,28 +104,32 @@ def _cols(k: int) -> list[str]:
     return [f"s{i}" for i in range(k)]
 
 
-def _weights(passed: DataFrame, pairs: DataFrame, terms: DataFrame, k: int) -> DataFrame:
-    """``(term, w0, w1, ...)`` of the terms whose documents' labels tell something."""
+def _weights(passed: DataFrame, pairs: DataFrame, terms: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
+    """``(term, w0, w1, ...)`` of the terms whose documents' labels tell something, and the
+    share of each subject in what the documents pass on."""
     s = _cols(k)
     total = passed.agg(*(F.sum(c).alias(c) for c in s)).first()
     mass = sum(total[c] or 0.0 for c in s)
     if not mass:
-        return terms.select("term", *(F.lit(0.0).alias(f"w{i}") for i in range(k))).limit(0)
+        return terms.select("term", *(F.lit(0.0).alias(f"w{i}") for i in range(k))).limit(0), [1 / max(k, 1)] * k
     prior = [max((total[c] or 0.0) / mass, 1e-4) for c in s]
     got = pairs.join(passed, "doc_id").groupBy("term").agg(*(F.sum(c).alias(c) for c in s))
     n = sum((F.col(c) for c in s), F.lit(0.0))
     p = [(F.col(c) + PRIOR * q) / (n + PRIOR) for c, q in zip(s, prior)]
     tells = sum((x * F.log(x / q) for x, q in zip(p, prior)), F.lit(0.0))
-    return got.filter(tells > INFORMATION).select("term", *(F.greatest(F.lit(LOW), F.least(F.lit(HIGH), F.log(x / q))).alias(f"w{i}") for i, (x, q) in enumerate(zip(p, prior))))
+    return got.filter(tells > INFORMATION).select("term", *(F.greatest(F.lit(LOW), F.least(F.lit(HIGH), F.log(x / q))).alias(f"w{i}") for i, (x, q) in enumerate(zip(p, prior)))), prior
 
 
-def _shares(sents: DataFrame, weights: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+def _shares(sents: DataFrame, weights: DataFrame, prior: list[float], sizes: DataFrame, k: int) -> DataFrame:
     """``(doc_id, s0, s1, ...)``: share of the document's sentences with each subject."""
     w = [f"w{i}" for i in range(k)]
     each = sents.join(F.broadcast(weights), "term").groupBy("doc_id", "sent").agg(*(F.sum(c).alias(c) for c in w))
+    # the probability of each subject given the sentence's terms
+    odds = [F.exp(F.col(c)) * q for c, q in zip(w, prior)]
+    each = each.select("doc_id", *(o.alias(c) for o, c in zip(odds, w)))
     top = F.greatest(*w) if k > 1 else F.col("w0")
     best = F.coalesce(*(F.when(F.col(c) == top, i) for i, c in enumerate(w)))
-    each = each.filter(top > LEAD).select("doc_id", best.alias("best"))
+    each = each.filter(top >= SURE * sum((F.col(c) for c in w), F.lit(0.0))).select("doc_id", best.alias("best"))
     per = each.groupBy("doc_id").agg(*(F.sum((F.col("best") == i).cast("double")).alias(f"s{i}") for i in range(k)))
     return per.join(sizes, "doc_id").select("doc_id", *((F.col(c) / F.col("n_sentences")).alias(c) for c in _cols(k)))
 
@@ -157,7 +161,7 @@ def subject_shares(docs: DataFrame, labels: DataFrame, subjects: DataFrame, roun
     n = sum((F.col(c) for c in _cols(k)), F.lit(0.0))
     passed = seeded.filter(n > 0).select("doc_id", *((F.col(c) / n).alias(c) for c in _cols(k)))
     for r in range(rounds):
-        shares = cut(_shares(sents, _weights(passed, pairs, terms, k), sizes, k))
+        shares = cut(_shares(sents, *_weights(passed, pairs, terms, k), sizes, k))
         passed = _pass_on(shares, seeded, k)
     return shares, names
 
