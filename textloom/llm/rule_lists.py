@@ -95,6 +95,17 @@ def induce(x: np.ndarray, shapes: np.ndarray, order: list[str], seed: int = 3) -
     return rules
 
 
+def decide(x: np.ndarray, rules: list[Rule], default: str) -> np.ndarray:
+    """The class of each example: that of the first rule that covers it."""
+    out = np.full(len(x), default, object)
+    left = np.ones(len(x), bool)
+    for shape, conditions in rules:
+        hit = left & covers(x, conditions)
+        out[hit] = shape
+        left &= ~hit
+    return out
+
+
 def to_sql(rules: list[Rule], features: list[str], default: str) -> str:
     """A CASE expression over the feature columns."""
     when = " ".join("WHEN " + " AND ".join(f"{features[f]} {'>=' if least else '<'} {t!r}D" for f, least, t in conditions) + f" THEN '{shape}'" for shape, conditions in rules)

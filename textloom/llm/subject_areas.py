@@ -35,7 +35,7 @@ from textloom.runtime import cut, spread
 
 LEAST_SHARE = 2e-6
 #: Share of documents, of the corpus and of a language, above which a term says nothing.
-MOST_SHARE, MOST_SHARE_OF_LANGUAGE = 0.1, 0.15
+MOST_SHARE, MOST_SHARE_OF_LANGUAGE = 0.1, 0.25
 #: Documents of a language from which its own share counts.
 LANGUAGE_DOCS = 20
 ROUNDS = 3
