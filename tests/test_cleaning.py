@@ -46,6 +46,8 @@ def rewritten(spark, lexicons, step, text, limit=lexicon.BROADCAST_FORMS):
         (C.lone_latin, "він i вона", "він і вона"),
         (C.mix_shortcuts, "зhttp://a 70-pічний", "з http://a 70-річний"),
         (C.control_chars, "сло\x08во", "слово"),
+        (C.corpus_fixes, "Крим SOS, Івано Франківськ, депутатІван", "КримSOS, Івано-Франківськ, депутат Іван"),
+        (C.abstracts, "а\n  Abstract\nb c\nd\n\nдалі", "а\nдалі"),
     ],
 )
 def test_native_steps(one, step, text, want):
@@ -72,6 +74,8 @@ def test_native_steps(one, step, text, want):
         (rewrites.feminine_endings, "Нацполіціі", "Нацполіції"),
         (rewrites.feminine_endings, "МОІ", "МОІ"),
         (rewrites.spaced_apostrophes, "зв 'язаний", "зв'язаний"),
+        (rewrites.broken_i, "перемог і труб сл і во", "перемог і труб сл і во"),
+        (rewrites.broken_i, "л і юдина моделі", "л і юдина моделі"),
         (rewrites.lone_g, "Г оловний", "Головний"),
         (rewrites.split_words, "депу\nтат прийшов", "депутат\n прийшов"),
         (rewrites.leading_hyphens, "-Алло", "- Алло"),
@@ -140,3 +144,12 @@ def test_steps_are_the_same_in_both_engines(spark):
     got = {r.k: r for r in df.select("k", *(s(F.col("text")).alias(f"s{n}") for n, s in enumerate(steps))).collect()}
     for k, t in enumerate(texts):
         assert [got[k][f"s{n}"] for n in range(len(steps))] == [s.text(t) for s in steps], t
+
+
+def test_footers(spark):
+    page = "рядок тексту\n12    Вісник. Том 3\n"
+    df = spark.createDataFrame([(1, page * 3 + "© Автор\nкінець"), (2, page + "далі"), (3, None)], "doc_id long, text string")
+    from textloom.operators.cleaning import repeated_footers
+
+    got = {r.doc_id: r.text for r in repeated_footers(df).collect()}
+    assert got == {1: "рядок тексту\n" * 3 + "кінець", 2: page + "далі", 3: None}

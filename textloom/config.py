@@ -33,6 +33,7 @@ class CleanConfig:
     mark_languages: str = "none"
     paragraph_delimiter: str = "auto"
     disabled_rules: frozenset[str] = field(default_factory=frozenset)
+    merge_broken_i: bool = False
 
     def __post_init__(self):
         if self.mark_languages not in ("none", "mark", "cut"):

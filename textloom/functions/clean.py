@@ -39,6 +39,21 @@ direction_marks = Step(put("\u200e", ""))
 #: U+001D: joins a word at a line end, is a hyphen inside a word.
 unit_separator_hyphens = Step(sub(rf"({L})\x{{1D}}\n({L}+[,.;!?]?)", "$1$2\n"), sub(rf"({L})\x{{1D}}({L})", "$1-$2"), when="\x1d")
 control_chars = Step(sub(CONTROL, ""))
+# Names that a blank has split, and slips of single corpora.
+GLUED = [("Крим SOS", "КримSOS"), ("Євромайдан SOS", "ЄвромайданSOS"), ("Чорнобиль Art", "ЧорнобильArt"), ("Золотоноша City", "ЗолотоношаCity"), ("Умань News", "УманьNews"), ("Хутро OFF", "ХутроOFF"), ("Ник Life", "НикLife")]
+SLIPS = [("пагороджен", "нагороджен"), ("голсоування", "голосування"), ("річ-чя", "річчя"), ("каналуМнения", "каналу Мнения"), ("номеріжурналу", "номері журналу"), (" зорутут", " зору тут")]
+#: Repairs of single corpora.
+corpus_fixes = Step(
+    *(put(a, b) for a, b in GLUED),
+    sub("(?iu)(Армія) (Inform)", "$1$2"),
+    sub("(?iu)(Гоголь|Пуленк) (FEST|Train)", "$1$2"),
+    *(put(a, b) for a, b in SLIPS),
+    sub(r"(Івано)[ \t]+(Франківськ)", "$1-$2"),
+    sub(r"(Івано)[ \t]+([–‑-])[ \t]+(Франківськ)", "$1$2$3"),
+    sub("([дД]епутата?)([А-ЯІЇЄҐ])", "$1 $2"),
+)
+#: Abstracts and lists of references of journals, up to the next blank line.
+abstracts = Step(sub(r"(?s)\n *(?:[Aa]bstract|ABSTRACT|[Rr]esume|RESUME|[Ll]iteratura|(?:Джерела та|Використана|Цитована) [Лл]ітература|СПИСОК ЛІТЕРАТУРИ)\n.+?(?:\n\n|\n?\z)", "\n"), rounds=2)
 #: Typos that are safe without a lexicon.
 typos = Step(
     sub(f"тсья{_NOT_AFTER}", "ться"),
@@ -139,4 +154,4 @@ def split_long_lines(text: Column, longest: int = 1024, shortest: int = 64) -> C
 
 
 #: The steps before the lexicon is asked, in order.
-STEPS = [direction_marks, unit_separator_hyphens, control_chars, typos, quotes, combining, apostrophes, soft_hyphens, line_separators, digit_three]
+STEPS = [direction_marks, unit_separator_hyphens, control_chars, corpus_fixes, typos, quotes, combining, apostrophes, soft_hyphens, line_separators, digit_three]

@@ -26,7 +26,7 @@ def native(df: DataFrame, steps: list, text_col: str = "text") -> DataFrame:
 def plan(config: CleanConfig) -> list[Rewrite]:
     """All steps between the line ends, in order, as functions of a text and a lexicon."""
     native = lambda *steps: [lambda t, _, s=s: s.text(t) for s in steps]
-    steps = [*native(C.direction_marks, C.unit_separator_hyphens), R.control_in_word, *native(C.control_chars, C.typos), R.tripled, *native(C.quotes, C.combining)]
+    steps = [*native(C.direction_marks, C.unit_separator_hyphens), R.control_in_word, *native(C.control_chars, C.corpus_fixes), *([R.broken_i] if config.merge_broken_i else []), *native(C.typos), R.tripled, *native(C.quotes, C.combining)]
     steps += [] if "oi" in config.disabled_rules else [R.feminine_endings]
     steps += [*native(C.apostrophes), R.spaced_apostrophes, *native(C.soft_hyphens), R.not_sign_hyphens, R.tilde_hyphens, *native(C.line_separators, C.digit_three)]
     if not config.simple:
@@ -63,6 +63,21 @@ def clean(df: DataFrame, lexicons: dict[str, DataFrame], config: CleanConfig = C
     return df.withColumn("changed", ~F.col(text_col).eqNullSafe(F.col(raw))).drop(raw, "__dos")
 
 
+def repeated_footers(df: DataFrame, least: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` without the footers of journal pages: lines that stand ``least`` times or more in a
+    document when their page number is taken off, and lines of copyright or ISSN. Captions
+    and tables of contents stay. A document's distinct lines are counted, then its text is
+    filtered in place."""
+    key = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^ *[0-9]+ {2,}| {2,}[0-9]+ *$", ""), " {8,}", "        "))
+    lines = df.select(id_col, F.explode(F.split(text_col, "\n")).alias("line"))
+    numbered = lines.filter(F.col("line").rlike(r"^ *[0-9]+ {2,}\S|\S {2,}[0-9]+ *$") & ~F.col("line").rlike(r"Таблиця|група|ЗМІСТ №|Рис\.|\.{6,}"))
+    often = numbered.groupBy(id_col, key(F.col("line")).alias("k")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    heads = often.groupBy(id_col).agg(F.collect_set("k").alias("__heads"))
+    out = df.join(heads, id_col, "left")
+    keep = F.filter(F.split(text_col, "\n"), lambda x: ~x.rlike(r"^(?:[0-9]*\s{10,})?(?:© |ISSN [0-9])") & ~F.coalesce(F.array_contains("__heads", key(x)), F.lit(False)))
+    return out.withColumn(text_col, F.array_join(keep, "\n")).select(*df.columns)
+
+
 def native_clean(text: Column) -> Column:
     """All native steps of the plan as one expression, for streams and quick passes."""
     return reduce(lambda c, s: s(c), [C.orphan_cr, C.without_cr, *C.STEPS, C.mix_shortcuts, C.roman_numbers, C.lone_latin, C.dangling_numbers, C.letter_spacing], text)

@@ -48,6 +48,12 @@ def paradigm_rates(word_stats: DataFrame) -> DataFrame:
     return x.select("lemma", "xp", (F.col("rate") / F.sum("rate").over(W.partitionBy("lemma"))).alias("share"))
 
 
+def write_derived(word_stats: DataFrame, path: str) -> None:
+    """The derived statistics as parquet tables: tags, suffixes, paradigms."""
+    for name, df in (("tags", tag_rates(word_stats)), ("suffixes", suffix_rates(word_stats)), ("paradigms", paradigm_rates(word_stats))):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def rank_by_rate(tokens: DataFrame, word_stats: DataFrame, key: list[str]) -> DataFrame:
     """One row for each reading, with ``rate``, ``rank`` and ``confidence``. Ties keep the
     order of the readings. Null rates count as 0; a token without rates has confidence 0."""

@@ -13,6 +13,7 @@ A = "'’ʼ"
 W = f"[{UK}{A}-]"
 _CONTROL = re.compile("([а-яіїєґ'’ʼ́-]+)[\x00-\x08\x0b-\x12\x14-\x1f਍]\n?([а-яіїєґ'’ʼ́-]+)", re.I)
 _TRIPLE = re.compile(f"[{UK}][а-яіїєґ{A}-]+(?:ннн|ттт)[а-яіїєґ][а-яіїєґ{A}-]*")
+_BROKEN_I = re.compile(rf"\b([{UK}{A}]+) і ([а-яіїєґ{A}]+)\b")
 _OI = re.compile(r"([а-яіїєґА-ЯІЇЄҐ][а-яіїєґ'-]+[а-яіїєґ])о[іi]\b")
 _II = re.compile(r"([а-яіїєґА-ЯІЇЄҐ][а-яіїєґ'-]+[а-яіїєґ][стц])[іi][іi]\b")
 _SPACED = re.compile(f"([{UK}]+) ([{A}][яєюїЯЄЮЇ][{UK}]+)")
@@ -51,6 +52,16 @@ def control_in_word(text: str, x: Lexicon) -> str:
     return _CONTROL.sub(lambda m: _first(x, f"{m[1]}-{m[2]}", m[1] + m[2]) or m[0], text)
 
 
+def broken_i(text: str, x: Lexicon) -> str:
+    """``перемог і я``-like breaks: two pieces around a lone і that make a known word while
+    neither is a word itself. Not part of the plan unless asked for."""
+
+    def word(w: str) -> bool:
+        return x.has(w) and not re.fullmatch("[гґдзклмнпрстфхцчшщ]", w)
+
+    return _BROKEN_I.sub(lambda m: m[0] if word(m[1]) or word(m[2]) else _first(x, f"{m[1]}і{m[2]}") or m[0], text)
+
+
 def tripled(text: str, x: Lexicon) -> str:
     """ннн and ттт as нн and тт, if that makes a known word."""
     return _TRIPLE.sub(lambda m: _first(x, re.sub("т(тт)", r"\1", re.sub("н(нн)", r"\1", m[0], flags=re.I), flags=re.I)) or m[0], text)
