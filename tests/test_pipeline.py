@@ -14,7 +14,7 @@ def tables(spark):
     lex = spark.createDataFrame(LEX, "form string, lemma string, tags string")
     ws = spark.createDataFrame([("слово", "слово", "noun:inanim:n:v_zna", 0.9), ("слово", "слово", "noun:inanim:n:v_naz", 0.1)], "word string, lemma string, postag string, rate double")
     sem = spark.createDataFrame([("слово", "noun", "1:abst", "")], "lemma string, pos string, semtag string, cond string")
-    m = spark.createDataFrame([("noun", "Upos=NOUN"), ("conj:coord", "Upos=CCONJ"), ("n", "Gender=Neut"), ("punct", "Upos=PUNCT")], "vesum string, ud string")
+    m = spark.createDataFrame([("noun", "Upos=NOUN"), ("conj:coord", "Upos=CCONJ"), ("n", "Gender=Neut"), ("punct", "Upos=PUNCT")], "part string, ud string")
     return pipeline.Tables(lex, ws, None, unknown.suffix_statistics(lex), sem, None, m)
 
 

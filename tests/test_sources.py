@@ -68,6 +68,8 @@ def test_lexicon_files(spark, tmp_path):
     p.write_text("сло́во noun:n\n слова́ noun:p\nділо́ noun:n\n /1/\n", encoding="utf-8")
     got = {(r.lemma, r.form, r.base, r.offset) for r in lexicons.stress_table(spark, str(p)).collect()}
     assert ("слово", "слова́", 0, 0) in got and ("діло", "діло́", 1, 1) in got
+    p.write_text("UD,TAG,x\nUpos=NOUN,noun,\nNone,,\n", encoding="utf-8")
+    assert [tuple(r) for r in lexicons.ud_map(spark, str(p)).collect()] == [("noun", "Upos=NOUN")]
     p.write_text("ував увати/3 verb 5\n", encoding="utf-8")
     assert lexicons.suffix_statistics(spark, str(p)).first().cnt == 5
     p.write_text("читаючи читати\n", encoding="utf-8")

@@ -154,7 +154,7 @@ def test_stress(spark, one):
 
 
 def test_dependencies(spark, lex):
-    m = spark.createDataFrame([("noun", "Upos=NOUN"), ("adj", "Upos=ADJ"), ("inanim", "Animacy=Inan"), ("f", "Gender=Fem"), ("p", "Number=Plur"), ("v_naz", "Case=Nom"), ("prop", "Upos=PROPN"), ("punct", "Upos=PUNCT")], "vesum string, ud string")
+    m = spark.createDataFrame([("noun", "Upos=NOUN"), ("adj", "Upos=ADJ"), ("inanim", "Animacy=Inan"), ("f", "Gender=Fem"), ("p", "Number=Plur"), ("v_naz", "Case=Nom"), ("prop", "Upos=PROPN"), ("punct", "Upos=PUNCT")], "part string, ud string")
     t = tag.space_after(tag.tag(tokens(spark, "книга книги ."), lex))
     got = by_value(ud.convert(t, m, [], lex))
     assert (got["книга"].upos, got["книга"].feats) == ("NOUN", "Animacy=Inan|Case=Nom|Gender=Fem|Number=Sing")

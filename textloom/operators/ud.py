@@ -1,6 +1,6 @@
 """Conversion of tags to Universal Dependencies: UPOS, FEATS and MISC as Columns.
 
-The map of tag parts is a table (``ud_map(vesum, ud)``) of about a hundred rows; it
+The map of tag parts is a table (``ud_map(part, ud)``) of about a hundred rows; it
 is read into a map literal. An unknown part gives ``_`` and is listed, nothing stops.
 """
 
@@ -15,8 +15,8 @@ LEFT_OUT = "^(xp[0-9]|pron|predic|insert)$"
 
 def ud_map(table: DataFrame) -> Column:
     """The table as a map; later rows win, ``numr`` is always a part of speech."""
-    rows = table.filter("vesum is not null and vesum <> ''").limit(MAP_ROWS).collect()
-    m = {r["vesum"].replace("v_zna:", ""): r["ud"] for r in rows if r["vesum"] != "numr" or r["ud"].startswith("Upos")}
+    rows = table.filter("part is not null and part <> ''").limit(MAP_ROWS).collect()
+    m = {r["part"].replace("v_zna:", ""): r["ud"] for r in rows if r["part"] != "numr" or r["ud"].startswith("Upos")}
     return F.create_map(*(F.lit(x) for kv in m.items() for x in kv)) if m else F.create_map().cast("map<string,string>")
 
 

@@ -344,7 +344,7 @@ def inflect_genitive(s, d):
 
 def dependencies(s, d):
     t = tag.space_after(_tagged(s, d))
-    m = s.createDataFrame(UD_PARTS, "vesum string, ud string")
+    m = s.createDataFrame(UD_PARTS, "part string, ud string")
     return ud.convert(t, m, NEGATIVES, table(s, d, "lexicon_uk")).groupBy("upos", "feats").agg(F.count("*").alias("n"))
 
 
@@ -362,7 +362,7 @@ def xml_output(s, d):
 
 def conllu_output(s, d):
     t = tag.space_after(_tagged(s, d))
-    m = s.createDataFrame(UD_PARTS, "vesum string, ud string")
+    m = s.createDataFrame(UD_PARTS, "part string, ud string")
     keys = ["doc_id", "para_id", "sent_id"]
     gap = F.when(F.coalesce("whitespace_before", F.lit(True)), " ").otherwise("")
     texts = t.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_id", F.concat(gap, "value").alias("v")))), lambda x: x["v"]), "").alias("text"))

@@ -53,8 +53,11 @@ def derivations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ud_map(spark: SparkSession, path: str) -> DataFrame:
-    """``(vesum, ud)`` of a CSV file with a head line."""
-    return spark.read.option("header", True).csv(path).select(F.col("VESUM").alias("vesum"), F.trim("UD").alias("ud")).filter("vesum is not null")
+    """``(part, ud)`` of a CSV file with a head line: the first column is the feature, the
+    second the part of the tag."""
+    x = spark.read.option("header", True).csv(path)
+    feature, part = x.columns[:2]
+    return x.select(F.trim(F.col(f"`{part}`")).alias("part"), F.trim(F.col(f"`{feature}`")).alias("ud")).filter("part is not null and part <> ''")
 
 
 def stress_table(spark: SparkSession, path: str) -> DataFrame:
