@@ -27,6 +27,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_by(df: DataFrame, *keys: str) -> DataFrame:
+    """``cut``, partitioned by the keys, and the planner knows it: later joins and groupings
+    on them do not shuffle this side again. (An adaptive plan would lose the partitioning, so
+    this one step is planned without.)"""
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), *keys))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Repartition only when the scan yields fewer partitions than there are cores.
 
