@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.encoding_repair import legible
 from textloom.llm.sentence_units import COUNTS, Splitter, corpus_counts
-from textloom.runtime import cut, spread
+from textloom.runtime import cut, cut_by, spread
 
 LEAST_SHARE = 2e-6
 #: Share of documents, of the corpus and of a language, above which a term says nothing.
@@ -104,7 +104,7 @@ def _cols(k: int) -> list[str]:
     return [f"s{i}" for i in range(k)]
 
 
-def _weights(passed: DataFrame, pairs: DataFrame, terms: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
+def _weights(passed: DataFrame, d: DataFrame, terms: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
     """``(term, w0, w1, ...)`` of the terms whose documents' labels tell something, and the
     share of each subject in what the documents pass on."""
     s = _cols(k)
@@ -113,25 +113,27 @@ def _weights(passed: DataFrame, pairs: DataFrame, terms: DataFrame, k: int) -> t
     if not mass:
         return terms.select("term", *(F.lit(0.0).alias(f"w{i}") for i in range(k))).limit(0), [1 / max(k, 1)] * k
     prior = [max((total[c] or 0.0) / mass, 1e-4) for c in s]
-    got = pairs.join(passed, "doc_id").groupBy("term").agg(*(F.sum(c).alias(c) for c in s))
+    # the documents are partitioned by id: only what is passed on moves, then sums by term
+    pairs = d.select("doc_id", F.array_distinct(F.flatten("sentences")).alias("t")).join(passed, "doc_id").select(*s, F.explode("t").alias("term"))
+    got = pairs.join(F.broadcast(terms.select("term")), "term").groupBy("term").agg(*(F.sum(c).alias(c) for c in s))
     n = sum((F.col(c) for c in s), F.lit(0.0))
     p = [(F.col(c) + PRIOR * q) / (n + PRIOR) for c, q in zip(s, prior)]
     tells = sum((x * F.log(x / q) for x, q in zip(p, prior)), F.lit(0.0))
     return got.filter(tells > INFORMATION).select("term", *(F.greatest(F.lit(LOW), F.least(F.lit(HIGH), F.log(x / q))).alias(f"w{i}") for i, (x, q) in enumerate(zip(p, prior)))), prior
 
 
-def _shares(sents: DataFrame, weights: DataFrame, prior: list[float], sizes: DataFrame, k: int) -> DataFrame:
+def _shares(d: DataFrame, weights: DataFrame, prior: list[float], k: int) -> DataFrame:
     """``(doc_id, s0, s1, ...)``: share of the document's sentences with each subject."""
     w = [f"w{i}" for i in range(k)]
-    each = sents.join(F.broadcast(weights), "term").groupBy("doc_id", "sent").agg(*(F.sum(c).alias(c) for c in w))
+    sents = d.select("doc_id", "n_sentences", F.posexplode("sentences").alias("sent", "terms")).select("doc_id", "n_sentences", "sent", F.explode("terms").alias("term"))
+    each = sents.join(F.broadcast(weights), "term").groupBy("doc_id", "n_sentences", "sent").agg(*(F.sum(c).alias(c) for c in w))
     # the probability of each subject given the sentence's terms
     odds = [F.exp(F.col(c)) * q for c, q in zip(w, prior)]
-    each = each.select("doc_id", *(o.alias(c) for o, c in zip(odds, w)))
+    each = each.select("doc_id", "n_sentences", *(o.alias(c) for o, c in zip(odds, w)))
     top = F.greatest(*w) if k > 1 else F.col("w0")
     best = F.coalesce(*(F.when(F.col(c) == top, i) for i, c in enumerate(w)))
-    each = each.filter(top >= SURE * sum((F.col(c) for c in w), F.lit(0.0))).select("doc_id", best.alias("best"))
-    per = each.groupBy("doc_id").agg(*(F.sum((F.col("best") == i).cast("double")).alias(f"s{i}") for i in range(k)))
-    return per.join(sizes, "doc_id").select("doc_id", *((F.col(c) / F.col("n_sentences")).alias(c) for c in _cols(k)))
+    each = each.filter(top >= SURE * sum((F.col(c) for c in w), F.lit(0.0))).select("doc_id", "n_sentences", best.alias("best"))
+    return each.groupBy("doc_id", "n_sentences").agg(*((F.sum((F.col("best") == i).cast("double")) / F.col("n_sentences")).alias(f"s{i}") for i in range(k))).drop("n_sentences")
 
 
 def _pass_on(shares: DataFrame, seeded: DataFrame, k: int) -> DataFrame:
@@ -151,17 +153,13 @@ def subject_shares(docs: DataFrame, labels: DataFrame, subjects: DataFrame, roun
     names of the subjects (a short fixed table)."""
     names = [r[0] for r in subjects.select(F.lower(F.trim("subject"))).filter("subject is not null").distinct().orderBy(F.lower(F.trim("subject"))).collect()]
     k = len(names)
-    d = cut(sentence_terms(docs))
+    d = cut_by(sentence_terms(docs), "doc_id")
     terms = cut(verified_terms(d))
-    sents = d.select("doc_id", F.posexplode("sentences").alias("sent", "terms")).select("doc_id", "sent", F.explode("terms").alias("term"))
-    sents = cut(sents.join(F.broadcast(terms.select("term")), "term").select("doc_id", "sent", "term"))
-    pairs = sents.select("doc_id", "term").distinct()
-    sizes = d.select("doc_id", "n_sentences")
     seeded = seeds(labels, names)
     n = sum((F.col(c) for c in _cols(k)), F.lit(0.0))
     passed = seeded.filter(n > 0).select("doc_id", *((F.col(c) / n).alias(c) for c in _cols(k)))
     for r in range(rounds):
-        shares = cut(_shares(sents, *_weights(passed, pairs, terms, k), sizes, k))
+        shares = cut(_shares(d, *_weights(passed, d, terms, k), k))
         passed = _pass_on(shares, seeded, k)
     return shares, names
 
