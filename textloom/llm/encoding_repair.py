@@ -53,7 +53,7 @@ TOGETHER = 500
 SUSPECT = -4.0
 #: Log-probability per character that the words changed by 8-bit chains must reach together.
 READABLE = -4.5
-_ASKED = re.compile(r"^[\"'«“(\[-]*\?[?'’-]*\?[\"'»”)\].,:;!…-]*$")
+_ASKED = re.compile(r"^[\"'«“(\[-]{0,3}\?[?'’-]*\?[\"'»”)\].,:;!…-]{0,3}$")
 
 
 @functools.cache
@@ -235,11 +235,13 @@ class Repairer:
             words[i] = self.options[words[i]][1][k]
         return "".join(words), gain, bool(changed)
 
-    def line(self, line: str) -> tuple[str | None, float, bool]:
+    def line(self, line: str, lost: bool = False) -> tuple[str | None, float, bool]:
         """What the line was, null when it is fine as it is; by how much the result is
-        likelier; whether an 8-bit chain took part. Empty when it can't be regained."""
+        likelier; whether an 8-bit chain took part. Empty when it can't be regained.
+        ``lost``: the text has words of question marks elsewhere."""
         asked = [w for w in line.split() if _ASKED.match(w)] if "??" in line else []
-        if "�" in line or len(asked) > 1 or asked and max(map(len, asked)) > 4:
+        # words of question marks; a single one counts beside words that are left
+        if "�" in line or len(asked) > 1 or asked and len(asked[0]) > 4 and (lost or any(map(str.isalpha, line))):
             return "", 99.0, False
         was, gain, eight_bit = self._decoded(line)
         return ("" if was is not None and "�" in was else was), gain, eight_bit
@@ -249,8 +251,9 @@ class Repairer:
         out = {}
         if "�" not in text and "??" not in text and not self._is_suspect(text):
             return out
+        lost = "??" in text and sum(_ASKED.match(w) is not None for w in text.split()) > 3
         for k, line in enumerate(text.split("\n"), 1):
-            was, gain, eight_bit = self.line(line)
+            was, gain, eight_bit = self.line(line, lost)
             if was is not None and gain > self.margins[eight_bit]:
                 out[k] = was.removesuffix("\r")
         return out
