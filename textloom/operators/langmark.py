@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.lexicon import with_known
+from textloom.runtime import spread
 
 WORD = r"[а-яіїєґёА-ЯІЇЄҐЁ'’ʼ́-]+"
 #: Stands for the cut paragraph.
@@ -24,12 +25,14 @@ def delimiter(text: Column, how: str = "auto") -> Column:
     return F.when(text.rlike(r"[^\s]\n\n+[^\s]"), "\n\n").otherwise("\n")
 
 
+def _split(text: Column, how: str) -> Column:
+    """Paragraphs without their delimiters; joined by the delimiter they give the text."""
+    return F.when(delimiter(text, how) == "\n\n", F.split(text, "\n\n")).otherwise(F.split(text, "\n"))
+
+
 def chunks(df: DataFrame, how: str = "auto", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, pos, chunk)``: paragraphs and delimiters, by position."""
-    t = F.col(text_col)
-    two = F.regexp_extract_all(t, F.lit(r"(?s)\n\n|(?:(?!\n\n).)+"), F.lit(0))
-    one = F.regexp_extract_all(t, F.lit(r"\n|[^\n]+"), F.lit(0))
-    return df.select(id_col, F.posexplode(F.when(delimiter(t, how) == "\n\n", two).otherwise(one)).alias("pos", "chunk"))
+    """``(id, pos, chunk)``: paragraphs by position."""
+    return spread(df.select(id_col, text_col)).select(id_col, F.posexplode(_split(F.col(text_col), how)).alias("pos", "chunk"))
 
 
 def words_of(chunk: Column) -> Column:
@@ -40,17 +43,18 @@ def words_of(chunk: Column) -> Column:
 
 def rates(parts: DataFrame, lexicon_uk: DataFrame, lexicon_ru: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``(id, pos, uk_rate, ru_rate)`` of the chunks that hold Cyrillic words."""
-    words = parts.select(id_col, "pos", "chunk", F.size(words_of(F.col("chunk"))).alias("n"), F.explode(words_of(F.col("chunk"))).alias("word"))
+    words = parts.select(id_col, "pos", "chunk", words_of(F.col("chunk")).alias("w"))
+    marks = {"has_ru": F.col("chunk").rlike("[ыэъё]"), "has_uk": F.col("chunk").rlike("[ієїґ]")}
+    words = words.select(id_col, "pos", *(c.alias(k) for k, c in marks.items()), F.size("w").alias("n"), F.explode("w").alias("word"))
     # each distinct word is looked up once; the counts come back by an equi-join
     distinct = with_known(with_known(words.select("word").distinct(), "word", lexicon_uk).withColumnRenamed("known", "in_uk"), "word", lexicon_ru).withColumnRenamed("known", "in_ru")
     low = F.lower("word")
     uk = F.when(low.rlike("[іїєґ'’ʼ]|^й$"), 10).when(F.col("in_uk"), 8).otherwise(0)
     ru = F.when(uk == 10, 0).when(low.rlike("^[бвгдежзклмнпрстфхцчшщю]$"), 0).when(low.rlike("[ыэёъ]"), 10).when(F.col("in_ru"), 8).otherwise(0)
     weights = distinct.select("word", uk.alias("uk"), ru.alias("ru"))
-    got = words.join(weights, "word").groupBy(id_col, "pos").agg(
-        F.first("n").alias("n"), F.first("chunk").alias("chunk"), (F.sum("uk") / F.count("*") / 10).alias("uk_rate"), (F.sum("ru") / F.count("*") / 10).alias("ru_rate"), F.max(F.col("uk") == 10).alias("sure_uk"), F.max(F.col("ru") == 10).alias("sure_ru")
-    )
-    short = (F.col("n") < 10) & (~F.col("chunk").rlike("[ыэъё]") | F.col("chunk").rlike("[ієїґ]"))
+    mean = lambda c: F.sum(c) / F.count("*") / 10
+    got = words.join(weights, "word").groupBy(id_col, "pos", "has_ru", "has_uk", "n").agg(mean("uk").alias("uk_rate"), mean("ru").alias("ru_rate"), F.max(F.col("uk") == 10).alias("sure_uk"), F.max(F.col("ru") == 10).alias("sure_ru"))
+    short = (F.col("n") < 10) & (~F.col("has_ru") | F.col("has_uk"))
     all_ru = F.col("sure_ru") & ~F.col("sure_uk") | (F.col("uk_rate") == 0) & (F.col("ru_rate") > 0.1)
     return got.select(id_col, "pos", F.when(short, 0.5).otherwise(F.col("uk_rate")).alias("uk_rate"), F.when(short, 0.1).when(all_ru, 1.0).otherwise(F.col("ru_rate")).alias("ru_rate"))
 
@@ -71,8 +75,6 @@ def mark_russian(df: DataFrame, lexicons: dict[str, DataFrame], mode: str = "mar
     found = new.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("pos", "new"))).alias("__new"))
     out = df.join(found, id_col, "left")
     t = F.col(text_col)
-    two = F.regexp_extract_all(t, F.lit(r"(?s)\n\n|(?:(?!\n\n).)+"), F.lit(0))
-    one = F.regexp_extract_all(t, F.lit(r"\n|[^\n]+"), F.lit(0))
-    parts = F.when(delimiter(t, how) == "\n\n", two).otherwise(one)
-    joined = F.array_join(F.transform(parts, lambda c, i: F.coalesce(F.element_at("__new", i), c)), "")
+    new = F.transform(_split(t, how), lambda c, i: F.coalesce(F.element_at("__new", i), c))
+    joined = F.when(delimiter(t, how) == "\n\n", F.array_join(new, "\n\n")).otherwise(F.array_join(new, "\n"))
     return out.withColumn(text_col, F.when(F.col("__new").isNotNull(), joined).otherwise(t)).drop("__new").select(*df.columns)

@@ -14,7 +14,7 @@ from textloom.functions import tokenize as T
 from textloom.functions.classify import multi_column, token_class
 from textloom.operators import checks, disambig, langmark, lexicon, ortho, quality, spacing, stats, stress, tag, ud, unknown
 from textloom.operators.cleaning import clean, native
-from textloom.runtime import table
+from textloom.runtime import spread, table
 from textloom.sources import sinks
 
 LETTERS = "A-Za-zА-Яа-яІіЇїЄєҐґЁёЎў"
@@ -180,7 +180,7 @@ def merged_counts(s, d):
 
 
 def _step(s, d, *steps):
-    r = table(s, d, "clean_requests").select("request_id", "text")
+    r = spread(table(s, d, "clean_requests").select("request_id", "text"))
     return native(r, list(steps)).select("request_id", F.md5("text").alias("digest"))
 
 
