@@ -138,6 +138,9 @@ def test_semantic_tags(spark):
 def test_older_spellings(spark, lex):
     w = spark.createDataFrame([("нашоі", None), ("називати", "ся"), ("щось", None)], "value string, next string")
     assert [(x.lemma, x.tags) for x in by_value(ortho.retag(w, lex, "lesya"))["нашоі"].readings] == [("наш", "adj:f:v_rod:pron:pos:alt")]
+    old = spark.createDataFrame([("пір'ям", "пір'я", "noun"), ("святити", "святити", "verb"), ("засідання", "засідання", "noun"), ("питання", "питання", "noun"), ("літопис", "літопис", "noun"), ("галицький", "галицький", "adj")], "form string, lemma string, tags string")
+    ask = spark.createDataFrame([(x,) for x in ("пірям", "сьвятити", "засїданя", "питаннє", "літопись", "галицкий")], "value string")
+    assert {v: r.readings[0].lemma for v, r in by_value(ortho.retag(ask, old, "zheleh")).items()} == {"пірям": "пір'я", "сьвятити": "святити", "засїданя": "засідання", "питаннє": "питання", "літопись": "літопис", "галицкий": "галицький"}
     got = by_value(ortho.retag(w, lex, "zheleh", spark.createDataFrame([("щось", "part")], "word string, tags string")))
     assert got["називати"].readings[0].lemma == "називатися" and got["щось"].readings[0].tags == "part"
 

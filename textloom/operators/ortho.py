@@ -45,8 +45,9 @@ ZHELEH = [
     [("(?iu)([сц])к", "$1ьк")],
     [("н?нє$", "ння"), ("л?лє$", "лля"), ("т?тє$", "ття")],
     [("(?iu)ссь", "сь"), ("(?iu)зь(?=[кс])", "з")],
-    [("ість$", "ости"), ("(?iu)сьть", "сть")],
-    [("(?iu)сьв", "св"), ("(?iu)зьв", "зв"), ("(?iu)цьв", "цв")],
+    [("(а)([нлт])([яю])", "$1$2$2$3")],
+    [("(?iu)([бвпмфр])([юяє])", "$1'$2")],
+    [("(?iu)([сцз])ь([бвпмф])([ія])", "$1$2$3")],
 ]
 
 
