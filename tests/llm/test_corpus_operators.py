@@ -119,6 +119,18 @@ def test_subjects(spark, monkeypatch):
     assert got == want
 
 
+def test_subjects_of_a_hot_text_and_a_large_subject(spark):
+    # sport is in three texts of four, and one law text is published again until it holds a third of the rows
+    said = {"sport": ["Команда виграла матч", "Тренер готує марафон"], "law": ["Суд розглянув позов", "Адвокат подав скаргу"]}
+    of = lambda k: "law" if k % 4 == 3 else "sport"
+    text = lambda k: f"{said[of(k)][0]} тут і {'абвгд'[k % 5] * 3}. {said[of(k)][1]} тут і {'клмно'[k // 5 % 5] * 3}. Номер {'прсту'[k // 25] * 3}."
+    docs = [(k, text(k), "uk") for k in range(100)] + [(1000 + k, text(99), "uk") for k in range(50)]
+    labels = [(k, of(k), "r1") for k in range(0, 100, 5)] + [(1000, "law", "r1"), (1001, "law", "r2"), (1002, "sport", "r3")]
+    frames = (spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, subject string, rater string"), spark.createDataFrame([("law", "x"), ("sport", "y")], "subject string, about string"))
+    got = {(r.doc_id, r.subject) for r in subject_areas.subjects_of(*subject_areas.subject_shares(*frames)).collect()}
+    assert got == {(k, of(k)) for k in range(100)} | {(1000 + k, "law") for k in range(50)}
+
+
 def test_subjects_without_labels(spark):
     docs, labels, subjects = _corpus(spark)
     assert subject_areas.subjects_of(*subject_areas.subject_shares(docs, labels.limit(0), subjects)).count() == 0

@@ -4,8 +4,12 @@ The graph links documents that share verified terms. It is kept in factors: two
 documents are as similar as their common terms make them, so passing labels from
 documents to terms and from terms to sentences and back to documents is
 propagation over that graph, without a row for each pair of documents. A term is
-verified when it is in neither too few nor too many documents, of the corpus and of any one
-language, and when the labels of its documents differ enough from the corpus.
+verified when it is in enough documents and when the labels of its documents differ enough
+from the corpus; a term of a large part of the corpus or of a language (it may only be a
+common word there) when they also differ enough from those of its languages.
+
+Equal texts are one document: the one with the least id stands for all of them, takes
+their labels together and gives its subjects to each.
 
 Every round is a chain of DataFrame joins and sums. Hand-made labels are clamped as
 long as the graph does not contradict them, and a document keeps every subject that
@@ -34,7 +38,8 @@ from textloom.llm.sentence_units import COUNTS, Splitter, corpus_counts
 from textloom.runtime import cut, cut_by, spread
 
 LEAST_SHARE = 2e-6
-#: Share of documents, of the corpus and of a language, above which a term says nothing.
+#: Share of documents, of the corpus and of a language, above which a term must also tell
+#: something beyond the language of its documents.
 MOST_SHARE, MOST_SHARE_OF_LANGUAGE = 0.1, 0.25
 #: Documents of a language from which its own share counts.
 LANGUAGE_DOCS = 20
@@ -82,8 +87,15 @@ def sentence_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return spread(src).mapInArrow(run, "doc_id bigint, lang string, n_sentences int, sentences array<array<bigint>>").filter("n_sentences > 0")
 
 
+def text_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, of)``: the least id of the documents with the same text."""
+    each = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.sha2(F.col(text_col).cast("binary"), 256).alias("same")).filter("doc_id is not null and same is not null")
+    return each.join(each.groupBy("same").agg(F.min("doc_id").alias("of")), "same").select("doc_id", "of")
+
+
 def verified_terms(d: DataFrame) -> DataFrame:
-    """``(term, docs)`` of the terms in enough and not too many documents."""
+    """``(term, docs, often)`` of the terms in enough documents, and whether they are in so
+    many, of the corpus or of a language, that they may be common words."""
     n = d.count()
     pairs = d.select("lang", F.explode(F.array_distinct(F.flatten("sentences"))).alias("term"))
     by = pairs.groupBy("term", "lang").agg(F.count("*").alias("n"))
@@ -91,13 +103,15 @@ def verified_terms(d: DataFrame) -> DataFrame:
     by = by.join(of, "lang").withColumn("share", F.when(F.col("n_lang") >= LANGUAGE_DOCS, F.col("n") / F.col("n_lang")).otherwise(0.0))
     terms = by.groupBy("term").agg(F.sum("n").alias("docs"), F.max("share").alias("share"))
     total = pairs.count()
-    return terms.filter((F.col("docs") >= max(2, total * LEAST_SHARE)) & (F.col("docs") <= MOST_SHARE * max(n, LANGUAGE_DOCS)) & (F.col("share") <= MOST_SHARE_OF_LANGUAGE)).select("term", "docs")
+    often = (F.col("docs") > MOST_SHARE * max(n, LANGUAGE_DOCS)) | (F.col("share") > MOST_SHARE_OF_LANGUAGE)
+    return terms.filter(F.col("docs") >= max(2, total * LEAST_SHARE)).select("term", "docs", often.alias("often"))
 
 
-def seeds(labels: DataFrame, names: list[str]) -> DataFrame:
-    """``(doc_id, s0, s1, ...)``: 1 for each subject that the document was labelled with."""
+def seeds(labels: DataFrame, names: list[str], copies: DataFrame) -> DataFrame:
+    """``(doc_id, s0, s1, ...)``: how many copies of the text were labelled with each subject."""
     s = F.lower(F.trim("subject"))
-    return labels.filter("doc_id is not null").groupBy("doc_id").agg(*(F.max((s == name).cast("double")).alias(f"s{k}") for k, name in enumerate(names))).fillna(0.0)
+    each = labels.filter("doc_id is not null").groupBy("doc_id").agg(*(F.max((s == name).cast("double")).alias(f"s{k}") for k, name in enumerate(names)))
+    return each.join(copies, "doc_id").groupBy(F.col("of").alias("doc_id")).agg(*(F.sum(c).alias(c) for c in _cols(len(names)))).fillna(0.0)
 
 
 def _cols(k: int) -> list[str]:
@@ -107,19 +121,31 @@ def _cols(k: int) -> list[str]:
 def _weights(passed: DataFrame, d: DataFrame, terms: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
     """``(term, w0, w1, ...)`` of the terms whose documents' labels tell something, and the
     share of each subject in what the documents pass on."""
-    s = _cols(k)
-    total = passed.agg(*(F.sum(c).alias(c) for c in s)).first()
-    mass = sum(total[c] or 0.0 for c in s)
+    s, e = _cols(k), [f"e{i}" for i in range(k)]
+    # two small letters, else "": at most 677 languages
+    passed = d.select("doc_id", F.regexp_extract("lang", "^[a-z]{2}$", 0).alias("lang"), F.array_distinct(F.flatten("sentences")).alias("t")).join(passed, "doc_id")
+    by = passed.groupBy("lang").agg(*(F.sum(c).alias(c) for c in s)).collect()
+    total = {c: sum(r[c] for r in by) for c in s}
+    mass = sum(total.values())
     if not mass:
         return terms.select("term", *(F.lit(0.0).alias(f"w{i}") for i in range(k))).limit(0), [1 / max(k, 1)] * k
-    prior = [max((total[c] or 0.0) / mass, 1e-4) for c in s]
+    prior = [max(total[c] / mass, 1e-4) for c in s]
+    # what a document of its language passes on: the labels to expect of a term that tells nothing more
+    mean = [(r["lang"], *(max(r[c] / sum(r[c] for c in s), 1e-4) for c in s)) for r in by]
+    mean = d.sparkSession.createDataFrame(mean, "lang string, " + ", ".join(f"{c} double" for c in e))
     # the documents are partitioned by id: only what is passed on moves, then sums by term
-    pairs = d.select("doc_id", F.array_distinct(F.flatten("sentences")).alias("t")).join(passed, "doc_id").select(*s, F.explode("t").alias("term"))
-    got = pairs.join(F.broadcast(terms.select("term")), "term").groupBy("term").agg(*(F.sum(c).alias(c) for c in s))
+    pairs = passed.join(F.broadcast(mean), "lang").select(*s, *e, F.explode("t").alias("term"))
+    got = pairs.join(F.broadcast(terms.select("term", "often")), "term").groupBy("term", "often").agg(*(F.sum(c).alias(c) for c in s + e))
     n = sum((F.col(c) for c in s), F.lit(0.0))
+    n_e = sum((F.col(c) for c in e), F.lit(0.0))
+
+    def told(p, q):
+        return sum((x * F.log(x / y) for x, y in zip(p, q)), F.lit(0.0))
+
     p = [(F.col(c) + PRIOR * q) / (n + PRIOR) for c, q in zip(s, prior)]
-    tells = sum((x * F.log(x / q) for x, q in zip(p, prior)), F.lit(0.0))
-    return got.filter(tells > INFORMATION).select("term", *(F.greatest(F.lit(LOW), F.least(F.lit(HIGH), F.log(x / q))).alias(f"w{i}") for i, (x, q) in enumerate(zip(p, prior)))), prior
+    of_languages = [F.col(c) / n_e for c in e]
+    beyond = told([(F.col(c) + PRIOR * q) / (n + PRIOR) for c, q in zip(s, of_languages)], of_languages)
+    return got.filter((told(p, prior) > INFORMATION) & (~F.col("often") | (beyond > INFORMATION))).select("term", *(F.greatest(F.lit(LOW), F.least(F.lit(HIGH), F.log(x / q))).alias(f"w{i}") for i, (x, q) in enumerate(zip(p, prior)))), prior
 
 
 def _shares(d: DataFrame, weights: DataFrame, prior: list[float], k: int) -> DataFrame:
@@ -141,7 +167,7 @@ def _pass_on(shares: DataFrame, seeded: DataFrame, k: int) -> DataFrame:
     them, else the subjects that enough of their sentences have."""
     s = _cols(k)
     both = shares.join(seeded.select("doc_id", *(F.col(c).alias(f"l{c}") for c in s)), "doc_id", "left")
-    good = {c: F.when((F.col(f"l{c}") > 0) & (F.col(c) >= CONTRADICTS), 1.0).otherwise(0.0) for c in s}
+    good = {c: F.when((F.col(f"l{c}") > 0) & (F.col(c) >= CONTRADICTS), F.col(f"l{c}")).otherwise(0.0) for c in s}
     found = {c: F.when(F.col(c) >= PASSES, F.col(c)).otherwise(0.0) for c in s}
     n_good, n_found = sum(good.values(), F.lit(0.0)), sum(found.values(), F.lit(0.0))
     out = both.select("doc_id", *(F.when(n_good > 0, good[c] / n_good).when(n_found > 0, found[c] / n_found).otherwise(0.0).alias(c) for c in s))
@@ -153,15 +179,16 @@ def subject_shares(docs: DataFrame, labels: DataFrame, subjects: DataFrame, roun
     names of the subjects (a short fixed table)."""
     names = [r[0] for r in subjects.select(F.lower(F.trim("subject"))).filter("subject is not null").distinct().orderBy(F.lower(F.trim("subject"))).collect()]
     k = len(names)
-    d = cut_by(sentence_terms(docs), "doc_id")
+    copies = cut(text_copies(docs))
+    d = cut_by(sentence_terms(docs), "doc_id", within=copies.filter("doc_id = of"))
     terms = cut(verified_terms(d))
-    seeded = seeds(labels, names)
+    seeded = seeds(labels, names, copies)
     n = sum((F.col(c) for c in _cols(k)), F.lit(0.0))
     passed = seeded.filter(n > 0).select("doc_id", *((F.col(c) / n).alias(c) for c in _cols(k)))
     for r in range(rounds):
         shares = cut(_shares(d, *_weights(passed, d, terms, k), k))
         passed = _pass_on(shares, seeded, k)
-    return shares, names
+    return copies.join(shares.withColumnRenamed("doc_id", "of"), "of").drop("of"), names
 
 
 def subjects_of(shares: DataFrame, names: list[str]) -> DataFrame:

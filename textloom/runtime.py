@@ -27,15 +27,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cut_by(df: DataFrame, *keys: str) -> DataFrame:
+def cut_by(df: DataFrame, *keys: str, within: DataFrame | None = None) -> DataFrame:
     """``cut``, partitioned by the keys, and the planner knows it: later joins and groupings
     on them do not shuffle this side again. (An adaptive plan would lose the partitioning, so
-    this one step is planned without.)"""
+    this one step is planned without.) Only rows with keys of ``within`` are kept, if given."""
     conf = df.sparkSession.conf
     before = conf.get("spark.sql.adaptive.enabled")
     conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return cut(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), *keys))
+        n = int(conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(n, *keys)
+        return cut(df if within is None else df.join(within.repartition(n, *keys), list(keys), "left_semi"))
     finally:
         conf.set("spark.sql.adaptive.enabled", before)
 
