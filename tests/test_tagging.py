@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +177,16 @@ def test_lexicon_joins(spark, lex):
     assert [r.form for r in lexicon.inflect(lex, "слово", "noun:inanim:n:v_naz.*").collect()] == ["слово"]
 
 
+def test_rules_that_match_close_together(spark):
+    text = "a!!! b!!! c!!!\n" + "x" * 50 + "!!!" + "y" * 50 + " слово слово слово" + "!" * 200
+    df = spark.createDataFrame([(1, text), (2, None), (3, "!!!"), (4, "ab")], "doc_id long, text string")
+    rules = [("REPEATED", r"(?iu)(?<!\p{L})(\p{L}{2,}) \1(?!\p{L})", "слово"), ("MARKS", "!!!", "!"), ("EMPTY", "(?=[ab])", "")]
+    got = sorted((r.doc_id, r.rule_id, r.found, r.context, len(r.caret) - len(r.found)) for r in checks.matches(df, rules).collect())
+    want = [(k, rule, m.group(), t[max(0, m.start() - 40) : m.end() + 40].replace("\n", " "), min(40, m.start())) for k, t in ((1, text), (3, "!!!"), (4, "ab")) for rule, pattern in (("REPEATED", r"(?<!\w)([^\W\d_]{2,}) \1(?!\w)"), ("MARKS", "!!!"), ("EMPTY", "(?=[ab])")) for m in re.finditer(pattern, t)]
+    assert got == sorted(want)
+    assert checks.matches(df.filter("doc_id = 1"), rules[1:2]).filter("context like 'a!!! b!!! c!!!%'").count() == 3
+
+
 def test_rules(spark):
     docs = spark.createDataFrame([(1, "слово слово тут!!!"), (2, None), (3, "")], "doc_id long, text string")
     m = checks.matches(docs, [("REPEATED", r"(?iu)(?<!\p{L})(\p{L}{2,}) \1(?!\p{L})", "слово"), ("MARKS", "!!!", "!")])
