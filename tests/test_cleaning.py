@@ -95,6 +95,18 @@ def test_rounds_give_what_a_broadcast_gives(spark, lexicons):
     assert a == b and a[0] == "урахування\n"
 
 
+def test_long_chains_of_answers_keep_their_rows(spark):
+    def chain(text, lex):
+        for k in range(14):
+            if not lex.has(f"{text}{k}"):
+                return f"{text} {k}"
+        return f"{text} end"
+
+    forms = spark.createDataFrame([(f"{t}{k}",) for t, n in (("а", 14), ("б", 13)) for k in range(n)], "form string")
+    df = spark.createDataFrame([(1, "а"), (2, "б")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in lexicon.rewrite(df, [chain], {"uk": forms}, limit=0).collect()} == {1: "а end", 2: "б 13"}
+
+
 def test_whole_plan(spark, lexicons):
     texts = ["Ураху-\r\nвання слова\r\n", None, "", "с­лово і трyба", "ы ы ы ы ы"]
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, status_before string")

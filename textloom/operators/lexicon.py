@@ -20,7 +20,6 @@ from textloom.runtime import cut, spread
 
 #: Forms up to which a lexicon is broadcast (some 50 MB).
 BROADCAST_FORMS = 1_000_000
-ROUNDS = 12
 Rewrite = Callable[[str, "Lexicon"], str]
 
 
@@ -131,7 +130,8 @@ def _pass(df: DataFrame, text_col: str, apply, told: bool = False) -> DataFrame:
 
 def _in_rounds(df: DataFrame, steps: list[Rewrite], table: DataFrame, text_col: str) -> DataFrame:
     """The rewrite for a lexicon that may not be broadcast: every round answers what the
-    texts asked in the round before."""
+    texts asked in the round before. A round answers a new question of every row that is left,
+    so they end."""
     columns = df.columns
     todo = cut(df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__told", F.array().cast("array<string>")))
     done = None
@@ -146,7 +146,7 @@ def _in_rounds(df: DataFrame, steps: list[Rewrite], table: DataFrame, text_col:
             out = s(out, x)
         return (text, sorted(f"{lang}\t{w}" for lang, w in x.asked)) if x.asked else (out, [])
 
-    for _ in range(ROUNDS):
+    while True:
         ran = cut(_pass(todo, text_col, apply, told=True))
         finished = ran.filter(F.size("__asked") == 0)
         done = finished if done is None else done.unionByName(finished)
