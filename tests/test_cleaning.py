@@ -165,3 +165,11 @@ def test_footers(spark):
 
     got = {r.doc_id: r.text for r in repeated_footers(df).collect()}
     assert got == {1: "рядок тексту\n" * 3 + "кінець", 2: page + "далі", 3: None}
+
+
+def test_gates_read_whole_texts(one):
+    long = "слово " * 200_000
+    assert one(lambda c: quality.letters_of(c, "ы"), t=long + "ы") == 1
+    two = "перша колонка      друга колонка\n"
+    assert not one(quality.two_columns, t=two * 3_200 + "рядок\n" * 5_000)
+    assert one(quality.suspect_empty_lines, t="Рядок.\n" * 20_000 + "рядок,\n\nдалі\n" * 6)

@@ -9,7 +9,6 @@ from textloom.functions.tokenize import UK
 
 # Letters of one alphabet only, endings that stand alone in broken words.
 ONLY_UK, ONLY_RU = "іїєґ", "ыэъё"
-SAMPLE = 1024 * 1024
 BROKEN = r"[ \t-](?:[вжтч]ання|[вжчт]ення|лись|н?ість|нів|н?ня|ної|ност[іи]|вської|обов(?!['’ʼ])|ств[оа]|ськ(?:а|ий|им|ого|ому|ої)|ться|[ює]ть|[єю]ться|ючи)(?![\p{L}\p{N}_])"
 PAGE_NUMBER = r"^[ \t]*[-_–—~][ \t]*[0-9]{1,4}[ \t]*[-_–—~][ \t]*\z"
 LONG_LINE, LONG_WORD = 4096, 36
@@ -30,8 +29,8 @@ def ukrainian_words(text: Column) -> Column:
 
 
 def letters_of(text: Column, letters: str) -> Column:
-    """How many of the letters the first 1 Mi characters hold, in either case."""
-    return F.length(F.regexp_replace(F.lower(F.substring(text, 1, SAMPLE)), f"[^{letters}]", ""))
+    """How many of the letters the text holds, in either case."""
+    return F.length(F.regexp_replace(F.lower(text), f"[^{letters}]", ""))
 
 
 def alphabet_ok(text: Column, min_words: int = 0) -> Column:
@@ -43,19 +42,18 @@ def alphabet_ok(text: Column, min_words: int = 0) -> Column:
 def two_columns(text: Column) -> Column:
     """Whether the text is laid out in two columns: five or more wide gaps, on more than
     three lines of four, and the second column starts at one place five times."""
-    head = F.substring(text, 1, 100 * 1024)
-    left = F.regexp_extract_all(head, F.lit(r"(?ium)(.*?[а-яїієґ] {4,})[а-яіїєґ].{4}"), F.lit(1))
+    left = F.regexp_extract_all(text, F.lit(r"(?ium)(.*?[а-яїієґ] {4,})[а-яіїєґ].{4}"), F.lit(1))
     widths = F.transform(F.slice(left, 1, 5), F.length)
-    gaps = F.length(head) - F.length(F.regexp_replace(head, "    ", "   "))
-    aligned = (F.size(left) >= 5) & (F.size(left) > (F.size(_lines(head)) - 1) * 0.75) & (F.array_min(widths) == F.array_max(widths))
+    gaps = F.length(text) - F.length(F.regexp_replace(text, "    ", "   "))
+    aligned = (F.size(left) >= 5) & (F.size(left) > (F.size(_lines(text)) - 1) * 0.75) & (F.array_min(widths) == F.array_max(widths))
     # the expensive part only where there are gaps at all
     return F.when(gaps < 5, False).otherwise(aligned)
 
 
 def suspect_empty_lines(text: Column) -> Column:
     """Blank lines inside sentences; a note only, nothing is rejected for it."""
-    head = F.regexp_replace(F.substring(text, 1, 100 * 1024), r"^[^\n]*\n[^\n]*\n", "")
-    return (_count(text, "\n\n") > 5) & head.rlike(rf"[{UK},:—–-]\s*\n\n[а-яіїєґ]")
+    body = F.regexp_replace(text, r"^[^\n]*\n[^\n]*\n", "")
+    return (_count(text, "\n\n") > 5) & body.rlike(rf"[{UK},:—–-]\s*\n\n[а-яіїєґ]")
 
 
 def page_number_lines(text: Column) -> Column:
