@@ -299,3 +299,8 @@ def test_scan_rows(spark):
     got = {(r.request_id, r.line_no, r.damage, r.repaired) for r in scan_repair.damages(df, [lex]).collect()}
     assert {(0, 1, "hyphen_wrap", "купити"), (0, 4, "page_number", "")} <= got and {g[0] for g in got} == {0}
     assert scan_repair.repaired_texts(df, [lex]).count() == 4
+
+
+def test_long_scanned_paragraph_is_whole():
+    lines = [scan_repair.Line(k + 1, "слова " * 9 + "далі") for k in range(300)]
+    assert scan_repair.paragraphs(lines, set(), 58) == [0]

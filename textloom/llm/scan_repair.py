@@ -233,12 +233,13 @@ def paragraphs(lines: list[Line], blank_before: set[int], width: int) -> list[in
 
     # best[j]: least cost of the first j lines, the last paragraph ending there
     best, at = [0.0] + [math.inf] * n, [0] * (n + 1)
+    # a line inside a paragraph costs nothing, so the cheapest start so far is kept, the last of equal ones
+    low = math.inf
     for j in range(1, n + 1):
-        run = 0.0
-        for i in range(j - 1, max(-1, j - 120), -1):
-            c = best[i] + (gap(i) if i else 0.0) + run
-            if c < best[j]:
-                best[j], at[j] = c, i
+        c = best[j - 1] + (gap(j - 1) if j > 1 else 0.0)
+        if c <= low:
+            low, start = c, j - 1
+        best[j], at[j] = low, start
     starts, j = [], n
     while j:
         starts.append(at[j])
