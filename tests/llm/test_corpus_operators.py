@@ -85,6 +85,13 @@ def test_mixture_is_brute_force(spark, sized):
     assert got == want
 
 
+def test_reached_shares_are_those_of_the_mixture(spark):
+    sized = spark.createDataFrame([(1, "big", 1.0, 1000), *((k, "small", 1.0, 10) for k in range(2, 102))], "doc_id long, src string, weight double, n_tokens long")
+    report = mixing.source_report(sized, spark.createDataFrame([("Big", 0.25, 1), ("small", 0.25, 1), ("none", 0.5, 1)], "source string, target_share double, max_repeats int"))
+    got = {r.source: (r.reached, r.reached_share) for r in mixing.reached(report, mixing.mix(sized, report)).collect()}
+    assert got == {"Big": (0, 0.0), "small": (500, 1.0), "none": (0, 0.0)}
+
+
 def test_source_names(spark):
     df = spark.createDataFrame([(1, "x y", "  Press \n"), (2, None, "press"), (3, "z", None), (4, "z", "")], "doc_id long, text string, source string")
     got = {r.doc_id: (r.src, r.n_tokens) for r in mixing.sized_documents(df).collect()}

@@ -46,7 +46,7 @@ def sized_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def source_report(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """One row for each source of the targets: what is there, what is wanted, how many
-    epochs and what fraction it takes, the share reached and whether it falls short.
+    epochs and what fraction it takes, the share planned and whether it falls short.
 
     The total is the size of all documents whose source is named; every source
     may take ``target_share`` of it, at most ``max_repeats`` times what it has.
@@ -64,6 +64,14 @@ def source_report(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return named.withColumn("reached_share", F.coalesce(F.col("budget") / F.nullif(F.sum("budget").over(W.partitionBy()), F.lit(0.0)), F.lit(0.0)))
 
 
+def reached(report: DataFrame, mixture: DataFrame) -> DataFrame:
+    """The report with the ``reached`` size and share of the documents that ``mix`` takes,
+    which are whole: less than planned by up to one document of a source."""
+    got = mixture.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("reached"))
+    r = report.drop("reached_share").join(got, "source", "left").withColumn("reached", F.coalesce("reached", F.lit(0)))
+    return r.withColumn("reached_share", F.coalesce(F.col("reached") / F.nullif(F.sum("reached").over(W.partitionBy()), F.lit(0)), F.lit(0.0)))
+
+
 def mix(sized: DataFrame, report: DataFrame, seed: int = 42) -> DataFrame:
     """``(doc_id, source, n_tokens, copies)`` of the documents that the mixture takes.
 

@@ -98,7 +98,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
-    return _mixed(spark, d)[1].select("source", "target_share", "max_repeats", "n_docs", "size", "total", "epochs", F.round("reached_share", 6).alias("reached_share"), "short")
+    sized, report = _mixed(spark, d)
+    return mixing.reached(report, mixing.mix(sized, report)).select("source", "target_share", "max_repeats", "n_docs", "size", "total", "epochs", F.round("reached_share", 6).alias("reached_share"), "short")
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
