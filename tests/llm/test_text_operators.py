@@ -44,6 +44,18 @@ def test_print_form_is_brute_force(texts):
     assert [unicodedata.normalize("NFC", x) for x in got] == [plain_form(t) for t in texts]
 
 
+@given(st.lists(st.text(alphabet="한하글가각ᄒ가ᅳᆫᆨᆧㅎㅏ\u200b\u0301a", max_size=14), max_size=5))
+def test_print_form_of_hangul_is_brute_force(texts):
+    got = print_form.print_form(pa.array(texts, pa.string())).to_pylist()
+    assert [unicodedata.normalize("NFC", x) for x in got] == [plain_form(t) for t in texts]
+    assert got == print_form.print_form(pa.array([unicodedata.normalize("NFD", t) for t in texts], pa.string())).to_pylist()
+
+
+def test_print_form_joins_hangul():
+    a = print_form.print_form(pa.array(["한글 각", unicodedata.normalize("NFD", "한글 각"), "한글 각", "ᄒ", "ᅡ", "ㅎㅏ", "하"])).to_pylist()
+    assert a[:3] == ["한글 각"] * 3 and a[3:5] == ["ᄒ", "ᅡ"] and a[5] != a[6] == "하"
+
+
 def test_print_form_batches_do_not_mix():
     a = ["́abc", "x", "", None, "̆"]
     assert print_form.print_form(pa.array(a)).to_pylist() == [print_form.print_form(pa.array([t], pa.string())).to_pylist()[0] for t in a]

@@ -39,6 +39,7 @@ INKLESS_LETTERS = "͏ᅟᅠ឴឵ㅤﾠ"
 LINE_BREAKS = "\u0085  "
 LAST = 0x30000
 HANGUL_S, HANGUL_N, HANGUL_V, HANGUL_T = 0xAC00, 11172, 21, 28
+JAMO_L, JAMO_V, JAMO_T = 0x1100, 0x1161, 0x11A7
 
 
 def _inkless(c: str, cat: str) -> bool:
@@ -109,7 +110,6 @@ def _row_of(offs: np.ndarray) -> np.ndarray:
 
 
 def _expand(points: np.ndarray, offs: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarray]:
-    # Hangul syllables are decomposed by arithmetic below when marks follow; here they stay whole
     after = np.append(points[1:], 0)
     last = np.zeros(len(points), bool)
     last[offs[1:][offs[1:] > offs[:-1]] - 1] = True
@@ -124,7 +124,25 @@ def _expand(points: np.ndarray, offs: np.ndarray, t: dict) -> tuple[np.ndarray,
         reps = n[wide]
         inner = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
         out[np.repeat(at[wide], reps) + inner] = t["parts"][np.repeat(t["start"][k], reps) + inner]
-    return out, at[offs]
+    return _join_jamo(out, at[offs], np.repeat(points, n) == out)
+
+
+def _join_jamo(p: np.ndarray, offs: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hangul syllables from the letters that join (``own``: written so, not folded from
+    letters that stand alone): first with second, then with a third one."""
+    for first, n, step, second, m in ((JAMO_L, 19, 1, JAMO_V, HANGUL_V), (HANGUL_S, HANGUL_N, HANGUL_T, JAMO_T + 1, HANGUL_T - 1)):
+        a = p.astype(np.int64) - first
+        b = p.astype(np.int64) - second
+        starts = np.zeros(len(p) + 1, bool)
+        starts[offs] = True
+        hit = np.flatnonzero((own & (a >= 0) & (a < n) & (a % step == 0))[:-1] & (own & (b >= 0) & (b < m))[1:] & ~starts[1:-1])
+        if not len(hit):
+            continue
+        p[hit] = HANGUL_S + (a[hit] * HANGUL_V + b[hit + 1]) * HANGUL_T if step == 1 else p[hit] + b[hit + 1] + 1
+        kept = np.ones(len(p), bool)
+        kept[hit + 1] = False
+        p, own, offs = p[kept], own[kept], np.concatenate([[0], np.cumsum(kept)])[offs]
+    return p, offs
 
 
 def _order_marks(p: np.ndarray, t: dict) -> np.ndarray:
