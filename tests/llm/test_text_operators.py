@@ -1,12 +1,14 @@
+import random
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from textloom.llm import char_model, encoding_repair, languages, print_form, quality, rule_lists, scan_repair, sentence_units, shape_examples, term_counts
+from textloom.llm import char_model, encoding_repair, languages, print_form, quality, rule_lists, scan_repair, sentence_units, shape_examples, shape_features, term_counts
 from textloom.llm.codepoints import to_points, to_strings
 from textloom.llm.seeds import SENTENCES
 
@@ -232,14 +234,41 @@ def test_rule_lists_find_thresholds():
 
 def test_shapes_on_held_out_documents(spark):
     df = requests(spark, SENTENCES["uk"].split("\n") * 4)
-    common = quality.common_words(df)
-    case = quality.learn_shapes(df, common, n=1500)
-    held = spark.createDataFrame(shape_examples.examples([], 400, seed=99), "text string, shape string")
-    from pyspark.sql import functions as F
-
-    out = quality.statistics(held, common).withColumn("said", F.expr(case))
-    right = out.filter("said = shape").count()
-    assert right > 0.9 * out.count()
+    fitted = encoding_repair.fit(df)
+    learned = quality.learn_shapes(df, quality.common_words(df), fitted, n=1500)
+    held = shape_examples.examples([], 400, seed=99)
+    said = learned.decide([t for t, _ in held], fitted[0])
+    assert (said == np.array([s for _, s in held])).mean() > 0.9 and learned.held_out < 0.1
+    # the CASE says the same
+    x = spark.createDataFrame([[k, *map(float, f)] for k, f in enumerate(np.nan_to_num(shape_features.features([t for t, _ in held], learned.common, fitted[0])))], ["k", *shape_features.FEATURES])
+    assert [r.said for r in x.selectExpr("k", f"{learned.sql()} AS said").orderBy("k").collect()] == list(said)
+
+
+def test_statistics_are_brute_force():
+    r = random.Random(5)
+    texts = ["".join(r.choice("абвіїABcd1 2  \n\n.,;|-!»ё́") for _ in range(r.randint(0, 120))) for _ in range(300)] + [None, "", " \n", "é" * 3000, "1) а\n2) б"]
+    common = ["а", "ab", "абв"]
+    got = shape_features.features(texts, shape_features.word_hashes(common), char_model.CharModel(np.ones(char_model.SLOTS)))
+    for t, f in zip(texts, got):
+        f = dict(zip(shape_features.FEATURES, f))
+        if not t or not t.strip():
+            assert np.isnan(f["n_words"])
+            continue
+        words = regex.findall(r"[\p{L}\p{M}\p{N}]+", t)
+        lines = [x.strip() for x in t.split("\n") if x.strip()]
+        want = {
+            "n_words": len(words),
+            "n_lines": len(lines),
+            "mean_word_length": sum(map(len, words)) / max(len(words), 1),
+            "common_share": sum(w.lower() in common for w in words) / max(len(words), 1),
+            "distinct_share": len({w.lower() for w in words}) / max(len(words), 1),
+            "line_end_share": sum(bool(regex.search(r"[.!?:][»\s]*$", x)) for x in lines) / len(lines),
+            "longest_line": max(map(len, lines)),
+            "repeat_share": 1 - len(set(lines)) / len(lines),
+            "symbol_ratio": len(regex.findall(r"[^\p{L}\p{M}\p{N}\s]", t)) / max(len(regex.findall(r"\S", t)), 1),
+            "pipe_share": sum(x.count("|") > 1 or " | " in x for x in lines) / len(lines),
+        }
+        assert {k: round(f[k], 9) for k in want} == {k: round(v, 9) for k, v in want.items()}, t
 
 
 def test_shape_rows(spark):
@@ -264,7 +293,8 @@ def test_languages_held_out():
         for n, s in enumerate(SENTENCES[lang].split("\n")):
             (test if n == 1 else texts).append(s)
             (want if n == 1 else langs).append(k)
-    c = languages._fit(texts, np.array(langs))
+    e = languages.Examples(texts, np.array(langs))
+    c = languages._fit(e, np.ones(len(texts), bool))
     assert (c.decode(c.margins(test)).argmax(1) == np.array(want)).all()
 
 
@@ -278,6 +308,13 @@ def test_mislabelled(spark):
     assert whole[3] == 3 and 4 not in whole
 
 
+def test_segments(spark):
+    ru, uk, en = (SENTENCES[x].split("\n")[0] for x in ("ru", "uk", "en"))
+    df = spark.createDataFrame([(1, f"{uk} {en}\n\n{ru}", None), (2, None, "uk"), (3, "", None), (4, uk, "uk")], "request_id long, text string, lang string")
+    got = sorted((r.request_id, r.para_no, r.segment_no, r.lang) for r in languages.segment_languages(df).collect())
+    assert got == [(1, 1, 1, "uk"), (1, 1, 2, "en"), (1, 2, 1, "ru"), (4, 1, 1, "uk")]
+
+
 # scanned pages (problem 6)
 
 PAGE = """Сьогодні вранці ми поїхали до міста, щоб ку-

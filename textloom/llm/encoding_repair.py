@@ -49,10 +49,10 @@ SWITCH, LOST = 6.0, 9.0
 VALIDATE_LINES = 1500
 #: Texts whose words are scored together.
 TOGETHER = 500
-#: Log-probability per character under which a word makes its line suspect.
-SUSPECT = -4.0
-#: Log-probability per character that the words changed by 8-bit chains must reach together.
-READABLE = -4.5
+#: Log-probability per character under which a word makes its line suspect, and which the
+#: words changed by 8-bit chains must reach together: before validation, and its bounds.
+SUSPECT, SUSPECT_BOUNDS = -4.0, (-4.5, -3.5)
+READABLE, READABLE_BOUNDS = -4.5, (-5.5, -4.0)
 _ASKED = re.compile(r"^[\"'«“(\[-]{0,3}\?[?'’-]*\?[\"'»”)\].,:;!…-]{0,3}$")
 
 
@@ -93,14 +93,82 @@ def undo(s: str, chain: tuple[str, ...]) -> str | None:
     return s
 
 
-def _plausible(chain: tuple[str, ...], after: str) -> bool:
-    """Whether ``after`` may be the text: bytes that form valid UTF-8 speak for
-    themselves when few are lost, an 8-bit code must give known characters only."""
+@functools.cache
+def _to_byte(read: str) -> np.ndarray:
+    """Byte of each character of the code, -1 for others; a line feed stays one."""
+    t = np.full(0x10000, -1, np.int16)
+    for b in range(256):
+        c = bytes([b]).decode(read, "ignore") if read != "ansi" else ""
+        if c:
+            t[ord(c)] = b
+    if read == "ansi":
+        t[list(_ansi())] = list(_ansi().values())
+    t[10] = 10
+    return t
+
+
+@functools.cache
+def _to_char(written: str) -> np.ndarray:
+    """Character of each byte of the code; 0 where there is none."""
+    return np.array([ord(bytes([b]).decode(written, "ignore") or "\0") for b in range(256)], np.uint32)
+
+
+@functools.cache
+def _fits() -> np.ndarray:
+    """Characters that a word read back through an 8-bit chain may have."""
+    ok = char_classes()[0].copy()
+    ok[0xC0:0x180] = True
+    return ok
+
+
+@functools.cache
+def _odd_letters() -> np.ndarray:
+    """Letters beyond ASCII."""
+    t = np.zeros(0x110000, bool)
+    t[[c for c in range(128, 0x30000) if chr(c).isalpha()]] = True
+    return t
+
+
+def _only(points: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """The words to keep, of words that end in line feeds."""
+    word = np.cumsum(points == 10) - (points == 10)
+    return points[keep[word]]
+
+
+def undo_all(points: np.ndarray, odd: np.ndarray, chain: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``undo`` of all words (code points, each word ended by a line feed) whose ``odd`` is
+    true: the numbers of the words for which the result is plausible, their code points without
+    lost ones, the places of the line feeds, and the characters lost in each."""
+    at = np.flatnonzero(odd)
+    points = _only(points, odd)
+    lost = np.zeros(len(at), np.int64)
+    for written, read in zip(chain[-2::-2], chain[::-2]):
+        raw = np.where(points < 0x10000, _to_byte(read)[np.minimum(points, 0xFFFF)], -1)
+        new = points == 10
+        word = np.cumsum(new) - new
+        good = np.bincount(word, raw < 0, minlength=len(at)) == 0
+        if written != "utf-8":
+            chars = _to_char(written)[raw]
+            good &= np.bincount(word, (chars == 0) & (points != 0), minlength=len(at)) == 0
+            points, at, lost = chars[good[word]], at[good], lost[good]
+        else:
+            raw, at, lost = raw[good[word]].astype(np.uint8), at[good], lost[good]
+            points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        if not len(at):
+            return at, points, at, lost
+    new = points == 10
+    word = np.cumsum(new) - new
     if "utf-8" in chain:
-        lost = after.count("�")
-        return not lost or len(after) >= 4 * lost and any(c > "\x7f" and c != "�" and c.isalpha() for c in after)
-    ok = char_classes()[0]
-    return all(ok[ord(c)] or 0xC0 <= ord(c) < 0x180 for c in after)
+        gone = points == 0xFFFD
+        lost = np.bincount(word, gone, minlength=len(at)).astype(np.int64)
+        size = np.bincount(word, minlength=len(at)) - 1
+        good = (lost == 0) | (size >= 4 * lost) & (np.bincount(word, _odd_letters()[points], minlength=len(at)) > 0)
+        keep = good[word] & ~gone
+    else:
+        good = np.bincount(word, ~_fits()[points] & ~new, minlength=len(at)) == 0
+        keep = good[word]
+    points = points[keep]
+    return at[good], points, np.flatnonzero(points == 10), lost[good]
 
 
 @functools.cache
@@ -164,10 +232,11 @@ class Repairer:
 
     HELD, OPTIONS_HELD, SLICE = 100_000, 20_000, 2_000
 
-    def __init__(self, model: CharModel, margins: tuple[float, float]):
-        self.model, self.margins = model, margins
+    def __init__(self, model: CharModel, margins: tuple[float, ...]):
+        self.model, self.margins = model, margins[:2]
+        self.suspects, self.readable = margins[2:] or (SUSPECT, READABLE)
         self.suspect: dict[str, bool] = {}
-        self.options: dict[str, tuple[np.ndarray, list]] = {}
+        self.options: dict[str, np.ndarray] = {}
 
     def learn(self, words: set[str]) -> None:
         """Which of the words make their line suspect: unlikely as they are, or with a
@@ -177,28 +246,25 @@ class Repairer:
             return
         plain = [readable(w) for w in new]
         scores = self.model.scores(plain).tolist()
-        self.suspect.update((w, x < SUSPECT * (len(w) + 1) or _strange(p)) for w, p, x in zip(new, plain, scores))
+        self.suspect.update((w, x < self.suspects * (len(w) + 1) or _strange(p)) for w, p, x in zip(new, plain, scores))
 
     def _learn_options(self, words: set[str]) -> None:
-        """What each word is through every chain, with its score."""
+        """The score of each word through every chain (-inf where it cannot be undone). The
+        words are undone together, chain by chain, as arrays of code points."""
         new = [w for w in words if w not in self.options]
         for k in range(0, len(new), self.SLICE):
-            self._learn_slice(new[k : k + self.SLICE])
-
-    def _learn_slice(self, new: list[str]) -> None:
-        texts, where, undone = [], [], {}
-        for w in new:
-            undone[w] = [w, *(None if w.isascii() else undo(w, c) for c in CHAINS)]
-            for k, t in enumerate(undone[w]):
-                if t is not None and k and not _plausible(CHAINS[k - 1], t):
-                    undone[w][k] = None
-                elif t is not None:
-                    texts.append(t.replace("�", "") if k else readable(t))
-                    where.append((w, k, t.count("�")))
-        scores = {w: np.full(len(CHAINS) + 1, -np.inf) for w in new}
-        for (w, k, lost), x in zip(where, self.model.scores(texts).tolist()):
-            scores[w][k] = x - LOST * lost
-        self.options.update({w: (scores[w], undone[w]) for w in new})
+            part = new[k : k + self.SLICE]
+            scores = np.full((len(part), len(CHAINS) + 1), -np.inf)
+            scores[:, 0] = self.model.scores([readable(w) for w in part])
+            odd = np.array([not w.isascii() for w in part])
+            points, _ = to_points(pa.array(["\n".join(part) + "\n"] if part else [], pa.large_string()))
+            for c, chain in enumerate(CHAINS, 1):
+                at, text, ends, lost = undo_all(points, odd, chain)
+                if len(at):
+                    p = np.where(text == 10, 32, text).astype(np.uint32)
+                    starts = np.concatenate([[0], ends[:-1] + 1])
+                    scores[at, c] = np.add.reduceat(self.model.logp(p, np.append(starts, len(p))), starts) - LOST * lost
+            self.options.update(zip(part, scores))
 
     def _decoded(self, line: str) -> tuple[str | None, float, bool]:
         """The likeliest reading of the line (lost bytes are U+FFFD), null if that is
@@ -211,14 +277,14 @@ class Repairer:
         if not any(self.suspect[words[i]] for i in odd):
             return None, 0.0, False
         self._learn_options({words[i] for i in odd})
-        best, back = self.options[words[odd[0]]][0].copy(), []
+        best, back = self.options[words[odd[0]]].copy(), []
         best[1:] -= SWITCH
-        plain = self.options[words[odd[0]]][0][0]
+        plain = self.options[words[odd[0]]][0]
         for i in odd[1:]:
             top = int(best.argmax())
             stay = best >= best[top] - SWITCH
             back.append(np.where(stay, np.arange(len(best)), top))
-            s = self.options[words[i]][0]
+            s = self.options[words[i]]
             best = np.where(stay, best, best[top] - SWITCH) + s
             plain += s[0]
         k = int(best.argmax())
@@ -228,11 +294,12 @@ class Repairer:
             path.append(int(step[path[-1]]))
         if not any(path):
             return None, gain, True
-        changed = [(words[i], k) for i, k in zip(odd, reversed(path)) if k and "utf-8" not in CHAINS[k - 1]]
-        if sum(self.options[w][0][k] for w, k in changed) < READABLE * sum(len(self.options[w][1][k]) + 1 for w, k in changed):
+        was = [undo(words[i], CHAINS[k - 1]) if k else words[i] for i, k in zip(odd, reversed(path))]
+        changed = [(words[i], k, x) for i, k, x in zip(odd, reversed(path), was) if k and "utf-8" not in CHAINS[k - 1]]
+        if sum(self.options[w][k] for w, k, _ in changed) < self.readable * sum(len(x) + 1 for _, _, x in changed):
             return None, gain, True
-        for i, k in zip(odd, reversed(path)):
-            words[i] = self.options[words[i]][1][k]
+        for i, x in zip(odd, was):
+            words[i] = x
         return "".join(words), gain, bool(changed)
 
     def line(self, line: str, lost: bool = False) -> tuple[str | None, float, bool]:
@@ -292,18 +359,29 @@ class Repairer:
         return "\n".join(lines)
 
 
-def validate_margins(model: CharModel, lines: list[str]) -> tuple[float, float]:
+def validate_margins(model: CharModel, lines: list[str]) -> tuple[float, ...]:
     """The margins of chains through UTF-8 and of 8-bit chains: between the gain of clean
-    lines and of the same lines garbled with every chain, where the fewest go wrong."""
-    r = Repairer(model, (0.0, 0.0))
+    lines and of the same lines garbled with every chain, where the fewest go wrong; and the
+    scores of suspect and of readable words: those of nearly all garbled and clean lines."""
+    worst, likely = [], []
+    pairs = [(s, garble(s, CHAINS[n % len(CHAINS)])) for n, s in enumerate(lines)]
+    pairs = [(s, g) if g != s else (s, None) for s, g in pairs]
+    for s, g in pairs:
+        if g:
+            words = [w for w in _ALL_BLANKS.split(g) if not w.isascii()]
+            worst.append(min(x / (len(w) + 1) for w, x in zip(words, model.scores([readable(w) for w in words]))) if words else SUSPECT)
+            words = [w for w in _ALL_BLANKS.split(s) if not w.isascii()]
+            likely.append(model.scores(words).sum() / sum(len(w) + 1 for w in words) if words else READABLE)
+    suspects = float(np.clip(np.quantile(worst, 0.998), *SUSPECT_BOUNDS)) if worst else SUSPECT
+    legibly = float(np.clip(np.quantile(likely, 0.1), *READABLE_BOUNDS)) if likely else READABLE
+    r = Repairer(model, (0.0, 0.0, suspects, legibly))
     clean, bad = ([], []), ([], [])
-    for n, s in enumerate(lines):
-        g = garble(s, CHAINS[n % len(CHAINS)])
-        r.prepare([s, g])
+    r.prepare([x for p in pairs for x in p])
+    for s, g in pairs:
         was, gain, eight_bit = r.line(s)
         if was is not None:
             clean[eight_bit].append(gain)
-        if g and g != s:
+        if g:
             was, gain, eight_bit = r.line(g)
             if was == s:
                 bad[eight_bit].append(gain)
@@ -313,10 +391,10 @@ def validate_margins(model: CharModel, lines: list[str]) -> tuple[float, float]:
         wrong = [3 * (np.array(c) > x).sum() + (np.array(b) <= x).sum() for x in cuts]
         good = cuts[np.array(wrong) == min(wrong)]
         out.append(float(good[len(good) // 2]) if b else 2 * least)
-    return out[0], out[1]
+    return out[0], out[1], suspects, legibly
 
 
-def fit(df: DataFrame, text_col: str = "text", id_col: str = "request_id") -> tuple[CharModel, tuple[float, float]]:
+def fit(df: DataFrame, text_col: str = "text", id_col: str = "request_id") -> tuple[CharModel, tuple[float, ...]]:
     """The model over all clean lines and its validated margins."""
     model = train(df, text_col)
     texts = df.filter(F.col(text_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(VALIDATE_LINES // 3).select(text_col).toArrow().column(0)
@@ -333,7 +411,7 @@ def fit(df: DataFrame, text_col: str = "text", id_col: str = "request_id") -> tu
     return model, validate_margins(model, lines[:VALIDATE_LINES])
 
 
-def garbled_lines(df: DataFrame, id_col: str = "request_id", text_col: str = "text", fitted: tuple[CharModel, tuple[float, float]] | None = None) -> DataFrame:
+def garbled_lines(df: DataFrame, id_col: str = "request_id", text_col: str = "text", fitted: tuple[CharModel, tuple[float, ...]] | None = None) -> DataFrame:
     """``(id, line_no, restored)`` for each garbled line."""
     model, margins = fitted or fit(df, text_col, id_col)
     held = df.sparkSession.sparkContext.broadcast(model.counts)
@@ -363,7 +441,7 @@ def legible(text: str) -> str:
     return text if text.isascii() or not _ODD.search(text) else "".join(x if x.isascii() else readable(x) for x in re.split("([ \t\r\n]+)", text))
 
 
-def restored_texts(df: DataFrame, id_col: str = "request_id", text_col: str = "text", fitted: tuple[CharModel, tuple[float, float]] | None = None, clear: bool = False) -> DataFrame:
+def restored_texts(df: DataFrame, id_col: str = "request_id", text_col: str = "text", fitted: tuple[CharModel, tuple[float, ...]] | None = None, clear: bool = False) -> DataFrame:
     """``(id, text)`` of all rows, garbled lines restored where that is possible; with
     ``clear`` also legible."""
     model, margins = fitted or fit(df, text_col, id_col)

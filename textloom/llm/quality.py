@@ -1,9 +1,11 @@
 """Problem 4: per-document text statistics and a verdict of prose, list, table or junk.
 
-The statistics are native expressions. An ordered rule list is induced by
-incremental reduced-error pruning on labelled documents (``shape_examples``: laid
-out by rule from words and sentences of a bounded sample of the corpus, so the
-label is known), exported as one SQL CASE, and applied natively to every text.
+The statistics of ``shape_features`` are counted in one Arrow pass. An ordered rule list is
+induced by incremental reduced-error pruning on labelled documents, exported as one SQL CASE, and
+applied natively. The labelled documents are of two kinds: laid out by rule from words and
+sentences of a bounded sample of the corpus (``shape_examples``), so the label is known; and
+texts of that sample about which all of ``TRIALS`` rule lists of the first kind agree. A quarter
+of both is held out, and the list that errs least there stays.
 
 Damage by encoding does not count: garbled lines are restored and odd characters made
 legible first, and what is lost for good counts as letters.
@@ -14,96 +16,45 @@ Defined cases: null, empty and blank texts have null statistics and a null verdi
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import rule_lists
-from textloom.llm.encoding_repair import restored_texts
+from textloom.llm.char_model import CharModel
+from textloom.llm.encoding_repair import TOGETHER, Repairer, legible
+from textloom.llm.encoding_repair import fit as fit_encoding
 from textloom.llm.shape_examples import examples
+from textloom.llm.shape_features import FEATURES, STATS, features, word_hashes
 from textloom.llm.term_counts import term_counts
-from textloom.runtime import blank_to_null
+from textloom.runtime import spread
 
-#: Labelled documents, and texts drawn for their words and sentences.
-EXAMPLES, DRAWN = 6000, 500
+__all__ = ["STATS", "Shapes", "common_words", "learn_shapes", "shapes"]
+
+#: Documents laid out by rule, and texts drawn for their words and sentences and as examples;
+#: of a longer text only as much is drawn as ``DRAWN_CHARS`` (an excerpt for training; every
+#: text is judged whole).
+EXAMPLES, DRAWN, DRAWN_CHARS = 15_000, 500, 20_000
 #: Rule lists induced on three quarters of them; the one that errs least on the last quarter stays.
-TRIALS = 5
+TRIALS = 9
+ORDER, DEFAULT = ["table", "junk", "list"], "prose"
 #: Words that count as common: those in the most records.
 COMMON = 150
-STATS = ["n_words", "n_lines", "mean_word_length", "symbol_ratio", "digit_ratio", "line_end_share", "common_share"]
-FEATURES = [
-    *STATS, "words_a_line", "letter_share", "stop_rate", "short_line_share", "lead_share", "pipe_share", "tab_share", "semicolon_share", "comma_share", "gap_share",
-    "cell_share", "distinct_share", "hard_share", "hex_share", "repeat_share", "line_length", "long_word_share", "entry_chars", "fill", "longest_line",
-]
-_END = r"[.!?…。！？।؟:][\"'»”’)」』\]]*$"
-_LEAD = r"^([-•▪◦*·]|\d{1,3}[.)]|\p{L}\)|\[\d{1,3}\]|\(\d{1,3}\)) ?\p{L}"
-_NO_VOWEL = r"[бвгджзйклмнпрстфхцчшщґbcdfghjklmnpqrstvwxz]{6,}|(\p{L})\1{2,}"
-_CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
-
-
-def _share(lines: Column, test) -> Column:
-    return F.size(F.filter(lines, test)) / F.greatest(F.size(lines), F.lit(1))
-
-
-def _ratio(text: Column, pattern: str, of: Column) -> Column:
-    return F.length(F.regexp_replace(text, f"{pattern}+", "")) / F.greatest(of, F.lit(1))
-
-
-def statistics(df: DataFrame, common: list[str], text_col: str = "text") -> DataFrame:
-    """``df`` with the columns of ``FEATURES``, all native."""
-    lost = F.size(F.regexp_extract_all(text_col, F.lit(r"(?<![^\s\"'«(-])\?{2,}(?![?\w])"), F.lit(0)))
-    t = F.translate(F.regexp_replace(F.regexp_replace(F.col(text_col), "\r", ""), "��", "ta"), "�", "a")
-    # words replaced by question marks: what is left of a text, not a pattern of symbols
-    # words replaced by question marks: what is left of a text, not a pattern of symbols
-    t = F.when(lost > 2, F.translate(F.regexp_replace(t, r"\?\?", "ta"), "?", "a")).otherwise(t)
-    df = df.withColumn("__t", blank_to_null(t))
-    df = df.withColumn("__lines", F.filter(F.transform(F.split("__t", "\n"), lambda x: F.regexp_replace(x, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")), lambda x: x != ""))
-    df = df.withColumn("__low", F.lower("__t"))
-    df = df.withColumn("__words", F.regexp_extract_all("__low", F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)))
-    df = df.withColumns({"__letters": F.length(F.regexp_replace("__low", r"[^\p{L}]+", "")), "__ink": F.length(F.regexp_replace("__t", r"[\s\p{Z}]+", ""))})
-    lines, words, t, low, letters, ink = (F.col(f"__{c}") for c in ("lines", "words", "t", "low", "letters", "ink"))
-    found = lambda c, p: F.size(F.regexp_extract_all(c, F.lit(p), F.lit(0)))
-    n = F.greatest(F.size(words), F.lit(1))
-    tables = {
-        "pipe_share": lambda x: x.rlike(r"\|.*\|| \| "),
-        "tab_share": lambda x: x.contains("\t"),
-        "semicolon_share": lambda x: x.rlike(r";[^ ].*;|;.*;$|^[^;]+;[^; ][^;]*$"),
-        "comma_share": lambda x: x.rlike(rf"[^ {_CJK}],[^ {_CJK}].*,|,.*[^ {_CJK}],[^ {_CJK}]|^[^,]+,[^ ,{_CJK}][^,]*$|,$"),
-        "gap_share": lambda x: x.rlike(r"[^\s.!?…] {3,}\S|^\S+( {2,}\S+){2,}$"),
-    }
-    stats = {
-        "n_words": F.size(words),
-        "n_lines": F.size(lines),
-        "mean_word_length": _ratio(t, r"[^\p{L}\p{M}\p{N}]", n),
-        "symbol_ratio": _ratio(t, r"[\p{L}\p{M}\p{N}\s\p{Z}]", ink),
-        "digit_ratio": _ratio(t, r"[^\p{N}]", ink),
-        "line_end_share": _share(lines, lambda x: x.rlike(_END)),
-        "common_share": F.size(F.filter(words, lambda w: w.isin(common))) / n if common else F.lit(0.0),
-        "words_a_line": F.size(words) / F.greatest(F.size(lines), F.lit(1)),
-        "letter_share": letters / F.greatest(F.length(F.regexp_replace(low, r"[^\p{L}\p{N}]+", "")), F.lit(1)),
-        "stop_rate": F.size(F.regexp_extract_all(t, F.lit(r"[\p{L}\p{M})»”\"%][.!?…]+(?=\s|$|[»”\"])|[。！？।؟]"), F.lit(0))) / F.greatest(F.size(lines), F.lit(1)),
-        "short_line_share": _share(lines, lambda x: (F.length(x) < 36) & ~x.rlike(_END)),
-        "lead_share": _share(lines, lambda x: x.rlike(_LEAD)),
-        "distinct_share": F.size(F.array_distinct(words)) / n,
-        "hard_share": (letters - F.length(F.regexp_replace(F.regexp_replace(low, _NO_VOWEL, ""), r"[^\p{L}]+", ""))) / F.greatest(letters, F.lit(1)),
-        "long_word_share": found(low, r"[a-zа-яіїєґ0-9]{25,}") / n,
-        "entry_chars": F.aggregate(F.filter(lines, lambda x: x.rlike(_LEAD) | (F.length(x) < 36) & ~x.rlike(_END)), F.lit(0), lambda a, x: a + F.length(x)) / F.greatest(F.length(t), F.lit(1)),
-        "fill": F.length(t) / F.greatest(F.size(lines), F.lit(1)) / F.greatest(F.array_max(F.transform(lines, F.length)), F.lit(1)),
-        "longest_line": F.array_max(F.transform(lines, F.length)),
-        "hex_share": found(low, r"(?<![\p{L}\p{N}])[0-9a-f]{2}(?![\p{L}\p{N}])") / n,
-        "repeat_share": F.lit(1.0) - F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1)),
-        "line_length": F.length(t) / F.greatest(F.size(lines), F.lit(1)),
-    } | {k: _share(lines, f) for k, f in tables.items()}
-    # a column of random numbers in the same projection, used by every verdict, keeps the optimizer
-    # from copying all these expressions into the filters on the verdict
-    df = df.withColumns({k: F.when(t.isNotNull(), c.cast("double")) for k, c in stats.items()} | {"__once": F.rand()})
-    df = df.withColumn("cell_share", F.greatest(*tables))
-    return df.drop("__t", "__lines", "__words", "__low", "__letters", "__ink")
-
-
-def with_shape(df: DataFrame, common: list[str], case: str, text_col: str = "text") -> DataFrame:
-    """``df`` with the statistics and the verdict of the rules."""
-    out = statistics(df, common, text_col)
-    return out.withColumn("shape", F.when(F.col("n_lines").isNotNull() & (F.col("__once") >= 0), F.expr(case))).drop("__once")
+
+
+class Shapes:
+    """The learned rules with the hashes of the common words, and how often they err on
+    held-out documents."""
+
+    def __init__(self, rules: list[rule_lists.Rule], common: np.ndarray, held_out: float):
+        self.rules, self.common, self.held_out = rules, common, held_out
+
+    def decide(self, texts: list[str | None], model: CharModel) -> np.ndarray:
+        """The verdicts of texts, as the CASE gives them; blank texts are ``prose``."""
+        return rule_lists.decide(np.nan_to_num(features(texts, self.common, model)), self.rules, DEFAULT)
+
+    def sql(self) -> str:
+        return rule_lists.to_sql(self.rules, FEATURES, DEFAULT)
 
 
 def common_words(df: DataFrame, text_col: str = "text") -> list[str]:
@@ -112,27 +63,56 @@ def common_words(df: DataFrame, text_col: str = "text") -> list[str]:
     return [r.term for r in t.select("term").collect()]
 
 
-def learn_shapes(df: DataFrame, common: list[str], id_col: str = "request_id", text_col: str = "text", n: int = EXAMPLES) -> str:
-    """The CASE expression learned on ``n`` labelled documents."""
-    drawn = df.filter(F.col(text_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(DRAWN).select(text_col)
-    labelled = examples([r[0] for r in drawn.collect()], n)
-    numbered = [(k, *x) for k, x in enumerate(labelled)]
-    rows = statistics(df.sparkSession.createDataFrame(numbered, "no int, text string, shape string"), common).select("no", "shape", *FEATURES).toPandas()
-    rows = rows[rows.n_words.notna()].sort_values("no")
-    x, y = rows[FEATURES].to_numpy(np.float64), rows["shape"].to_numpy(str)
+def _induce(x: np.ndarray, y: np.ndarray) -> tuple[list[list[rule_lists.Rule]], list[float]]:
+    """The rule lists of all trials, and the share of held-out documents on which each errs."""
     held = np.arange(len(x)) % 4 == 3
-    best, least = [], len(x) + 1
-    for trial in range(TRIALS):
-        rules = rule_lists.induce(x[~held], y[~held], ["table", "list", "junk"], seed=trial)
-        wrong = int((rule_lists.decide(x[held], rules, "prose") != y[held]).sum())
-        if wrong < least:
-            best, least = rules, wrong
-    return rule_lists.to_sql(best, FEATURES, "prose")
-
-
-def shapes(df: DataFrame, id_col: str = "request_id", text_col: str = "text", restored: DataFrame | None = None) -> DataFrame:
+    lists = [rule_lists.induce(x[~held], y[~held], ORDER, seed=trial) for trial in range(TRIALS)]
+    return lists, [float((rule_lists.decide(x[held], rules, DEFAULT) != y[held]).mean()) for rules in lists]
+
+
+def learn_shapes(df: DataFrame, common: list[str], fitted: tuple, id_col: str = "request_id", text_col: str = "text", n: int = EXAMPLES) -> Shapes:
+    """The rules learned on ``n`` documents laid out by rule and on agreed texts of the sample."""
+    drawn = df.filter(F.col(text_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(DRAWN).select(F.substring(text_col, 1, DRAWN_CHARS).alias("text"))
+    repairer = Repairer(*fitted)
+    texts = [r.text for r in drawn.collect()]
+    repairer.prepare(texts)
+    texts = [legible(repairer.text(t)) for t in texts]
+    laid_out = examples(texts, n)
+    hashes = word_hashes(common)
+    x, y = features([legible(t) for t, _ in laid_out], hashes, fitted[0]), np.array([s for _, s in laid_out])
+    x, y = x[~np.isnan(x[:, 0])], y[~np.isnan(x[:, 0])]
+    lists, errs = _induce(x, y)
+    own = features(texts, hashes, fitted[0])
+    own = own[~np.isnan(own[:, 0])]
+    if len(own):
+        said = np.stack([rule_lists.decide(own, rules, DEFAULT) for rules in lists])
+        agreed = (said == said[0]).all(0)
+        x, y = np.concatenate([x, own[agreed]]), np.concatenate([y, said[0][agreed].astype(str)])
+        lists, errs = _induce(x, y)
+    best = int(np.argmin(errs))
+    return Shapes(lists[best], hashes, errs[best])
+
+
+def shapes(df: DataFrame, id_col: str = "request_id", text_col: str = "text") -> DataFrame:
     """``(id, statistics..., shape)``, one row for each input row."""
-    restored = restored_texts(df, id_col, text_col, clear=True) if restored is None else restored
-    common = common_words(df, text_col)
-    case = learn_shapes(df, common, id_col, text_col)
-    return with_shape(restored, common, case).drop("text")
+    fitted = fit_encoding(df, text_col, id_col)
+    learned = learn_shapes(df, common_words(df, text_col), fitted, id_col, text_col)
+    held = df.sparkSession.sparkContext.broadcast((fitted[0].counts, fitted[1], learned.common))
+
+    def run(batches):
+        counts, margins, common = held.value
+        model = CharModel(counts)
+        r = Repairer(model, margins)
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for k in range(0, len(texts), TOGETHER):
+                part = texts[k : k + TOGETHER]
+                r.prepare(part)
+                x = features([t and legible(r.text(t)) for t in part], common, model)
+                stats = [pa.array(c, pa.float64(), from_pandas=True) for c in x.T]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, len(part)), *stats], names=["id", *FEATURES])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    src = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    out = src.mapInArrow(run, f"id {kind}, " + ", ".join(f"{c} double" for c in FEATURES))
+    return out.withColumn("shape", F.when(F.col("n_lines").isNotNull(), F.expr(learned.sql()))).withColumnRenamed("id", id_col)

@@ -27,6 +27,10 @@ def p1_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return languages.paragraph_languages(_requests(spark, d, "lang"))
 
 
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    return languages.segment_languages(_requests(spark, d, "lang")).drop("label")
+
+
 def p1_requests(spark: SparkSession, d: str) -> DataFrame:
     return languages.request_languages(languages.paragraph_languages(_requests(spark, d, "lang")))
 
