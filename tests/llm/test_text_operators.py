@@ -239,9 +239,9 @@ def test_shapes_on_held_out_documents(spark):
     held = shape_examples.examples([], 400, seed=99)
     said = learned.decide([t for t, _ in held], fitted[0])
     assert (said == np.array([s for _, s in held])).mean() > 0.9 and learned.held_out < 0.1
-    # the CASE says the same
+    # the native CASE expressions say the same
     x = spark.createDataFrame([[k, *map(float, f)] for k, f in enumerate(np.nan_to_num(shape_features.features([t for t, _ in held], learned.common, fitted[0])))], ["k", *shape_features.FEATURES])
-    assert [r.said for r in x.selectExpr("k", f"{learned.sql()} AS said").orderBy("k").collect()] == list(said)
+    assert [r.said for r in x.select("k", learned.column().alias("said")).orderBy("k").collect()] == list(said)
 
 
 def test_statistics_are_brute_force():

@@ -2,13 +2,16 @@
 
 For each class in turn, rules are grown on two thirds of the remaining examples
 (the condition with the largest gain in information comes next) and pruned on
-the other third; a rule that errs on half of what it covers there ends the class.
+the other third; a class ends when on several splits in turn the rule errs on half of what
+it covers there.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Splits on which no good rule was found after which a class ends.
+FAILURES = 4
 #: Bins of a feature; candidate thresholds lie between two of them.
 BINS = 250
 
@@ -99,20 +102,22 @@ def induce(x: np.ndarray, shapes: np.ndarray, order: list[str], seed: int = 3) -
     rules: list[Rule] = []
     left = np.ones(len(x), bool)
     for shape in order:
-        while True:
+        failed = 0
+        while failed < FAILURES:
             at = rng.permutation(np.flatnonzero(left))
             y = shapes[at] == shape
             grow = np.arange(len(at)) % 3 != 0
             if y[grow].sum() < 3 or not (~y[grow]).any():
                 break
             conditions = _grow(x, bins, at[grow], y[grow])
-            if not conditions:
-                break
-            conditions = _prune(x[at[~grow]], y[~grow], conditions)
-            hit = covers(x[at[~grow]], conditions)
-            p, n = (hit & y[~grow]).sum(), (hit & ~y[~grow]).sum()
-            if p <= n:
-                break
+            if conditions:
+                conditions = _prune(x[at[~grow]], y[~grow], conditions)
+                hit = covers(x[at[~grow]], conditions)
+                p, n = (hit & y[~grow]).sum(), (hit & ~y[~grow]).sum()
+            if not conditions or p <= n:
+                failed += 1
+                continue
+            failed = 0
             rules.append((shape, conditions))
             left &= ~covers(x, conditions)
     return rules

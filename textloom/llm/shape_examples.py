@@ -65,6 +65,13 @@ def _prose(r: random.Random, said: list[str]) -> str:
     return " ".join(pick)
 
 
+def _lost(r: random.Random, text: str) -> str:
+    """The text with letters that encoding has destroyed, all or those of some sentences."""
+    if r.random() < 0.5:
+        return text.encode("ascii", "replace").decode() if not text.isascii() else text
+    return re.sub(r"[^\W\d_]", lambda m: "�" * r.randint(1, 2) if r.random() < 0.5 else m[0], text)
+
+
 def _entry(r: random.Random, words: list[str], most: int = 4) -> str:
     e = " ".join(r.choice(words) for _ in range(r.randint(1, most)))
     return e.capitalize() if r.random() < 0.4 else e
@@ -130,7 +137,7 @@ def _junk(r: random.Random, words: list[str]) -> str:
         lines = ["".join(r.choice(abc + abc.upper() + "..!!??") * r.randint(9, 50) for _ in range(r.randint(4, 20)))]
     elif kind == 6:
         part = r.choice((r.choice(words), _entry(r, words), _entry(r, words), r.choice(abc) * r.randint(2, 4), "la" + r.choice(abc), r.choice(words) + r.choice("!.- ")))
-        lines = [r.choice((" ", "", "-", ", ", "\n", "\n")).join([part] * r.randint(6, 30)) for _ in range(n)]
+        lines = [r.choice((" ", "", "-", ", ", "\n", "\n")).join([part] * r.randint(6, 60)) for _ in range(r.choice((1, 1, n)))]
     else:
         lines = ["".join(r.choice(abc + abc.upper() + SYMBOLS + "0123456789    ") for _ in range(r.randint(10, 60))) for _ in range(n)]
     return "\n".join(lines)
@@ -147,5 +154,7 @@ def examples(texts: list[str], n: int, seed: int = 7) -> list[tuple[str, str]]:
         shape = ("prose", "list", "prose", "table", "prose", "junk")[k % 6]
         pool = r.sample(words, min(len(words), r.choice((4, 8, 15, 40, 200))))  # some lists repeat themselves
         t = {"prose": lambda: _prose(r, said), "list": lambda: _list(r, pool, said), "table": lambda: _table(r, pool), "junk": lambda: _junk(r, words)}[shape]()
+        if shape == "prose" and r.random() < 0.06:
+            t = _lost(r, t)
         out.append((t.replace("\n", "\r\n") if r.random() < 0.1 else t, shape))
     return out

@@ -24,7 +24,7 @@ FEATURES = [
 #: Texts taken together, so that the arrays stay small.
 SLICE = 2_000_000
 SHORT = 36
-LETTER, MARK, DIGIT, BLANK, CONTROL, CONSONANT, HEX, CJK, END, FULL, CLOSER, STOP, BEFORE_STOP, BULLET, LONG = (1 << k for k in range(15))
+LETTER, MARK, DIGIT, BLANK, CONTROL, CONSONANT, HEX, CJK, END, FULL, CLOSER, STOP, BEFORE_STOP, BULLET, LONG, UNCASED = (1 << k for k in range(16))
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -35,11 +35,11 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
     for p in [*range(0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x10000)]:
         c = chr(p)
         kind = unicodedata.category(c)
-        t[p] = LETTER * (kind[0] == "L") | MARK * (kind[0] == "M") | DIGIT * (kind[0] == "N") | BLANK * (c.isspace() or kind[0] == "Z") | CONTROL * (p < 32 or 127 <= p < 160)
+        t[p] = LETTER * (kind[0] == "L") | MARK * (kind[0] == "M") | DIGIT * (kind[0] == "N") | BLANK * (c.isspace() or kind[0] == "Z") | CONTROL * (p < 32 or 127 <= p < 160) | UNCASED * (kind[0] in "LM" and c.lower() == c.upper())
         if len(c.lower()) == 1:
             low[p] = ord(c.lower())
     for a, b in ((0x3400, 0xA000), (0xAC00, 0xD7A4), (0x20000, 0x30000)):
-        t[a:b] = LETTER
+        t[a:b] = LETTER | UNCASED
     for a, b in ((0x4E00, 0xA000), (0x3400, 0x4DC0), (0x3040, 0x3100), (0xE00, 0xE80)):
         t[a:b] |= CJK
     for chars, bit in (
@@ -268,7 +268,8 @@ def _features(texts: list[str], common: np.ndarray, model: CharModel) -> np.ndar
     f |= {
         "n_distinct": distinct,
         "unspaced_share": per_row(is_(CJK) & letter) / np.maximum(letters, 1),
-        "likelihood": np.bincount(row, model.logp(plain, offs), minlength=n) / np.diff(offs),
+        # letters of scripts without case are too rare in most corpora for their likelihood to tell anything
+        "likelihood": np.bincount(row, np.where(is_(UNCASED), 0.0, model.logp(plain, offs)), minlength=n) / np.diff(offs),
     }
     out = np.stack([np.asarray(f[k], float) for k in FEATURES], 1)
     out[per_row(~is_(BLANK | CONTROL)) == 0] = np.nan
