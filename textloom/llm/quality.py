@@ -2,10 +2,10 @@
 
 The statistics of ``shape_features`` are counted in one Arrow pass. Ordered rule lists are
 induced by incremental reduced-error pruning on labelled documents, each exported as a SQL CASE,
-applied natively, and the verdict is that of most lists. The labelled documents are of two kinds:
-laid out by rule from words and sentences of a bounded sample of the corpus
-(``shape_examples``), so the label is known; and texts of that sample about which all of
-``TRIALS`` rule lists of the first kind agree. A quarter of both is held out to measure the lists.
+applied natively, and the verdict is that of most lists. The labelled documents are laid out by
+rule from words and sentences of a bounded sample of the corpus (``shape_examples``), so the
+label is known. A quarter of them is held out to measure the lists; on the texts of the sample, which
+have no labels, it is measured how often the lists agree.
 
 Damage by encoding does not count: garbled lines are restored and odd characters made
 legible first, and what is lost for good counts as letters.
@@ -31,7 +31,7 @@ from textloom.runtime import spread
 
 __all__ = ["STATS", "Shapes", "common_words", "learn_shapes", "shapes"]
 
-#: Documents laid out by rule, and texts drawn for their words and sentences and as examples;
+#: Documents laid out by rule, and texts drawn for their words and sentences;
 #: of a longer text only as much is drawn as ``DRAWN_CHARS`` (an excerpt for training; every
 #: text is judged whole).
 EXAMPLES, DRAWN, DRAWN_CHARS = 9_000, 500, 20_000
@@ -45,10 +45,10 @@ COMMON = 150
 
 class Shapes:
     """The learned rule lists with the hashes of the common words, and how often their verdict
-    errs on held-out documents."""
+    errs on held-out documents; ``agreed`` is the share of corpus texts on which all lists agree."""
 
-    def __init__(self, lists: list[list[rule_lists.Rule]], common: np.ndarray, held_out: float):
-        self.lists, self.common, self.held_out = lists, common, held_out
+    def __init__(self, lists: list[list[rule_lists.Rule]], common: np.ndarray, held_out: float, agreed: float):
+        self.lists, self.common, self.held_out, self.agreed = lists, common, held_out, agreed
 
     def decide(self, texts: list[str | None], model: CharModel) -> np.ndarray:
         """The verdicts of texts, as ``column`` gives them; blank texts are ``prose``."""
@@ -57,10 +57,16 @@ class Shapes:
     def column(self) -> Column:
         """The verdict of most lists over the columns of ``FEATURES``; of equal ones the first
         of ``NAMES``."""
-        said = F.array(*(F.expr(rule_lists.to_sql(rules, FEATURES, DEFAULT)) for rules in self.lists))
-        count = [F.size(said) - F.size(F.array_remove(said, n)) for n in NAMES]
-        most = F.greatest(*count)
-        return F.coalesce(*(F.when(c == most, n) for c, n in zip(count, NAMES)))
+        # one number holds the votes for each verdict, so that no CASE is stated twice
+        code = {n: f"{1 << 8 * k}" for k, n in enumerate(NAMES)}
+        votes = sum((F.expr(rule_lists.to_sql(rules, FEATURES, DEFAULT, code)) for rules in self.lists), F.lit(0))
+
+        def top(v: Column) -> Column:
+            count = [F.shiftright(v, 8 * k).bitwiseAND(255) for k in range(len(NAMES))]
+            most = F.greatest(*count)
+            return F.coalesce(*(F.when(c == most, n) for c, n in zip(count, NAMES)))
+
+        return F.transform(F.array(votes), top)[0]
 
 
 def vote(x: np.ndarray, lists: list[list[rule_lists.Rule]]) -> np.ndarray:
@@ -83,7 +89,7 @@ def _induce(x: np.ndarray, y: np.ndarray) -> tuple[list[list[rule_lists.Rule]],
 
 
 def learn_shapes(df: DataFrame, common: list[str], fitted: tuple, id_col: str = "request_id", text_col: str = "text", n: int = EXAMPLES) -> Shapes:
-    """The rule lists learned on ``n`` documents laid out by rule and on agreed texts of the sample."""
+    """The rule lists learned on ``n`` documents laid out by rule."""
     drawn = df.filter(F.col(text_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(DRAWN).select(F.substring(text_col, 1, DRAWN_CHARS).alias("text"))
     repairer = Repairer(*fitted)
     texts = [r.text for r in drawn.collect()]
@@ -95,13 +101,8 @@ def learn_shapes(df: DataFrame, common: list[str], fitted: tuple, id_col: str =
     x, y = x[~np.isnan(x[:, 0])], y[~np.isnan(x[:, 0])]
     lists, errs = _induce(x, y)
     own = features(texts, hashes, fitted[0])
-    own = own[~np.isnan(own[:, 0])]
-    if len(own):
-        said = np.stack([rule_lists.decide(own, rules, DEFAULT) for rules in lists])
-        agreed = (said == said[0]).all(0)
-        x, y = np.concatenate([x, own[agreed]]), np.concatenate([y, said[0][agreed].astype(str)])
-        lists, errs = _induce(x, y)
-    return Shapes(lists, hashes, errs)
+    said = np.stack([rule_lists.decide(own[~np.isnan(own[:, 0])], rules, DEFAULT) for rules in lists])
+    return Shapes(lists, hashes, errs, float((said == said[0]).all(0).mean()) if said.size else 1.0)
 
 
 def shapes(df: DataFrame, id_col: str = "request_id", text_col: str = "text") -> DataFrame:

@@ -134,7 +134,9 @@ def decide(x: np.ndarray, rules: list[Rule], default: str) -> np.ndarray:
     return out
 
 
-def to_sql(rules: list[Rule], features: list[str], default: str) -> str:
-    """A CASE expression over the feature columns."""
-    when = " ".join("WHEN " + " AND ".join(f"{features[f]} {'>=' if least else '<'} {t!r}D" for f, least, t in conditions) + f" THEN '{shape}'" for shape, conditions in rules)
-    return f"CASE {when} ELSE '{default}' END" if rules else f"'{default}'"
+def to_sql(rules: list[Rule], features: list[str], default: str, values: dict[str, str] | None = None) -> str:
+    """A CASE expression over the feature columns, of class names or the SQL ``values`` that
+    stand for them."""
+    value = lambda shape: values[shape] if values else f"'{shape}'"
+    when = " ".join("WHEN " + " AND ".join(f"{features[f]} {'>=' if least else '<'} {t!r}D" for f, least, t in conditions) + f" THEN {value(shape)}" for shape, conditions in rules)
+    return f"CASE {when} ELSE {value(default)} END" if rules else value(default)

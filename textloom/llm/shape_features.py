@@ -19,7 +19,7 @@ STATS = ["n_words", "n_lines", "mean_word_length", "symbol_ratio", "digit_ratio"
 FEATURES = [
     *STATS, "words_a_line", "letter_share", "stop_rate", "short_line_share", "lead_share", "pipe_share", "tab_share", "semicolon_share", "comma_share", "gap_share",
     "cell_share", "distinct_share", "hard_share", "hex_share", "repeat_share", "line_length", "long_word_share", "entry_chars", "fill", "longest_line",
-    "n_distinct", "unspaced_share", "likelihood",
+    "n_distinct", "unspaced_share", "likelihood", "run_share",
 ]
 #: Texts taken together, so that the arrays stay small.
 SLICE = 2_000_000
@@ -238,6 +238,7 @@ def _features(texts: list[str], common: np.ndarray, model: CharModel) -> np.ndar
     longest = np.zeros(n)
     np.maximum.at(longest, of, length)
     distinct = _distinct(words_of, h, n)
+    ra, rb = _same(points, ~blank)
     shares = {"pipe_share": share(pipe), "tab_share": share(tab), "semicolon_share": share(semi_share), "comma_share": share(comma_share), "gap_share": share(gap)}
     n_words, n_lines = np.bincount(words_of, minlength=n), np.bincount(of, minlength=n)
     f = shares | {
@@ -267,6 +268,7 @@ def _features(texts: list[str], common: np.ndarray, model: CharModel) -> np.ndar
     plain = np.where(is_(BLANK | CONTROL), 32, points).astype(np.uint32)
     f |= {
         "n_distinct": distinct,
+        "run_share": np.bincount(row[ra], np.where(rb - ra > 3, rb - ra, 0), minlength=n) / n_ink,
         "unspaced_share": per_row(is_(CJK) & letter) / np.maximum(letters, 1),
         # letters of scripts without case are too rare in most corpora for their likelihood to tell anything
         "likelihood": np.bincount(row, np.where(is_(UNCASED), 0.0, model.logp(plain, offs)), minlength=n) / np.diff(offs),
@@ -277,7 +279,7 @@ def _features(texts: list[str], common: np.ndarray, model: CharModel) -> np.ndar
 
 
 def _same(low: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of one and the same letter."""
+    """Runs of one and the same character, of those for which ``letter`` is true."""
     new = np.concatenate([[True], (low[1:] != low[:-1]) | ~letter[1:]])
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], len(low))
