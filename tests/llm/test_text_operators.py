@@ -237,10 +237,10 @@ def test_shapes_on_held_out_documents(spark):
     fitted = encoding_repair.fit(df)
     learned = quality.learn_shapes(df, quality.common_words(df), fitted, n=1500)
     held = shape_examples.examples([], 400, seed=99)
-    said = learned.decide([t for t, _ in held], fitted[0])
+    said = learned.decide([t for t, _ in held])
     assert (said == np.array([s for _, s in held])).mean() > 0.9 and learned.held_out < 0.1
     # the native CASE expressions say the same
-    x = spark.createDataFrame([[k, *map(float, f)] for k, f in enumerate(np.nan_to_num(shape_features.features([t for t, _ in held], learned.common, fitted[0])))], ["k", *shape_features.FEATURES])
+    x = spark.createDataFrame([[k, *map(float, f)] for k, f in enumerate(np.nan_to_num(shape_features.features([t for t, _ in held], learned.common)))], ["k", *shape_features.FEATURES])
     assert [r.said for r in x.select("k", learned.column().alias("said")).orderBy("k").collect()] == list(said)
 
 
@@ -248,7 +248,7 @@ def test_statistics_are_brute_force():
     r = random.Random(5)
     texts = ["".join(r.choice("абвіїABcd1 2  \n\n.,;|-!»ё́") for _ in range(r.randint(0, 120))) for _ in range(300)] + [None, "", " \n", "é" * 3000, "1) а\n2) б"]
     common = ["а", "ab", "абв"]
-    got = shape_features.features(texts, shape_features.word_hashes(common), char_model.CharModel(np.ones(char_model.SLOTS)))
+    got = shape_features.features(texts, shape_features.word_hashes(common))
     for t, f in zip(texts, got):
         f = dict(zip(shape_features.FEATURES, f))
         if not t or not t.strip():

@@ -50,9 +50,9 @@ class Shapes:
     def __init__(self, lists: list[list[rule_lists.Rule]], common: np.ndarray, held_out: float, agreed: float):
         self.lists, self.common, self.held_out, self.agreed = lists, common, held_out, agreed
 
-    def decide(self, texts: list[str | None], model: CharModel) -> np.ndarray:
+    def decide(self, texts: list[str | None]) -> np.ndarray:
         """The verdicts of texts, as ``column`` gives them; blank texts are ``prose``."""
-        return vote(np.nan_to_num(features(texts, self.common, model)), self.lists)
+        return vote(np.nan_to_num(features(texts, self.common)), self.lists)
 
     def column(self) -> Column:
         """The verdict of most lists over the columns of ``FEATURES``; of equal ones the first
@@ -97,10 +97,10 @@ def learn_shapes(df: DataFrame, common: list[str], fitted: tuple, id_col: str =
     texts = [legible(repairer.text(t)) for t in texts]
     laid_out = examples(texts, n)
     hashes = word_hashes(common)
-    x, y = features([legible(t) for t, _ in laid_out], hashes, fitted[0]), np.array([s for _, s in laid_out])
+    x, y = features([legible(t) for t, _ in laid_out], hashes), np.array([s for _, s in laid_out])
     x, y = x[~np.isnan(x[:, 0])], y[~np.isnan(x[:, 0])]
     lists, errs = _induce(x, y)
-    own = features(texts, hashes, fitted[0])
+    own = features(texts, hashes)
     said = np.stack([rule_lists.decide(own[~np.isnan(own[:, 0])], rules, DEFAULT) for rules in lists])
     return Shapes(lists, hashes, errs, float((said == said[0]).all(0).mean()) if said.size else 1.0)
 
@@ -113,14 +113,13 @@ def shapes(df: DataFrame, id_col: str = "request_id", text_col: str = "text") ->
 
     def run(batches):
         counts, margins, common = held.value
-        model = CharModel(counts)
-        r = Repairer(model, margins)
+        r = Repairer(CharModel(counts), margins)
         for b in batches:
             texts = b.column(1).to_pylist()
             for k in range(0, len(texts), TOGETHER):
                 part = texts[k : k + TOGETHER]
                 r.prepare(part)
-                x = features([t and legible(r.text(t)) for t in part], common, model)
+                x = features([t and legible(r.text(t)) for t in part], common)
                 stats = [pa.array(c, pa.float64(), from_pandas=True) for c in x.T]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(k, len(part)), *stats], names=["id", *FEATURES])
 

@@ -12,19 +12,18 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 
-from textloom.llm.char_model import CharModel
 from textloom.llm.codepoints import to_points
 
 STATS = ["n_words", "n_lines", "mean_word_length", "symbol_ratio", "digit_ratio", "line_end_share", "common_share"]
 FEATURES = [
     *STATS, "words_a_line", "letter_share", "stop_rate", "short_line_share", "lead_share", "pipe_share", "tab_share", "semicolon_share", "comma_share", "gap_share",
     "cell_share", "distinct_share", "hard_share", "hex_share", "repeat_share", "line_length", "long_word_share", "entry_chars", "fill", "longest_line",
-    "n_distinct", "unspaced_share", "likelihood", "run_share",
+    "n_distinct", "unspaced_share", "run_share",
 ]
 #: Texts taken together, so that the arrays stay small.
 SLICE = 2_000_000
 SHORT = 36
-LETTER, MARK, DIGIT, BLANK, CONTROL, CONSONANT, HEX, CJK, END, FULL, CLOSER, STOP, BEFORE_STOP, BULLET, LONG, UNCASED = (1 << k for k in range(16))
+LETTER, MARK, DIGIT, BLANK, CONTROL, CONSONANT, HEX, CJK, END, FULL, CLOSER, STOP, BEFORE_STOP, BULLET, LONG = (1 << k for k in range(15))
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -35,11 +34,11 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
     for p in [*range(0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x10000)]:
         c = chr(p)
         kind = unicodedata.category(c)
-        t[p] = LETTER * (kind[0] == "L") | MARK * (kind[0] == "M") | DIGIT * (kind[0] == "N") | BLANK * (c.isspace() or kind[0] == "Z") | CONTROL * (p < 32 or 127 <= p < 160) | UNCASED * (kind[0] in "LM" and c.lower() == c.upper())
+        t[p] = LETTER * (kind[0] == "L") | MARK * (kind[0] == "M") | DIGIT * (kind[0] == "N") | BLANK * (c.isspace() or kind[0] == "Z") | CONTROL * (p < 32 or 127 <= p < 160)
         if len(c.lower()) == 1:
             low[p] = ord(c.lower())
     for a, b in ((0x3400, 0xA000), (0xAC00, 0xD7A4), (0x20000, 0x30000)):
-        t[a:b] = LETTER | UNCASED
+        t[a:b] = LETTER
     for a, b in ((0x4E00, 0xA000), (0x3400, 0x4DC0), (0x3040, 0x3100), (0xE00, 0xE80)):
         t[a:b] |= CJK
     for chars, bit in (
@@ -113,21 +112,20 @@ def _plain(text: str | None) -> str:
     return text
 
 
-def features(texts: list[str | None], common: np.ndarray, model: CharModel) -> np.ndarray:
-    """Texts x ``FEATURES``; ``common`` are the hashes of the common words, ``model`` gives the
-    likelihood of the characters."""
+def features(texts: list[str | None], common: np.ndarray) -> np.ndarray:
+    """Texts x ``FEATURES``; ``common`` are the hashes of the common words."""
     texts = [_plain(t) for t in texts]
     out, start, size = [], 0, 0
     for k, t in enumerate(texts):
         if size and size + len(t) > SLICE:
-            out.append(_features(texts[start:k], common, model))
+            out.append(_features(texts[start:k], common))
             start, size = k, 0
         size += len(t)
-    out.append(_features(texts[start:], common, model))
+    out.append(_features(texts[start:], common))
     return np.concatenate(out)
 
 
-def _features(texts: list[str], common: np.ndarray, model: CharModel) -> np.ndarray:
+def _features(texts: list[str], common: np.ndarray) -> np.ndarray:
     n = len(texts)
     points, offs = to_points(pa.array([t + "\n" for t in texts], pa.large_string()))
     if not n:
@@ -265,13 +263,10 @@ def _features(texts: list[str], common: np.ndarray, model: CharModel) -> np.ndar
         "fill": chars / lines / np.maximum(longest, 1),
         "longest_line": longest,
     }
-    plain = np.where(is_(BLANK | CONTROL), 32, points).astype(np.uint32)
     f |= {
         "n_distinct": distinct,
         "run_share": np.bincount(row[ra], np.where(rb - ra > 3, rb - ra, 0), minlength=n) / n_ink,
         "unspaced_share": per_row(is_(CJK) & letter) / np.maximum(letters, 1),
-        # letters of scripts without case are too rare in most corpora for their likelihood to tell anything
-        "likelihood": np.bincount(row, np.where(is_(UNCASED), 0.0, model.logp(plain, offs)), minlength=n) / np.diff(offs),
     }
     out = np.stack([np.asarray(f[k], float) for k in FEATURES], 1)
     out[per_row(~is_(BLANK | CONTROL)) == 0] = np.nan
