@@ -353,3 +353,55 @@ def test_scan_rows(spark):
 def test_long_scanned_paragraph_is_whole():
     lines = [scan_repair.Line(k + 1, "слова " * 9 + "далі") for k in range(300)]
     assert scan_repair.paragraphs(lines, set(), 58) == [0]
+
+
+def test_lattice_merges_splits_and_joins():
+    text = "Сьогодні вранці ми поїхали до мі ста щоб ку-\nпити хлібі молоко та сіль. Він не знав ро-\nбити це чи ні, бо ніхто йому не каз ав про\nце нічого й він мовчав до самого вечора."
+    words = {w: 50 for w in "сьогодні вранці ми поїхали до міста щоб купити хліб і молоко та сіль він не знав робити це чи ні бо ніхто йому казав про нічого й мовчав самого вечора хлібі молоко".split()}
+    words.pop("хлібі")
+    found, out = scan_repair.repair(text.replace("хлібі молоко", "хлібмолоко"), scan_repair.Vocabulary(words, set()))
+    assert out == "Сьогодні вранці ми поїхали до міста щоб купити хліб молоко та сіль. Він не знав робити це чи ні, бо ніхто йому не казав про це нічого й він мовчав до самого вечора."
+    assert found == [(1, "hyphen_wrap", "купити"), (2, "hyphen_wrap", "робити")]
+
+
+def test_a_misreading_that_recurs_is_still_one():
+    v = scan_repair.Vocabulary({"потребує": 600, "потребуе": 5, "лис": 40, "ліс": 50}, {"лис"})
+    assert v.word("потребуе")[2] == "потребує" and v.least("потребуе")[1] == "потребує"
+    assert v.least("лис")[1] == "лис" and v.least("ліс")[1] == "ліс"
+
+
+def test_confusions_are_brute_force():
+    r = random.Random(2)
+    words = {"".join(r.choice("абиноеrnm") for _ in range(r.randint(2, 6))): r.randint(3, 90) for _ in range(60)}
+    v = scan_repair.Vocabulary(words, set())
+
+    def tries(w):
+        for true, read in scan_repair.PAIRS:
+            at = w.find(read)
+            while at >= 0:
+                yield at, read, w[:at] + true + w[at + len(read) :], true
+                at = w.find(read, at + 1)
+
+    for _ in range(60):
+        w = "".join(r.choice("абиноеrnm") for _ in range(r.randint(2, 6)))
+        cost = lambda read: scan_repair.SURELY if read in scan_repair.SURE else scan_repair.CONFUSION
+        best = float("inf")
+        for at, read, x, true in tries(w):
+            best = min(best, v.cost.get(x, float("inf")) + cost(read))
+            for at2, read2, y, _ in tries(x):
+                if at2 >= at + len(true):  # the second one further right
+                    best = min(best, v.cost.get(y, float("inf")) + cost(read) + cost(read2))
+        assert v._confused(w)[0] == pytest.approx(best)
+
+
+def test_paragraphs_are_the_cheapest_partition():
+    r = random.Random(4)
+    for _ in range(120):
+        lines = [scan_repair.Line(k + 1, r.choice(("   ", "")) + r.choice(("слово ", "«слово ", "(і ", "діло» ")) * r.randint(1, 6) + r.choice(("кінець.", "далі", "пере-", "«так", "ні»."))) for k in range(r.randint(1, 8))]
+        blank = {k for k in range(1, len(lines)) if r.random() < 0.2}
+        got = scan_repair.paragraphs(lines, blank, 44)
+        costs = {}
+        for m in range(1 << (len(lines) - 1)):
+            starts = [0] + [k for k in range(1, len(lines)) if m >> (k - 1) & 1]
+            costs[tuple(starts)] = scan_repair.partition_cost(lines, blank, 44, starts)
+        assert costs[tuple(got)] == pytest.approx(min(costs.values()))
