@@ -145,12 +145,13 @@ def _join_jamo(p: np.ndarray, offs: np.ndarray, own: np.ndarray) -> tuple[np.nda
     return p, offs
 
 
-def _order_marks(p: np.ndarray, t: dict) -> np.ndarray:
-    """Marks between two starters, sorted by combining class (stable)."""
+def _order_marks(p: np.ndarray, begins: np.ndarray, t: dict) -> np.ndarray:
+    """Marks between two starters, sorted by combining class (stable); none goes past the beginning
+    of its row (``begins``)."""
     ccc = t["ccc"][p]
     if not ((ccc[1:] > 0) & (ccc[:-1] > ccc[1:])).any():
         return p
-    run = np.cumsum(ccc == 0)
+    run = np.cumsum((ccc == 0) | begins)
     return p[np.lexsort((np.arange(len(p)), ccc, run))]
 
 
@@ -185,16 +186,9 @@ def print_form(col: pa.Array) -> pa.Array:
     points, offs = to_points(col)
     p, offs = _expand(points, offs, t)
     row = _row_of(offs)
-    # marks are ordered within rows only: a row that begins with a mark must not take the row before
-    lead = np.zeros(len(p), bool)
-    lead[offs[:-1][offs[:-1] < offs[1:]]] = True
-    if (lead & (t["ccc"][p] > 0)).any():
-        for r in np.unique(row[lead & (t["ccc"][p] > 0)]):
-            p[offs[r] : offs[r + 1]] = _order_marks(p[offs[r] : offs[r + 1]], t)
-        bounds = [b for r in np.unique(row[lead & (t["ccc"][p] > 0)]) for b in (offs[r], offs[r + 1])]
-        p = np.concatenate([_order_marks(x, t) for x in np.split(p, bounds)])
-    else:
-        p = _order_marks(p, t)
+    begins = np.zeros(len(p), bool)
+    begins[offs[:-1][offs[:-1] < offs[1:]]] = True
+    p = _order_marks(p, begins, t)
     p, row = _compose(p, row, t)
     offs = np.searchsorted(row, np.arange(len(offs)))
     valid = np.asarray(col.is_valid()) if col.null_count else None
@@ -229,6 +223,16 @@ def classes(df: DataFrame, id_col: str = "request_id", text_col: str = "text") -
     return out.filter(blank_to_null(F.col("form")).isNotNull()).select(F.col("id").alias(id_col), F.md5("form").alias("form"), "variant")
 
 
+def members(df: DataFrame, id_col: str = "request_id", text_col: str = "text") -> DataFrame:
+    """``(id, class_id, n_variants, n_texts)`` of every text that has ink: the least id of the
+    texts that print alike, how many strings and how many texts they are. One row for each text,
+    however many copies there are; a hot class is split by the adaptive skew join."""
+    c = cut(classes(df, id_col, text_col))
+    by = c.groupBy("form", "variant").agg(F.min(id_col).alias("least"), F.count("*").alias("n"))
+    by = by.groupBy("form").agg(F.min("least").alias("class_id"), F.count("*").alias("n_variants"), F.sum("n").alias("n_texts"))
+    return c.join(by, "form").select(id_col, "class_id", "n_variants", "n_texts")
+
+
 def alike_pairs(df: DataFrame, id_col: str = "request_id", text_col: str = "text") -> DataFrame:
     """Pairs ``(id_a, id_b)``, a < b, of texts that differ as strings and print alike.
 

@@ -39,6 +39,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return print_form.alike_pairs(_requests(spark, d))
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    return print_form.members(_requests(spark, d))
+
+
 def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return print_form.normalise(_requests(spark, d))
 
@@ -97,13 +101,17 @@ def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return sized, mixing.source_report(sized, table(spark, d, "mix_targets"))
 
 
+def _reached(spark: SparkSession, d: str) -> DataFrame:
+    sized, report = _mixed(spark, d)
+    return mixing.reached(report, mixing.mix(sized, report))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _mixed(spark, d)[1].filter("short").select("source")
+    return _reached(spark, d).filter("short").select("source")
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
-    sized, report = _mixed(spark, d)
-    return mixing.reached(report, mixing.mix(sized, report)).select("source", "target_share", "max_repeats", "n_docs", "size", "total", "epochs", F.round("reached_share", 6).alias("reached_share"), "short")
+    return _reached(spark, d).select("source", "target_share", "max_repeats", "n_docs", "size", "total", "epochs", "reached", F.round("reached_share", 6).alias("reached_share"), "short")
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:

@@ -6,8 +6,9 @@ a proper name. Both are decided from unambiguous occurrences elsewhere in the sa
 document, and from counts over the whole corpus where the document is silent. Scripts
 with stops of their own end there; in scripts without stops the writer's blank does.
 
-The counts of the corpus are joined to the documents on the words in question only;
-nothing of them is broadcast.
+The counts of the corpus are joined to the documents on the words in question only. The most
+frequent words, in nearly every document, would be hot keys of that join; they are broadcast
+instead, which are at most 1 / ``TOP_SHARE`` words whatever the corpus holds.
 
 Defined cases: null, empty and blank texts have no sentence; a quotation and the words
 that report it are one sentence; an unclosed quotation has no effect.
@@ -15,12 +16,15 @@ that report it are one sentence; an unclosed quotation has no effect.
 
 from __future__ import annotations
 
+import functools
+from collections import ChainMap
+
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.runtime import spread
+from textloom.runtime import cut, spread
 
 #: Counts kept for a word (in lower case): with a stop and, after it, a small letter
 #: or mark; with a stop and a digit; with a stop in all; without a stop; written small;
@@ -35,8 +39,17 @@ FINAL = {"etc", "usw", "itd", "itp", "ін", "інш", "др", "пр", "проч
 MONTHS = {"januar", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember"}
 QUOTES = {"«": "»", "„": "“”", "“": "”", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "《": "》"}
 CLOSERS = "»”“\"'’)]」』）》"
+#: Share of all words from which a word is one of the most frequent: at most 1 / TOP_SHARE are.
+TOP_SHARE = 1e-4
+#: A word is surely no abbreviation if the corpus has it so often with a stop, this share of its
+#: occurrences without one, and no more than this share of its stops before small letters or digits.
+SURE_STOPS, SURE_BARE, SURE_INSIDE = 20, 0.5, 0.02
 VOWELS = set("аеєиіїоуюяыэёaeiouyąęóäöü")
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:[.'’ʼ-]\p{L}[\p{L}\p{M}]*)*")
+BEFORE = regex.compile(r"(?r)(?:\p{L}[\p{L}\p{M}.'’ʼ-]*|\d+)")
+CAPITAL = regex.compile(r"[\p{Lu}\p{Lt}]")
+LEAD_WORD = regex.compile(r"(?r)(\S+)\s+")
+DIGIT_BEFORE = regex.compile(r"(?r)\d\s*")
 STOPS = regex.compile(r"[.!?…．！？。｡।॥؟۔]+")
 FULL = set("。｡！？।॥؟۔")
 PARA = regex.compile(r"\n(?:[^\S\n]*\n)+")
@@ -44,6 +57,7 @@ _WRAPS = "-‐¬\xad"
 OPENERS = "«„“\"'‘(「『["
 CASELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Devanagari}\p{Thai}\p{Arabic}\p{Hebrew}\p{Lao}\p{Khmer}\p{Myanmar}]")
 UNSTOPPED = regex.compile(r"(?<=[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\d])\s+(?=[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\d«“\"(])")
+LEADING = OPENERS + "—– "
 UNSTOPPED_LETTER = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 
 
@@ -92,17 +106,31 @@ def _plain_word(text: str, end: int) -> bool:
     return end >= 5 and text[end - 5 : end].isalpha() and text[end - 5 : end].islower()
 
 
+def word_before(text: str, start: int, end: int) -> str:
+    """The word or number that ends at ``end``, sought backwards; empty if there is none."""
+    m = BEFORE.match(text, start, end)
+    return m.group() if m else ""
+
+
+def word_after(text: str, at: int) -> str:
+    """The word that follows, only blanks, opening marks and dashes between; empty if none does."""
+    n = len(text)
+    while at < n and (text[at] in LEADING or text[at].isspace()):
+        at += 1
+    m = WORD.match(text, at)
+    return m.group() if m else ""
+
+
 def words_in_question(text: str) -> set[str]:
     """Words before and after the stops of a text, in lower case."""
     out = set()
     for m in STOPS.finditer(text):
-        head = text[max(0, m.start() - 40) : m.start()]
-        w = regex.search(r"(\p{L}[\p{L}\p{M}.'’ʼ-]*)$", head)
-        if w:
-            out.add(w.group().lower())
-        x = WORD.search(text, m.end(), m.end() + 60)
-        if x:
-            out.add(x.group().lower())
+        end = m.end()
+        while end < len(text) and text[end] in CLOSERS:
+            end += 1
+        out.add(word_before(text, 0, m.start()).lower())
+        out.add(word_after(text, end).lower())
+    out.discard("")
     return out
 
 
@@ -128,8 +156,14 @@ class Splitter:
     """Splits one document, with the counts of its own words and of the corpus."""
 
     def __init__(self, text: str, corpus: dict[str, list[int]]):
-        self.text, self.corpus, self.own = text, corpus, {}
-        count_words(text, self.own)
+        self.text, self.corpus = text, corpus
+
+    @functools.cached_property
+    def own(self) -> dict[str, list[int]]:
+        """Counts of the document's own words, made when they are first asked for."""
+        counts: dict[str, list[int]] = {}
+        count_words(self.text, counts)
+        return counts
 
     def _get(self, w: str) -> tuple[list[int], list[int]]:
         zero = [0] * len(COUNTS)
@@ -140,6 +174,9 @@ class Splitter:
         low = w.lower()
         if len(w) == 1 or "." in w or low in FINAL:
             return True
+        c = self.corpus.get(low)
+        if c and c[2] >= SURE_STOPS and c[3] >= SURE_BARE * (c[2] + c[3]) and c[0] + c[1] <= SURE_INSIDE * c[2]:
+            return False
         for c in self._get(low):
             if c[3] > 0.2 * (c[2] + c[3]):
                 return False
@@ -201,30 +238,28 @@ class Splitter:
             return not (set(stops) == {"."} and after.isdigit())
         if quoted and end > b:
             return after.isupper() or not after.isalpha()
-        before = regex.search(r"(\p{L}[\p{L}\p{M}.'’ʼ-]*|\d+)$", text[max(start, a - 60) : a])
-        if before is None:
+        w = word_before(text, start, a)
+        if not w:
             return True
-        w = before.group()
-        x = WORD.search(text, k, k + 80)
-        x = x.group() if x and not text[k : x.start()].strip(OPENERS + "—– ") else ""
         if w[0].isdigit():
             only = text[start:a].strip() == w
-            return not only and x.split("-")[0].lower() not in MONTHS
+            return not only and word_after(text, k).split("-")[0].lower() not in MONTHS
         if not self.abbreviation(w):
             return True
+        x = word_after(text, k)
         if after.isdigit():
             return not self.takes_number(w) and (len(w) > 1 and self.final(w) or w.islower() and self._after_number(start, a, w))
-        if not regex.match(r"[\p{Lu}\p{Lt}]", x):
+        if not CAPITAL.match(x):
             return self.final(w) or self._after_number(start, a, w)
         if len(w) == 1 and w.isupper():
-            lead = regex.search(r"(\S+)\s+$", text[start : a - 1])
+            lead = LEAD_WORD.match(text, start, a - 1)
             return self.opens(x) and len(x) > 1 and lead is not None and lead.group(1).islower() and len(lead.group(1)) > 3
         if self.final(w):
             return True
         return len(x) > 1 and self.opens(x)
 
     def _after_number(self, start: int, a: int, w: str) -> bool:
-        return regex.search(r"\d\s*$", self.text[start : a - len(w)]) is not None
+        return DIGIT_BEFORE.match(self.text, start, a - len(w)) is not None
 
     def spans(self) -> list[tuple[int, int]]:
         """Start and end of every sentence, outer white space left out."""
@@ -300,15 +335,26 @@ def corpus_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return out.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
+def top_words(corpus: DataFrame, share: float) -> dict[str, list[int]]:
+    """The words of which at least ``share`` of all words of the corpus are, with their counts: at
+    most 1 / ``share``."""
+    total = corpus.agg(F.sum(F.col("dot") + F.col("bare"))).first()[0] or 0
+    top = corpus.filter(F.col("dot") + F.col("bare") >= F.lit(max(1.0, share * total))).toArrow()
+    return dict(zip(top.column("word").to_pylist(), map(list, zip(*(top.column(c).to_pylist() for c in COUNTS)))))
+
+
 def sentences(df: DataFrame, corpus: DataFrame, id_col: str = "request_id", text_col: str = "text") -> DataFrame:
     """``(id, start_char, end_char)`` of the sentences of ``df``; ``corpus`` are the
     counts of the texts that the documents are compared with."""
     kind = df.schema[id_col].dataType.simpleString()
     docs = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null"))
+    corpus = cut(corpus)
+    held = df.sparkSession.sparkContext.broadcast(top_words(corpus, TOP_SHARE))
 
     def ask(batches):
+        top = held.value
         for b in batches:
-            asked = [words_in_question(t) for t in b.column(1).to_pylist()]
+            asked = [[w for w in words_in_question(t) if w not in top] for t in b.column(1).to_pylist()]
             ids = [i for i, w in zip(b.column(0).to_pylist(), asked) for _ in w]
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array([x for w in asked for x in w], pa.string())], names=["id", "word"])
 
@@ -317,10 +363,12 @@ def sentences(df: DataFrame, corpus: DataFrame, id_col: str = "request_id", text
     known = known.groupBy("id").agg(F.collect_list(F.struct("word", F.array(*COUNTS).alias("n"))).alias("known"))
 
     def split(batches):
+        top = held.value
         for b in batches:
             out = []
             for i, text, known in zip(*(b.column(k).to_pylist() for k in range(3))):
-                out += [(i, *s) for s in Splitter(text, {w["word"]: w["n"] for w in known or ()}).spans()]
+                counts = ChainMap({w["word"]: w["n"] for w in known}, top) if known else top
+                out += [(i, *s) for s in Splitter(text, counts).spans()]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], b.column(0).type), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32())], names=["id", "start_char", "end_char"])
 
     return docs.join(known, "id", "left").mapInArrow(split, f"id {kind}, start_char int, end_char int").withColumnRenamed("id", id_col)

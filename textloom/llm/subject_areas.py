@@ -1,22 +1,24 @@
 """Problem 10: subject areas of documents, by label propagation.
 
-The graph links documents that share verified terms. It is kept in factors: two
-documents are as similar as their common terms make them, so passing labels from
-documents to terms and from terms to sentences and back to documents is
-propagation over that graph, without a row for each pair of documents. A term is
-verified when it is in enough documents and when the labels of its documents differ enough
-from the corpus; a term of a large part of the corpus or of a language (it may only be a
-common word there) when they also differ enough from those of its languages.
+The graph links documents by the verified terms that they share. It is kept in factors
+(document-term links): what a document passes to its terms, and these to the sentences of other
+documents, is what it would pass along its similarity links, without a row for each pair of
+documents. A link is verified when its term is in enough documents and when the labels of its documents
+differ enough from the corpus; a term of a large part of the corpus or of a language (it may
+only be a common word there) when they also differ enough from those of its languages.
+
+Hand-made labels are checked once: in the first round all of them are passed on, and a
+label that its own document's links contradict is not trusted. Trusted labels are clamped in every
+later round, whatever the graph says. A document keeps every subject that at least a quarter of
+its sentences deal with. Rounds end when the mean change of the documents' shares is less than
+``TOLERANCE``, or after ``ROUNDS``.
 
 Equal texts are one document: the one with the least id stands for all of them, takes
 their labels together and gives its subjects to each.
 
-Every round is a chain of DataFrame joins and sums. Hand-made labels are clamped as
-long as the graph does not contradict them, and a document keeps every subject that
-at least a quarter of its sentences deal with.
-
-Only the table of verified terms is broadcast: a term in it makes up at least
-``LEAST_SHARE`` of all (document, term) pairs, so it has at most 1 / ``LEAST_SHARE`` rows.
+Every round is a chain of DataFrame joins and sums. Only the table of verified terms is broadcast:
+a term in it makes up at least ``LEAST_SHARE`` of all (document, term) pairs, so it has at most
+1 / ``LEAST_SHARE`` rows.
 
 Defined cases: null, empty and blank texts, and texts without verified terms, have no
 subject; labels with unknown subjects, null ids or ids of no document are left out;
@@ -27,14 +29,13 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.encoding_repair import legible
-from textloom.llm.sentence_units import COUNTS, Splitter, corpus_counts
+from textloom.llm.sentence_units import Splitter, corpus_counts, top_words
 from textloom.runtime import cut, cut_by, spread
 
 LEAST_SHARE = 2e-6
@@ -43,7 +44,8 @@ LEAST_SHARE = 2e-6
 MOST_SHARE, MOST_SHARE_OF_LANGUAGE = 0.1, 0.25
 #: Documents of a language from which its own share counts.
 LANGUAGE_DOCS = 20
-ROUNDS = 3
+#: Most rounds; mean change of a document's shares (summed over subjects) at which they end.
+ROUNDS, TOLERANCE = 10, 0.005
 #: Prior labels of a term; least information (nats) of a verified term; bounds of its
 #: weight; least probability, given its terms, for a sentence to have a subject.
 PRIOR, INFORMATION, LOW, HIGH, SURE = 2.0, 0.15, -2.5, 3.0, 0.75
@@ -55,16 +57,12 @@ _TERM = re.compile(r"[^\W\d_]{3,}(?:['’ʼ-][^\W\d_]+)*")
 
 def sentence_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``(doc_id, lang, n_sentences, sentences)``: the terms of each sentence, as hashes."""
-    counts = corpus_counts(docs, text_col)
-    total = counts.agg(F.sum(F.col("dot") + F.col("bare"))).first()[0] or 0
-    # words by share of the corpus: at most 1 / LEAST_SHARE of them
-    known = counts.filter((F.col("dot") > 0) | (F.col("cap_start") > 0)).filter(F.col("dot") + F.col("bare") >= max(3, total * LEAST_SHARE)).toArrow()
-    rows = np.stack([known.column(c).to_numpy() for c in COUNTS], 1) if known.num_rows else np.empty((0, len(COUNTS)), np.int64)
-    held = docs.sparkSession.sparkContext.broadcast((known.column("word").to_pylist(), rows))
+    # words by share of the corpus, at most 1 / LEAST_SHARE of them; of rarer ones the document tells
+    counts = cut(corpus_counts(docs, text_col).filter((F.col("dot") > 0) | (F.col("cap_start") > 0)))
+    held = docs.sparkSession.sparkContext.broadcast(top_words(counts, LEAST_SHARE))
 
     def run(batches):
-        words, n = held.value
-        corpus = dict(zip(words, n.tolist()))
+        corpus = held.value
         memo: dict[str, int] = {}
         for b in batches:
             sents = []
@@ -82,7 +80,7 @@ def sentence_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 sents.append(doc)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sents], pa.int32()), pa.array(sents, pa.list_(pa.list_(pa.int64())))], names=["doc_id", "lang", "n_sentences", "sentences"])
 
-    lang = F.coalesce(F.lower(F.substring(F.trim(lang_col), 1, 2)), F.lit(""))
+    lang = F.coalesce(F.regexp_extract(F.lower(F.substring(F.trim(lang_col), 1, 2)), "^[a-z]{2}$", 0), F.lit(""))
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), lang.alias("lang"), F.col(text_col).alias("text")).filter("text is not null and doc_id is not null")
     return spread(src).mapInArrow(run, "doc_id bigint, lang string, n_sentences int, sentences array<array<bigint>>").filter("n_sentences > 0")
 
@@ -96,13 +94,12 @@ def text_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def verified_terms(d: DataFrame) -> DataFrame:
     """``(term, docs, often)`` of the terms in enough documents, and whether they are in so
     many, of the corpus or of a language, that they may be common words."""
-    n = d.count()
-    pairs = d.select("lang", F.explode(F.array_distinct(F.flatten("sentences"))).alias("term"))
-    by = pairs.groupBy("term", "lang").agg(F.count("*").alias("n"))
-    of = d.groupBy("lang").agg(F.count("*").alias("n_lang"))
-    by = by.join(of, "lang").withColumn("share", F.when(F.col("n_lang") >= LANGUAGE_DOCS, F.col("n") / F.col("n_lang")).otherwise(0.0))
-    terms = by.groupBy("term").agg(F.sum("n").alias("docs"), F.max("share").alias("share"))
-    total = pairs.count()
+    of = d.groupBy("lang").agg(F.count("*").alias("n_lang"), F.sum(F.size(F.array_distinct(F.flatten("sentences")))).alias("pairs"))
+    langs = of.collect()  # two small letters, else "": at most 677 languages
+    n, total = sum(r.n_lang for r in langs), sum(r.pairs for r in langs)
+    by = d.select("lang", F.explode(F.array_distinct(F.flatten("sentences"))).alias("term")).groupBy("term", "lang").agg(F.count("*").alias("n"))
+    share = F.coalesce(*(F.when(F.col("lang") == r.lang, F.col("n") / r.n_lang) for r in langs if r.n_lang >= LANGUAGE_DOCS), F.lit(0.0))
+    terms = by.groupBy("term").agg(F.sum("n").alias("docs"), F.max(share).alias("share"))
     often = (F.col("docs") > MOST_SHARE * max(n, LANGUAGE_DOCS)) | (F.col("share") > MOST_SHARE_OF_LANGUAGE)
     return terms.filter(F.col("docs") >= max(2, total * LEAST_SHARE)).select("term", "docs", often.alias("often"))
 
@@ -122,8 +119,7 @@ def _weights(passed: DataFrame, d: DataFrame, terms: DataFrame, k: int) -> tuple
     """``(term, w0, w1, ...)`` of the terms whose documents' labels tell something, and the
     share of each subject in what the documents pass on."""
     s, e = _cols(k), [f"e{i}" for i in range(k)]
-    # two small letters, else "": at most 677 languages
-    passed = d.select("doc_id", F.regexp_extract("lang", "^[a-z]{2}$", 0).alias("lang"), F.array_distinct(F.flatten("sentences")).alias("t")).join(passed, "doc_id")
+    passed = d.select("doc_id", "lang", F.array_distinct(F.flatten("sentences")).alias("t")).join(passed, "doc_id")
     by = passed.groupBy("lang").agg(*(F.sum(c).alias(c) for c in s)).collect()
     total = {c: sum(r[c] for r in by) for c in s}
     mass = sum(total.values())
@@ -162,16 +158,33 @@ def _shares(d: DataFrame, weights: DataFrame, prior: list[float], k: int) -> Dat
     return each.groupBy("doc_id", "n_sentences").agg(*((F.sum((F.col("best") == i).cast("double")) / F.col("n_sentences")).alias(f"s{i}") for i in range(k))).drop("n_sentences")
 
 
-def _pass_on(shares: DataFrame, seeded: DataFrame, k: int) -> DataFrame:
-    """What the documents pass on: their labels, where the graph does not contradict
-    them, else the subjects that enough of their sentences have."""
+def trusted(shares: DataFrame, seeded: DataFrame, k: int) -> DataFrame:
+    """``(doc_id, s0, s1, ...)``: the labels that the links of their documents do not contradict,
+    as shares of what the document passes on. Documents without a trusted label are left out."""
+    s = _cols(k)
+    both = seeded.join(shares.select("doc_id", *(F.col(c).alias(f"g{c}") for c in s)), "doc_id")
+    good = {c: F.when(F.col(f"g{c}") >= CONTRADICTS, F.col(c)).otherwise(0.0) for c in s}
+    total = sum(good.values(), F.lit(0.0))
+    return both.filter(total > 0).select("doc_id", *((good[c] / total).alias(c) for c in s))
+
+
+def _pass_on(shares: DataFrame, clamped: DataFrame, k: int) -> DataFrame:
+    """What the documents pass on: the clamped labels, else the subjects that enough of their
+    sentences have."""
     s = _cols(k)
-    both = shares.join(seeded.select("doc_id", *(F.col(c).alias(f"l{c}") for c in s)), "doc_id", "left")
-    good = {c: F.when((F.col(f"l{c}") > 0) & (F.col(c) >= CONTRADICTS), F.col(f"l{c}")).otherwise(0.0) for c in s}
     found = {c: F.when(F.col(c) >= PASSES, F.col(c)).otherwise(0.0) for c in s}
-    n_good, n_found = sum(good.values(), F.lit(0.0)), sum(found.values(), F.lit(0.0))
-    out = both.select("doc_id", *(F.when(n_good > 0, good[c] / n_good).when(n_found > 0, found[c] / n_found).otherwise(0.0).alias(c) for c in s))
-    return out.filter(sum((F.col(c) for c in s), F.lit(0.0)) > 0)
+    total = sum(found.values(), F.lit(0.0))
+    free = shares.filter(total > 0).select("doc_id", *((found[c] / total).alias(c) for c in s))
+    return free.join(clamped.select("doc_id"), "doc_id", "left_anti").unionByName(clamped)
+
+
+def change(a: DataFrame, b: DataFrame, k: int) -> float:
+    """Mean change of the shares of a document between two rounds."""
+    s = _cols(k)
+    both = a.join(b.select("doc_id", *(F.col(c).alias(f"b{c}") for c in s)), "doc_id", "full")
+    zero = F.lit(0.0)
+    moved = sum((F.abs(F.coalesce(c, zero) - F.coalesce(f"b{c}", zero)) for c in s), zero)
+    return both.agg(F.avg(moved)).first()[0] or 0.0
 
 
 def subject_shares(docs: DataFrame, labels: DataFrame, subjects: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, list[str]]:
@@ -185,9 +198,14 @@ def subject_shares(docs: DataFrame, labels: DataFrame, subjects: DataFrame, roun
     seeded = seeds(labels, names, copies)
     n = sum((F.col(c) for c in _cols(k)), F.lit(0.0))
     passed = seeded.filter(n > 0).select("doc_id", *((F.col(c) / n).alias(c) for c in _cols(k)))
-    for r in range(rounds):
-        shares = cut(_shares(d, *_weights(passed, d, terms, k), k))
-        passed = _pass_on(shares, seeded, k)
+    clamped = shares = None
+    for _ in range(rounds):
+        before, shares = shares, cut(_shares(d, *_weights(passed, d, terms, k), k))
+        if before is None:
+            clamped = cut(trusted(shares, seeded, k))
+        elif change(before, shares, k) < TOLERANCE:
+            break
+        passed = _pass_on(shares, clamped, k)
     return copies.join(shares.withColumnRenamed("doc_id", "of"), "of").drop("of"), names
 
 
