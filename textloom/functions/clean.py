@@ -109,11 +109,19 @@ _RUNS = [sub(p, r) for cyr, lat in (("Х", "X"), ("І", "I")) for p, r in ((f"([
 roman_numbers = Step(sub(f"{_NOT_BEFORE}[XХ]VП", "XVII"), sub(f"{_NOT_BEFORE}[XХ]VШ", "XVIII"), *_RUNS * 10, when="[XVI][ХІ]|[ХІ][XVI]|V[ПШ]")
 #: Latin a, i, o and y as words of their own among Cyrillic words.
 lone_latin = Step(sub(rf"([^a-z])[,;–—-] a ({L})", "$1, а $2"), *(sub(rf"([^a-z]) {lat} ({L})", f"$1 {cyr} $2") for lat, cyr in (("i", "і"), ("o", "о"), ("y", "у"))))
+
+
+def _spaced(phrase: str) -> str:
+    """Pattern of a phrase with a blank between the letters; a С at its start in any case and alphabet."""
+    spaced = r"[ \t\x{A0}]+".join(" ".join(w) for w in phrase.split())
+    return "[СсCc]" + spaced[1:] if spaced.startswith("С") else spaced
+
+
 #: Known words and phrases written with a blank between the letters.
 letter_spacing = Step(
     *(sub(rf"([0-9])[ \t]+{' '.join(word)}{_NOT_AFTER}", f"$1 {word}") for word in ("року", "година")),
     *(put(" ".join(month), month) for month in MONTHS),
-    *(sub(r"[ \t]+".join(" ".join(w) for w in phrase.split()), phrase) for phrase in PHRASES),
+    *(sub(_spaced(phrase), phrase) for phrase in PHRASES),
     when=f"(?:{L} ){{3}}",
 )
 _ENDS = "річчя|ліття|ий|го|ому|им|ої|ій|ою|ї"

@@ -12,7 +12,7 @@ SPACE = r"[ \t\n\r\f\x0B]"
 #: A private-use character that stands for a sentence boundary while it is decided.
 MARK = ""
 PARAGRAPH = r"(?s)[ \t\n\r\f\x0B]*[^ \t\n\r\f\x0B].*?(?:\n\n|\z)"
-WORD = r"\p{L}[\p{L}\p{M}\p{N}]*(?:['’ʼ-][\p{L}\p{N}][\p{L}\p{M}\p{N}]*)*|\p{N}+(?:[.,:/-]\p{N}+)*(?:-\p{L}+)?"
+WORD = r"\p{L}[\p{L}\p{M}\p{N}]*(?:['’ʼ–-][\p{L}\p{N}][\p{L}\p{M}\p{N}]*)*|\p{N}+(?:[.,:/-]\p{N}+)*(?:-\p{L}+)?"
 TOKEN = WORD + r"|[^ \t\n\r\f\x0B\p{L}\p{N}]"
 #: A paragraph longer than this is cut, so that one row stays bounded.
 PARAGRAPH_CAP = 200 * 1024

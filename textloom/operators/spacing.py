@@ -1,8 +1,10 @@
 """De-spacing of lines written with blanks between the letters.
 
-Each run of spaced letters is segmented into lexicon words by dynamic programming over
-its positions; the segmentation with the largest sum of cubed word lengths over the cube of
-their number wins. Runs in one Arrow pass with the lexicon as in ``lexicon.rewrite``.
+A line that holds a run of spaced letters is taken apart into words, single letters and marks.
+Letters that stand one by one are segmented into lexicon words by dynamic programming over
+their positions; the segmentation with the largest sum of cubed word lengths over the cube of
+their number wins. Two blanks, a stop, and a capital after a small letter part words for sure.
+Runs in one Arrow pass with the lexicon as in ``lexicon.rewrite``.
 """
 
 from __future__ import annotations
@@ -13,6 +15,10 @@ from textloom.functions.tokenize import UK
 from textloom.operators.lexicon import Lexicon
 
 RUN = re.compile(rf"(?<![{UK}'’ʼ-])[{UK}](?:[ ]+[{UK}'’ʼ-](?![{UK}])){{4,}}")
+_PIECE = re.compile(rf" {{2,}}|\s|\.+|[{UK}a-zA-Z0-9'’ʼ\u0301\u2011\u2013-]+|[^\s.{UK}a-zA-Z0-9'’ʼ\u0301\u2011\u2013-]+")
+_SINGLE = re.compile(rf"['’ʼ-]?[{UK}]\u0301?['’ʼ]?|[-\u2011\u2013]")
+#: Marks before which no blank is set, and after which none is.
+_NO_BLANK, _OPENING = ".,:;!?»)]", "«([„"
 LONGEST, LONGEST_HYPHENED = 30, 45
 
 
@@ -52,16 +58,39 @@ def segment(letters: str, x: Lexicon) -> list[str] | None:
 
 
 def despace(text: str, x: Lexicon) -> str:
-    """Every run of five or more spaced letters as words, where it can be segmented. Two
-    blanks or more part words for sure."""
+    """Lines with five or more spaced letters as words, where the letters can be segmented; other
+    lines stay as they are."""
+    return "\n".join(_line(line, x) if RUN.search(line) else line for line in text.split("\n"))
 
-    def run(m: re.Match) -> str:
-        out = []
-        for part in re.split(" {2,}", m[0]):
-            words = segment(part.replace(" ", ""), x)
-            if words is None:
-                return m[0]
-            out += words
-        return " ".join(out)
 
-    return "\n".join(RUN.sub(run, line.replace(". .", "..")) for line in text.split("\n"))
+def _line(line: str, x: Lexicon) -> str:
+    out: list[str] = []
+    run: list[str] = []
+
+    def flush() -> None:
+        tail = run.pop() if len(run) > 1 and run[-1] in "-‑–" else None
+        if run:
+            out.extend((len(run) > 1 and segment("".join(run), x)) or run)
+        if tail:
+            out.append(tail)
+        run.clear()
+
+    body = line.strip()
+    for m in _PIECE.finditer(re.sub(r"\. (?=\.)", ".", body)):
+        piece = m[0]
+        if piece == " ":
+            continue
+        if not _SINGLE.fullmatch(piece) or not run and piece in "-‑–":
+            flush()
+            if not piece.isspace():
+                out.append(piece)
+            continue
+        if run and run[-1][-1:].islower() and piece[:1].isupper():
+            flush()
+        run.append(piece)
+    flush()
+    text = ""
+    for w in out:
+        text += w if not text or w[0] in _NO_BLANK or text[-1] in _OPENING else " " + w
+    start = line.index(body) if body else 0
+    return line[:start] + text + line[start + len(body) :]

@@ -52,11 +52,11 @@ def stress(tokens: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
     """
     t = tokens.select(*key, "value", "readings")
     ask = t.filter((syllables(F.col("value")) > 1) & ~F.col("value").contains(ACCENT))
-    r = ask.select(*key, "value", F.posexplode("readings").alias("no", "r")).select(*key, "value", "no", F.col("r.lemma").alias("lemma"), tag_key(F.col("r.tags")).alias("tag_key"))
+    r = ask.select(*key, "value", F.posexplode("readings").alias("__no", "r")).select(*key, "value", "__no", F.col("r.lemma").alias("lemma"), tag_key(F.col("r.tags")).alias("tag_key"))
     hit = r.join(table.select("lemma", "tag_key", "form", "base", "offset"), ["lemma", "tag_key"])
     same = F.lower("value") == strip_accent(F.lower("form"))
     hit = hit.withColumn("out", F.when(same, apply_accents(F.col("value"), accents(F.lower("form")))).when(F.col("base") == 1, restore_accent(F.lower("form"), F.col("value"), F.coalesce("offset", F.lit(0))))).filter("out is not null")
-    best = hit.groupBy(*key).agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("no", "out"))), lambda x: x["out"])), "/").alias("__s"))
+    best = hit.groupBy(*key).agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("__no", "out"))), lambda x: x["out"])), "/").alias("__s"))
     return t.join(best, key, "left").select(*key, "value", F.coalesce("__s", "value").alias("stressed"))
 
 
