@@ -49,7 +49,13 @@ def rates(parts: DataFrame, lexicon_uk: DataFrame, lexicon_ru: DataFrame, id_col
     # each distinct word is looked up once; the counts come back by an equi-join
     distinct = with_known(with_known(words.select("word").distinct(), "word", lexicon_uk).withColumnRenamed("known", "in_uk"), "word", lexicon_ru).withColumnRenamed("known", "in_ru")
     low = F.lower("word")
-    uk = F.when(low.rlike("[іїєґ'’ʼ]|^й$"), 10).when(F.col("in_uk"), 8).otherwise(0)
+    # words that have substandard readings only weigh little
+    weak = F.lit(False)
+    if "tags" in lexicon_uk.columns:
+        good = lexicon_uk.filter(~F.coalesce(F.col("tags").rlike(":(bad|subst)"), F.lit(False)))
+        distinct = with_known(distinct, "word", good).withColumnRenamed("known", "good_uk")
+        weak = ~F.col("good_uk")
+    uk = F.when(low.rlike("[іїєґ'’ʼ]|^й$"), 10).when(F.col("in_uk"), F.when(weak, 2).otherwise(8)).otherwise(0)
     ru = F.when(uk == 10, 0).when(low.rlike("^[бвгдежзклмнпрстфхцчшщю]$"), 0).when(low.rlike("[ыэёъ]"), 10).when(F.col("in_ru"), 8).otherwise(0)
     weights = distinct.select("word", uk.alias("uk"), ru.alias("ru"))
     mean = lambda c: F.sum(c) / F.count("*") / 10

@@ -14,8 +14,11 @@ LEFT_OUT = "^(xp[0-9]|pron|predic|insert)$"
 
 
 def ud_map(table: DataFrame) -> Column:
-    """The table as a map; later rows win, ``numr`` is always a part of speech."""
-    rows = table.filter("part is not null and part <> ''").limit(MAP_ROWS).collect()
+    """The table as a map; of rows of one part the last in order of ``ud`` wins, ``numr`` is always a
+    part of speech. A table of more than ``MAP_ROWS`` rows is an error."""
+    rows = table.filter("part is not null and part <> ''").orderBy("part", "ud").limit(MAP_ROWS + 1).collect()
+    if len(rows) > MAP_ROWS:
+        raise ValueError(f"a map of more than {MAP_ROWS} tag parts")
     m = {r["part"].replace("v_zna:", ""): r["ud"] for r in rows if r["part"] != "numr" or r["ud"].startswith("Upos")}
     return F.create_map(*(F.lit(x) for kv in m.items() for x in kv)) if m else F.create_map().cast("map<string,string>")
 
@@ -34,7 +37,7 @@ def _mapped(tags: Column, m: Column) -> tuple[Column, Column]:
     rest = F.transform(F.slice(parts, 2, 100), lambda p: F.element_at(m, F.when(p == "obsc", "vulg").otherwise(p)))
     rest = F.transform(rest, lambda u: F.regexp_replace(u, "Gender=(Masc|Fem|Neut)", "$0; Number=Sing"))
     rest = F.filter(rest, lambda u: u.isNotNull() & (u != "-"))
-    return head_parts[0], F.concat(rest, F.slice(head_parts, 2, 100))
+    return head_parts[0], F.concat(rest, F.coalesce(F.slice(head_parts, 2, 100), F.array().cast("array<string>")))
 
 
 def upos(tags: Column, m: Column) -> Column:

@@ -7,6 +7,7 @@ from inspect import getmembers, isfunction
 
 from textloom.plans import cases
 from textloom.plans import queries as Q
+from textloom.plans import sql_outputs
 from textloom.plans.sql import oracle_sql as _sql
 
 
@@ -17,4 +18,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return _sql() | cases.oracle_sql()
+    return _sql() | sql_outputs.oracle_sql() | cases.oracle_sql()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.config import CleanConfig
@@ -91,7 +92,9 @@ def only_words(s, d):
 
 
 def particle_split(s, d):
-    v = _tokens(s, d).select("value").distinct()
+    """Particles of the tokens, also of each token with a particle put to it."""
+    v = _tokens(s, d).select("value")
+    v = v.unionByName(v.select(F.concat("value", F.lit("-но")).alias("value"))).unionByName(v.select(F.concat("value", F.lit("–таки")).alias("value"))).distinct()
     return v.select("value", F.array_join(T.split_particle(F.col("value")), "|").alias("parts")).filter("parts is not null")
 
 
@@ -116,7 +119,8 @@ def word_frequency_by_source(s, d):
 
 
 def multi_column_route(s, d):
-    return table(s, d, "clean_requests").filter(multi_column(F.col("text"))).select("request_id")
+    """Requests that are in columns when gaps are set after their hyphens."""
+    return table(s, d, "clean_requests").filter(multi_column(F.replace("text", F.lit("-"), F.lit("-    ")))).select("request_id")
 
 
 # dictionary and statistics
@@ -230,8 +234,10 @@ def clean_full(s, d):
 
 
 def despaced(s, d):
-    r = table(s, d, "clean_requests").select("request_id", "text").filter(F.col("text").rlike(rf"(?:[{T.UK}] ){{5}}"))
-    return lexicon.rewrite(r, [spacing.despace], _lexicons(s, d))
+    """The forms of the lexicon, written with blanks between the letters, as words again."""
+    forms = table(s, d, "lexicon_uk").filter(F.col("form").rlike("^[а-яіїєґ]{5,}$")).select("form").distinct()
+    spaced = forms.withColumn("result", F.array_join(F.split("form", ""), " "))
+    return lexicon.rewrite(spaced, [spacing.despace], _lexicons(s, d), "result")
 
 
 # gates and diagnostics
@@ -262,7 +268,11 @@ def diagnostics(s, d):
 
 
 def two_columns(s, d):
-    return table(s, d, "clean_requests").filter(quality.two_columns(F.col("text"))).select("request_id")
+    """Requests whose text is in two columns when the letters of its lines are laid out so."""
+    letters = lambda x: F.regexp_replace(x, "[^а-яіїєґ]+", "")
+    lines = F.transform(F.split(F.lower("text"), "\n"), lambda x: F.concat(F.rpad(F.substring(letters(x), 1, 10), 16, " "), F.substring(letters(x), 11, 10)))
+    t = table(s, d, "clean_requests").filter("text is not null").select("request_id", F.array_join(lines, "\n").alias("text"))
+    return t.filter(quality.two_columns(F.col("text"))).select("request_id")
 
 
 # normal forms, ranking, contexts
@@ -320,12 +330,18 @@ def space_after(s, d):
 
 
 def unknown_suffix_guess(s, d):
-    t = stats.unknown_words(_tagged(s, d)).select("value", F.lit(True).alias("first"), F.lit(None).cast("string").alias("left_lemma"), F.lit(None).cast("string").alias("left_tags"))
-    return unknown.guess(t.withColumn("key", F.col("value")), unknown.suffix_statistics(table(s, d, "lexicon_uk")), ["key"]).drop("key")
+    """Guesses for the unknown tokens, each with the reading of the token before it."""
+    w = W.partitionBy("doc_id", "para_id", "sent_id").orderBy("tok_id", "value")
+    first = F.col("readings")[0]
+    t = _tagged(s, d).select("value", first["tags"].alias("tag"), (F.row_number().over(w) == 1).alias("first"), F.lag(first["lemma"]).over(w).alias("left_lemma"), F.lag(first["tags"]).over(w).alias("left_tags"))
+    t = t.filter("tag = 'unknown'").drop("tag").distinct().withColumn("key", F.concat_ws("|", "value", F.col("first").cast("string"), "left_lemma", "left_tags"))
+    return unknown.guess(t, unknown.suffix_statistics(table(s, d, "lexicon_uk")), ["key"])
 
 
 def older_spelling(s, d):
+    """Words in an older spelling: the unknown words, and the forms of the lexicon with і for и."""
     t = stats.unknown_words(_tagged(s, d)).select("value")
+    t = t.unionByName(table(s, d, "lexicon_uk").filter("form is not null").select(F.regexp_replace("form", "(.)и", "$1і").alias("value")))
     return ortho.retag(t, table(s, d, "lexicon_uk"), "lesya").select("value", F.size("readings").alias("n_readings"))
 
 
@@ -366,7 +382,7 @@ def conllu_output(s, d):
     keys = ["doc_id", "para_id", "sent_id"]
     gap = F.when(F.coalesce("whitespace_before", F.lit(True)), " ").otherwise("")
     texts = t.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_id", F.concat(gap, "value").alias("v")))), lambda x: x["v"]), "").alias("text"))
-    return sinks.conllu(ud.convert(t, m, NEGATIVES), texts)
+    return sinks.conllu(ud.convert(t, m, NEGATIVES, table(s, d, "lexicon_uk")), texts)
 
 
 # language marking, checks, extras, streams
@@ -382,6 +398,11 @@ def language_marks(s, d):
     return langmark.mark_russian(_docs(s, d).select("doc_id", "text"), _lexicons(s, d), "mark").filter(F.col("text").contains('<span lang="ru"')).select("doc_id", F.size(F.regexp_extract_all("text", F.lit('<span lang="ru"'), F.lit(0))).alias("n_marks"))
 
 
+def russian_chunks(s, d):
+    """What a cut of Russian paragraphs writes to its side output."""
+    return langmark.russian_chunks(_docs(s, d).select("doc_id", "text"), _lexicons(s, d)).select("doc_id", "pos", F.md5("chunk").alias("chunk"), "rate")
+
+
 def rule_matches(s, d):
     return checks.matches(_docs(s, d), RULES).groupBy("rule_id").agg(F.count("*").alias("n"))
 
