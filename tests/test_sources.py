@@ -94,11 +94,11 @@ def test_streams(spark, tmp_path):
     df = spark.createDataFrame([("слово й слово", "2024-01-01 00:00:00", "a"), (None, "2024-01-02 00:00:00", "b")], "text string, at string, source string").withColumn("loaded_at", F.to_timestamp("at")).drop("at")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     x = streams.documents_stream(spark, str(tmp_path / "in"), df.schema)
-    counts = streams.run_once(streams.word_counts(x), "t_counts", "complete", str(tmp_path / "c1"))
+    counts = streams.run_once(streams.word_counts(x), "complete", str(tmp_path / "c1"))
     assert {r.word: r.n for r in counts.collect()} == {"слово": 2, "й": 1}
-    cleaned = streams.run_once(streams.clean_stream(x), "t_clean", "append", str(tmp_path / "c2"))
+    cleaned = streams.run_once(streams.clean_stream(x), "append", str(tmp_path / "c2"))
     assert cleaned.count() == 2
-    got = streams.run_once(streams.arrivals(x), "t_arrivals", "update", str(tmp_path / "c3")).collect()
+    got = streams.run_once(streams.arrivals(x), "update", str(tmp_path / "c3")).collect()
     assert {(r.source, r.n_docs) for r in got} == {("a", 1), ("b", 1)}
 
 

@@ -10,9 +10,9 @@ def test_paragraphs_keep_the_text(one):
     assert one(tokenize.paragraphs, t=" \n\n ") == [] and one(tokenize.paragraphs, t=None) is None
 
 
-def test_long_paragraphs_are_cut(one):
-    got = one(lambda c: tokenize.paragraphs(c, cap=10), t="абвгд " * 5)
-    assert all(len(p) <= 10 for p in got) and "".join(got) == "абвгд " * 5
+def test_long_paragraphs_are_whole(one):
+    text = "абвгд " * 100_000
+    assert one(tokenize.paragraphs, t=text + "\n\nкінець") == [text + "\n\n", "кінець"]
 
 
 @pytest.mark.parametrize(

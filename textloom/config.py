@@ -50,6 +50,7 @@ class TagConfig:
     single_token_only: bool = False
     all_token_readings: bool = False
     disambiguate: bool = False
+    no_disambig: bool = False
     show_rate: bool = False
     tag_unknown: bool = False
     unknown_rate: bool = False
@@ -57,7 +58,6 @@ class TagConfig:
     show_level: bool = False
     semantic_tags: bool = False
     split_hyphen_parts: bool = True
-    separate_dot_abbreviation: bool = False
     sentence_per_line: bool = False
     strip_control: bool = False
     modules: frozenset[str] = field(default_factory=frozenset)
@@ -69,14 +69,19 @@ class TagConfig:
             raise ValueError(f"modules {sorted(self.modules)}")
 
     def adjusted(self) -> TagConfig:
-        """lemma_only implies txt, disambiguate and a single token; vertical and conllu
-        imply disambiguate and lemmas for unknown words; disambiguate implies the token
-        format, guesses for unknown words and, but for all_token_readings, one token."""
+        """lemma_only implies txt, disambiguate and a single token; txt, vertical and conllu imply
+        lemmas for unknown words; vertical and conllu also disambiguate with rates, unless
+        no_disambig is set; conllu leaves particles with their words; rates imply disambiguate, which implies the
+        token format, guesses for unknown words and, but for all_token_readings, one token."""
         c = self
         if c.lemma_only:
             c = replace(c, output="txt", disambiguate=True, single_token_only=True)
-        if c.output in ("vertical", "conllu"):
-            c = replace(c, set_lemma_for_unknown=True, disambiguate=True)
-        if c.disambiguate:
-            c = replace(c, token_format=True, tag_unknown=True, single_token_only=c.single_token_only or not c.all_token_readings)
-        return c
+        if c.output in ("txt", "vertical", "conllu"):
+            c = replace(c, set_lemma_for_unknown=True)
+        if c.output in ("vertical", "conllu") and not c.no_disambig:
+            c = replace(c, disambiguate=True, show_rate=True)
+        if c.output == "conllu":
+            c = replace(c, split_hyphen_parts=False)
+        if c.show_rate or c.disambiguate:
+            c = replace(c, disambiguate=True, token_format=True, tag_unknown=True, single_token_only=c.single_token_only or not c.all_token_readings)
+        return replace(c, token_format=c.token_format or c.single_token_only, tag_unknown=c.tag_unknown or c.unknown_rate)

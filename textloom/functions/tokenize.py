@@ -14,8 +14,6 @@ MARK = ""
 PARAGRAPH = r"(?s)[ \t\n\r\f\x0B]*[^ \t\n\r\f\x0B].*?(?:\n\n|\z)"
 WORD = r"\p{L}[\p{L}\p{M}\p{N}]*(?:['’ʼ–-][\p{L}\p{N}][\p{L}\p{M}\p{N}]*)*|\p{N}+(?:[.,:/-]\p{N}+)*(?:-\p{L}+)?"
 TOKEN = WORD + r"|[^ \t\n\r\f\x0B\p{L}\p{N}]"
-#: A paragraph longer than this is cut, so that one row stays bounded.
-PARAGRAPH_CAP = 200 * 1024
 
 # Abbreviations after which a capital letter does not begin a sentence.
 ABBREVIATIONS = "вул|просп|пл|обл|р-н|ім|див|напр|тис|млн|млрд|стор|рис|табл|проф|акад|доц|гр|буд|кв|св|о|м|с|т|ст|ред|Mr|Mrs|Dr|St|No|Prof"
@@ -23,13 +21,11 @@ NOT_PARTICLES = ["себ-то", "цеб-то", "як-от", "ф-но", "то-т
 PARTICLE = rf"(?iu)^([{UK}][{UK}'’ʼ-]+)[-–](бо|но|то|от|таки)$"
 
 
-def paragraphs(text: Column, cap: int = PARAGRAPH_CAP) -> Column:
-    """Paragraphs with the blank lines that follow them; leading blank lines stay with
-    the next paragraph. Concatenated they give the text back (but for a blank tail).
+def paragraphs(text: Column) -> Column:
+    """Paragraphs with the blank lines that follow them, of any length; leading blank lines stay
+    with the next paragraph. Concatenated they give the text back (but for a blank tail).
     Null and blank texts have none."""
-    parts = F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0))
-    cut = F.transform(parts, lambda p: F.when(F.length(p) <= cap, F.array(p)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / cap).cast("int")), lambda i: F.substring(p, i * cap + 1, F.lit(cap)))))
-    return F.when(text.isNotNull(), F.flatten(cut))
+    return F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0))
 
 
 def sentences(text: Column, separator: str | None = None, newline: str = " ") -> Column:

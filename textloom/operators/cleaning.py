@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,9 +76,9 @@ def repeated_footers(df: DataFrame, least: int = 3, id_col: str = "doc_id", text
     return out.withColumn(text_col, F.array_join(keep, "\n")).select(*df.columns)
 
 
-def native_clean(text: Column) -> Column:
-    """All native steps of the plan as one expression, for streams and quick passes."""
-    return reduce(lambda c, s: s(c), [C.orphan_cr, C.without_cr, *C.STEPS, C.mix_shortcuts, C.roman_numbers, C.lone_latin, C.dangling_numbers, C.letter_spacing], text)
+def native_clean(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """All native steps of the plan, one projection each, for streams and quick passes."""
+    return native(df, [C.orphan_cr, C.without_cr, *C.STEPS, C.mix_shortcuts, C.roman_numbers, C.lone_latin, C.dangling_numbers, C.letter_spacing], text_col)
 
 
 def counters(before: Column, after: Column) -> dict[str, Column]:

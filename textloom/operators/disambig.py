@@ -208,7 +208,9 @@ def rank_tokens(tokens: list[dict], s: Statistics) -> list[list[tuple[float, int
                     part += _by_context(s, table, key, norm[k], tokens, at, chosen) * TAG_CONTEXT
                     rate += part * factor / (UNFORCED if unforced else scale)
             rates.append((rate, k))
-        rates.sort(key=lambda x: -x[0])
+        # guesses for an unknown word keep their order, but after a preposition
+        if not t.get("guessed") or at and any(r["tags"].startswith("prep") for r in tokens[at - 1]["readings"] or ()):
+            rates.sort(key=lambda x: -x[0])
         out.append(rates)
         chosen.append(readings[rates[0][1]]["tags"] if rates else "")
     return out
@@ -219,9 +221,8 @@ def load(word_stats: DataFrame, word_ctx_stats: DataFrame) -> Statistics:
     for x in (word_stats, word_ctx_stats):
         if x.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
             raise ValueError(f"more than {BROADCAST_ROWS} rows of statistics; use rank_by_rate")
-    words = [tuple(r) for r in word_stats.select("word", "lemma", "postag", "rate").toLocalIterator()]
-    contexts = [tuple(r) for r in word_ctx_stats.select("word", "lemma", "postag", "offset", "ctx_word", "ctx_lemma", "ctx_postag", "cnt").toLocalIterator()]
-    return Statistics(words, contexts)
+    rows = lambda df, *columns: list(zip(*(c.to_pylist() for c in df.select(*columns).toArrow().columns)))
+    return Statistics(rows(word_stats, "word", "lemma", "postag", "rate"), rows(word_ctx_stats, "word", "lemma", "postag", "offset", "ctx_word", "ctx_lemma", "ctx_postag", "cnt"))
 
 
 def rank_sentences(sents: DataFrame, word_stats: DataFrame, word_ctx_stats: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ _BETWEEN_CYR = re.compile(f"([{UK}][{A}]?)([{_LAT}])(?=[{A}]?[{UK}])")
 _BETWEEN_LAT = re.compile(f"([a-zA-Z][{A}]?)([{CYRILLIC}])(?=[{A}]?[a-zA-Z])")
 _ALL_EN_UK = re.compile(rf"^([A-Za-z]+)([а-яіїєґ{A}]+)$")
 # Words that a hyphen must not make, and short mixes that count as words.
-BAD_COMPOUND = {"дійний", "ленський"}
+BAD_COMPOUND = re.compile("(?:дійн|ленськ)(?:ий|ого|ому|им|ім|а|ої|ій|у|ою|е|і|их|ими)", re.I)
 _SHORT_MIX = re.compile("[ІI][ТT]|[ТT][іiеe]|[НH][іiаaуy]")
 _GUARD = ""
 TO_CYR = dict(zip(LATIN, CYRILLIC)) | ACCENTED
@@ -105,7 +105,7 @@ def line_end_hyphens(text: str, x: Lexicon) -> str:
 
     def one(m):
         tail = (m[4] or "") + "\n" + m[2]
-        if x.has(f"{m[1]}-{m[3]}") and m[3] not in BAD_COMPOUND:
+        if x.has(f"{m[1]}-{m[3]}") and not BAD_COMPOUND.fullmatch(m[3]):
             return f"{m[1]}-{m[3]}{tail}"
         return m[1] + m[3] + tail if x.has(m[1] + m[3]) else m[0]
 

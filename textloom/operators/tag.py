@@ -83,7 +83,7 @@ def sentences(tagged: DataFrame, paragraph_marks: bool = False) -> DataFrame:
     empty sentence after each paragraph. A sentence is a bounded group."""
     keys = ["doc_id", "para_id", "sent_id"]
     order = ["tok_id", "part_no"] if "part_no" in tagged.columns else ["tok_id"]
-    rest = [c for c in ("value", "clean", "whitespace_before", "readings", "semtags", "level", "confidence") if c in tagged.columns]
+    rest = [c for c in ("value", "clean", "whitespace_before", "readings", "semtags", "level", "guessed", "confidence") if c in tagged.columns]
     s = tagged.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("at"), F.struct(*rest).alias("t")))), lambda x: x["t"]).alias("tokens"))
     if paragraph_marks:
         marks = s.groupBy("doc_id", "para_id").agg((F.max("sent_id") + 1).alias("sent_id"))

@@ -18,4 +18,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return _sql() | sql_outputs.oracle_sql() | cases.oracle_sql()
+    return _sql() | sql_outputs.oracle_sql() | sql_outputs.more_sql() | cases.oracle_sql()

@@ -76,6 +76,7 @@ def _guessed(t: DataFrame, tables: Tables, c: TagConfig) -> DataFrame:
         {
             "readings": F.when(has, F.transform("__g", lambda x: x["r"])).otherwise(F.col("readings")),
             "level": F.when(has & F.lit(c.show_level), "stats"),
+            "guessed": has,
             "confidence": F.when(has & F.lit(c.unknown_rate), F.col("__g")[0]["confidence"].cast("decimal(6,3)")),
         }
     ).drop("__g")
@@ -93,13 +94,14 @@ def tag_sentences(docs: DataFrame, tables: Tables, config: TagConfig = TagConfig
     """Sentences of tagged tokens; with ``disambiguate`` readings are ranked (with context
     where there are context statistics) and cut to one unless all are asked for."""
     c = config.adjusted()
+    # paragraph ends are marked in output of tokens only
     s = tag.sentences(tag_tokens(docs, tables, c, **columns), paragraph_marks=c.token_format and c.output in ("xml", "json"))
     if c.disambiguate and tables.word_stats is not None:
         ctx = tables.word_ctx_stats
         if ctx is None:
             ctx = docs.sparkSession.createDataFrame([], "word string, lemma string, postag string, offset int, ctx_word string, ctx_lemma string, ctx_postag string, cnt double")
         s = disambig.rank_sentences(s, tables.word_stats, ctx)
-        s = s if c.show_rate else s.drop("rates")
+        s = s if c.show_rate and c.output != "conllu" else s.drop("rates")
     if c.single_token_only:
         s = s.withColumn("tokens", F.transform("tokens", lambda t: t.withField("readings", F.slice(t["readings"], 1, 1))))
     return s
@@ -109,12 +111,7 @@ def tag_documents(docs: DataFrame, tables: Tables, config: TagConfig = TagConfig
     """``(doc_id, body)``: each document in the output format of the options."""
     c = config.adjusted()
     if c.output == "conllu":
-        t = tag.space_after(tag_tokens(docs, tables, c, **columns))
-        gap = F.when(F.coalesce("whitespace_before", F.lit(True)), " ").otherwise("")
-        keys = ["doc_id", "para_id", "sent_id"]
-        texts = t.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_id", F.concat(gap, "value").alias("v")))), lambda x: x["v"]), "").alias("text"))
-        rows = sinks.conllu(ud.convert(t, tables.ud_map, list(tables.negatives), tables.lexicon), texts)
-        return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_id", "sent_id", "conllu"))), lambda x: x["conllu"]), "\n").alias("body"))
+        return _conllu(tag_sentences(docs, tables, c, **columns), tables)
     s = tag_sentences(docs, tables, c, **columns)
     if c.lemma_only:
         parts = s.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para_id", "sent_id", sinks.txt(F.col("tokens"), True).alias("s")))).alias("x"))
@@ -122,10 +119,22 @@ def tag_documents(docs: DataFrame, tables: Tables, config: TagConfig = TagConfig
     return sinks.documents(s, c.output, c.token_format)
 
 
+def _conllu(s: DataFrame, tables: Tables) -> DataFrame:
+    """``(doc_id, body)`` of sentences in CoNLL-U, by the first reading of each token: the best one where
+    readings are ranked."""
+    keys = ["doc_id", "para_id", "sent_id"]
+    last = F.size("tokens") - 1
+    space = F.transform("tokens", lambda t, i: F.when(i < last, F.get("tokens", i + 1)["whitespace_before"]))
+    t = s.withColumn("space", space).select(*keys, F.posexplode(F.arrays_zip("tokens", "space")).alias("tok_id", "x")).select(*keys, "tok_id", "x.tokens.*", F.col("x.space").alias("space_after"))
+    gap = F.transform("tokens", lambda x: F.concat(F.when(F.coalesce(x["whitespace_before"], F.lit(True)), " ").otherwise(""), x["value"]))
+    rows = sinks.conllu(ud.convert(t, tables.ud_map, list(tables.negatives), tables.lexicon), s.select(*keys, F.array_join(gap, "").alias("text")))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_id", "sent_id", "conllu"))), lambda x: x["conllu"]), "\n").alias("body"))
+
+
 def tokenize_documents(docs: DataFrame, config: TokenizeConfig = TokenizeConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, body)`` of the tokenizer."""
     c = config.adjusted()
-    return sinks.tokenised(docs, c.words, c.only_words, c.output, c.separator, id_col, text_col)
+    return sinks.tokenised(docs, c.words, c.only_words, c.output, c.separator, id_col, text_col, c.preserve_whitespace, c.newline)
 
 
 def reports(tagged: DataFrame, lexicon_ru: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.config import CleanConfig
+from textloom.config import CleanConfig, TagConfig
 from textloom.functions import clean as C
 from textloom.functions import normalize as N
 from textloom.functions import tokenize as T
 from textloom.functions.classify import multi_column, token_class
-from textloom.operators import checks, disambig, langmark, lexicon, ortho, quality, spacing, stats, stress, tag, ud, unknown
-from textloom.operators.cleaning import clean, native
-from textloom.runtime import spread, table
-from textloom.sources import sinks
+from textloom.operators import checks, disambig, langmark, lexicon, ortho, quality, semtags, spacing, stats, stress, tag, ud, unknown
+from textloom.operators.cleaning import clean, counters, native
+from textloom.plans import pipeline
+from textloom.runtime import new_folder, spread, table
+from textloom.sources import files, lexicons, sinks
 
 LETTERS = "A-Za-zА-Яа-яІіЇїЄєҐґЁёЎў"
 # What the parts of tags in the test lexicon are in Universal Dependencies.
@@ -107,10 +106,14 @@ def token_class_counts(s, d):
 
 
 def word_frequency(s, d):
-    """Documents to paragraphs, sentences, tokens, classes and counts."""
-    t = tag.explode_tokens(_docs(s, d))
-    words = t.filter(F.col("value").rlike(rf"^[{LETTERS}]+\z"))
-    return words.groupBy(F.lower("value").alias("word")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    """Documents to paragraphs, sentences, tokens, classes and counts. The words of a document are
+    sorted, so that the first of equal ones tells that the document has the word: one exchange."""
+    words = F.flatten(F.transform(T.paragraphs(F.col("text")), lambda p: F.flatten(F.transform(T.sentences(p), lambda x: T.tokens(x)))))
+    words = F.transform(F.filter(words, lambda w: w.rlike(rf"^[{LETTERS}]+\z")), F.lower)
+    w = _docs(s, d).select(F.array_sort(words).alias("w"))
+    each = F.transform("w", lambda x, i: F.struct(x.alias("word"), ((i == 0) | (F.get("w", i - 1) != x)).alias("first")))
+    w = w.select(F.explode(each).alias("x")).select("x.word", "x.first")
+    return w.groupBy("word").agg(F.count("*").alias("n"), F.count_if("first").alias("n_docs"))
 
 
 def word_frequency_by_source(s, d):
@@ -311,9 +314,23 @@ def reading_rank(s, d):
     return r.groupBy("value", "lemma", "tags", "rank", "confidence").agg(F.count("*").alias("n"))
 
 
+def _context_stats(s: SparkSession, d: str) -> DataFrame:
+    """Contexts of the tokens with one reading: the token before and the one after it, where these
+    have one reading too."""
+    w = W.partitionBy("doc_id", "para_id", "sent_id").orderBy("tok_id", "value")
+    word = F.lower(N.known_form(F.coalesce("clean", "value")))
+    one = F.when(F.size("readings") == 1, F.struct(word.alias("word"), F.col("readings")[0]["lemma"].alias("lemma"), F.col("readings")[0]["tags"].alias("tags")))
+    t = _tagged(s, d).select(one.alias("t"), F.array(F.struct(F.lit(-1).alias("offset"), F.lag(one).over(w).alias("c")), F.struct(F.lit(1).alias("offset"), F.lead(one).over(w).alias("c"))).alias("near"))
+    t = t.filter("t is not null").select("t", F.explode("near").alias("x")).filter("x.c is not null")
+    return t.groupBy(F.col("t.word").alias("word"), F.col("t.lemma").alias("lemma"), F.col("t.tags").alias("postag"), F.col("x.offset").alias("offset"), F.col("x.c.word").alias("ctx_word"), F.col("x.c.lemma").alias("ctx_lemma"), N.tag_core(F.col("x.c.tags")).alias("ctx_postag")).agg(F.count("*").cast("double").alias("cnt"))
+
+
+def context_stats(s, d):
+    return _context_stats(s, d)
+
+
 def ranked_sentences(s, d):
-    ctx = s.createDataFrame([], "word string, lemma string, postag string, offset int, ctx_word string, ctx_lemma string, ctx_postag string, cnt double")
-    r = disambig.rank_sentences(tag.sentences(_tagged(s, d)), _word_stats(s, d), ctx)
+    r = disambig.rank_sentences(tag.sentences(_tagged(s, d)), _word_stats(s, d), _context_stats(s, d))
     first = r.select(F.explode("tokens").alias("t")).select(F.col("t.value").alias("value"), F.col("t.readings")[0]["tags"].alias("tags"))
     return first.groupBy("value", "tags").agg(F.count("*").alias("n"))
 
@@ -424,4 +441,118 @@ def streaming_word_count(s, d):
 
     x = streams.documents_stream(s, f"{d}/documents.parquet", _docs(s, d).schema)
     x = x.select(F.explode(F.regexp_extract_all("text", F.lit(rf"[{LETTERS}]+"), F.lit(0))).alias("w")).groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n"))
-    return streams.run_once(x, "word_counts", "complete", tempfile.mkdtemp(prefix="textloom-stream-"))
+    return streams.run_once(x, "complete", new_folder(s, "word-counts"))
+
+
+# whole runs, files, and tables made from others
+
+
+def document_tagging(s, d):
+    """Documents to tokens with their readings, particles apart, under options."""
+    t = pipeline.tag_tokens(_docs(s, d), pipeline.Tables(table(s, d, "lexicon_uk")), TagConfig(strip_control=True))
+    first = F.col("readings")[0]
+    return t.select("doc_id", "para_id", "sent_id", "tok_id", F.coalesce("part_no", F.lit(0)).alias("part_no"), "value", F.size("readings").alias("n_readings"), first["lemma"].alias("lemma"), first["tags"].alias("tags"))
+
+
+def line_tagging(s, d):
+    """The same with a sentence for each line and one reading for each token."""
+    t = pipeline.tag_tokens(_docs(s, d), pipeline.Tables(table(s, d, "lexicon_uk")), TagConfig(sentence_per_line=True, single_token_only=True, split_hyphen_parts=False, set_lemma_for_unknown=True))
+    return t.groupBy("value", F.col("readings")[0]["lemma"].alias("lemma"), F.col("readings")[0]["tags"].alias("tags")).agg(F.count("*").alias("n"), F.max(F.size("readings")).alias("most"))
+
+
+def alternatives(s, d):
+    """Tokens by their first reading and the others."""
+    t = _tagged(s, d).select(tag.token_shape(F.col("readings")).alias("x"))
+    return t.groupBy(F.col("x.token.lemma").alias("lemma"), F.col("x.token.tags").alias("tags"), F.size("x.alts").alias("n_alts")).agg(F.count("*").alias("n"))
+
+
+def class_counts_by_document(s, d):
+    return stats.counts_by_class(_tagged(s, d), ["doc_id"])
+
+
+def semantic_tag_lookup(s, d):
+    """Semantic tags of the lexicon's readings, from entries for every lemma."""
+    x = table(s, d, "lexicon_uk").filter("lemma is not null and tags is not null").select("lemma", "tags").distinct()
+    entries = x.select("lemma", N.part_of_speech(F.col("tags")).alias("pos")).distinct()
+    kinds = [("1:conc:hum", ""), ("2:abst", ""), ("3:conc:animal", ""), ("4:quantif", ""), ("5:case", ":v_rod")]
+    entries = entries.select("lemma", "pos", F.inline(F.array(*(F.struct(F.lit(a).alias("semtag"), F.lit(b).alias("cond")) for a, b in kinds))))
+    none = s.createDataFrame([], "advp_lemma string, verb_lemma string")
+    got = semtags.semantic_tags(x, entries, none)
+    return got.select("lemma", "tags", F.array_join(F.array_sort(F.split("semtags", ";")), ";").alias("semtags"))
+
+
+def _stressed(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "lexicon_uk").filter("form is not null and lemma is not null and tags is not null").select("form", "lemma", "tags").distinct()
+    entries = x.select("lemma", stress.tag_key(F.col("tags")).alias("tag_key"), F.regexp_replace("form", f"^([^{stress.VOWELS}]*[{stress.VOWELS}])", f"$1{stress.ACCENT}").alias("form"), F.lit(0).alias("base"), F.lit(0).alias("offset")).distinct()
+    t = _tagged(s, d).select("value", "readings").distinct().withColumn("key", F.col("value"))
+    return stress.stress(t, entries, ["key"]).select("value", "stressed").distinct()
+
+
+def stress_tokens(s, d):
+    """Tokens with the accents of entries that stress the first vowel."""
+    return _stressed(s, d)
+
+
+def stress_summary(s, d):
+    return stress.stress_counts(_stressed(s, d))
+
+
+def ranking_summary(s, d):
+    """Tokens with several readings, and which statistics know them."""
+    return pipeline.ranking_counters(tag.sentences(_tagged(s, d)), _word_stats(s, d))
+
+
+def clean_summary(s, d):
+    """Mixes of letters and broken words before and after quick cleaning, by request."""
+    r = table(s, d, "clean_requests").filter("text is not null").select("request_id", "text")
+    after = native(r.withColumn("before", F.col("text")), [C.lone_latin, C.line_separators])
+    return after.select("request_id", *(v.alias(k) for k, v in counters(F.col("before"), F.col("text")).items()))
+
+
+def paradigm_shares(s, d):
+    """How the words of a lemma divide among paradigms (here by the length of the form)."""
+    w = _word_stats(s, d).withColumn("postag", F.concat("postag", F.lit(":xp"), (F.length("word") % 3 + 1).cast("string")))
+    return disambig.paradigm_rates(w).select("lemma", "xp", F.round("share", 6).alias("share"))
+
+
+def not_excluded(s, d):
+    """Request files whose name is not on the list of those sent again."""
+    r = table(s, d, "clean_requests").filter("file_path is not null").select("request_id", F.col("file_path").alias("path"))
+    name = F.substring_index("path", "/", -1)
+    often = r.groupBy(name.alias("name")).agg(F.count("*").alias("n")).filter("n > 1 or length(name) % 2 = 0")
+    return files.without_excluded(r, often).select("request_id", "path")
+
+
+def report_file(s, d):
+    """The report of unclassified words, written sorted and read back."""
+    path = new_folder(s, "report")
+    sinks.write_report(stats.unclass_report(_tagged(s, d)), path, [F.desc("n"), "value"])
+    return s.read.option("sep", "\t").schema("value string, n bigint").csv(path)
+
+
+def text_files(s, d):
+    """Documents written in order as lines of text files and read back whole."""
+    path = new_folder(s, "texts")
+    line = F.concat_ws("\t", F.col("doc_id").cast("string"), F.regexp_replace("text", r"[\n\r]", " "))
+    sinks.write_ordered(_docs(s, d).filter("text is not null").select("doc_id", line.alias("body")), path, ["doc_id"])
+    rows = files.read_texts(s, path).select(F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
+    return rows.select(F.substring_index("line", "\t", 1).cast("bigint").alias("doc_id"), F.md5(F.regexp_replace("line", "^[^\t]*\t", "")).alias("digest"))
+
+
+def statistics_file(s, d):
+    """Word and context statistics written as a file of head and context lines, and loaded."""
+    path = new_folder(s, "statistics")
+    head = _word_stats(s, d).filter("word not rlike '[ ]' and lemma not rlike '[ ]' and word not like '#%'")
+    line = F.concat_ws(" ", "word", "lemma", "postag", F.col("rate").cast("string"))
+    ctx = F.concat(F.lit("\n\t-1\t__BEG\t^\tBEG\t"), F.length("word").cast("string"))
+    head.select(F.concat(line, ctx).alias("value")).coalesce(1).write.text(path)
+    words, contexts = lexicons.word_statistics(s, path)
+    return words.join(contexts.drop("rate"), ["word", "lemma", "postag"]).select("word", "lemma", "postag", F.round("rate", 9).alias("rate"), "offset", "ctx_word", "ctx_lemma", "cnt").distinct()
+
+
+def cleaned_by_status(s, d):
+    """Cleaned requests, kept apart by status, as they lie in the folders."""
+    path = new_folder(s, "cleaned")
+    r = table(s, d, "clean_requests").select("request_id", "text")
+    sinks.write_by_status(clean(r, _lexicons(s, d), CleanConfig(min_words=5), id_col="request_id").select("request_id", "text", "status"), path)
+    return s.read.parquet(path).groupBy("status").agg(F.count("*").alias("n"), F.count("text").alias("n_texts"))

@@ -4,7 +4,8 @@ from textloom.functions import tokenize as T
 from textloom.operators import quality as G
 from textloom.operators.ortho import LESYA
 from textloom.plans import queries as Q
-from textloom.plans.sql import _PARTICLE, _S, _SENTENCES, _TAGGED, _TOKEN, _is_part, _known, _q
+from textloom.plans.sql import _CYR as _CYRILLIC
+from textloom.plans.sql import _LONE, _PARTICLE, _RATE, _S, _SENTENCES, _STATS, _TAGGED, _TOKEN, _ending, _is_part, _known
 
 _KEYS = "doc_id, para_id, sent_id"
 _ORDER = "tok_id, value, clean NULLS FIRST, whitespace_before NULLS FIRST"
@@ -201,3 +202,78 @@ def oracle_sql() -> dict[str, str]:
         "grammar_rating": rf"""WITH c AS (SELECT doc_id, {_WORDS} AS n_words, len(regexp_extract_all(text, '\p{{L}},\p{{L}}')) AS a, len(regexp_extract_all(text, '!!!')) AS b FROM documents)
             SELECT doc_id, round((a + b) * 10000 / n_words) / 100 AS rating, (a > 0)::BIGINT + (b > 0)::BIGINT AS rules FROM c WHERE n_words > 0""",
     }
+
+
+_CONTROLS = "regexp_replace(text, '[\\x{00}-\\x{08}\\x{0B}-\\x{12}\\x{14}-\\x{1F}\\x{0A0D}]', '', 'g')"
+_CLEANED_SENTENCES = _SENTENCES.replace("FROM documents)", f"FROM (SELECT doc_id, source, {_CONTROLS} AS text FROM documents))", 1)
+_LEX = _TAGGED[_TAGGED.index("lex AS (") : _TAGGED.index("t AS (SELECT *,")]
+_KIND = _TAGGED[_TAGGED.index("t AS (SELECT *,") : _TAGGED.index("AS kind FROM tok)")]
+_RAW = "unnest(r) AS raw, generate_subscripts(r, 1) - 1 AS tok_id"
+
+
+def _document_tokens(sents: str, split: bool, lemma: bool) -> str:
+    """Tokens of documents with readings; ``sents`` are CTEs that end in ``sents``."""
+    value = f"regexp_replace(raw, '^{_S}+', '')"
+    parts = f"CASE WHEN {_is_part('value')} THEN [regexp_extract(value, '{_PARTICLE}', 1), '-' || regexp_extract(value, '{_PARTICLE}', 2)] ELSE [value] END" if split else "[value]"
+    return (
+        sents
+        + f""", raw AS (SELECT doc_id, para_id, sent_id, {_RAW} FROM (SELECT *, regexp_extract_all(sentence, '{_S}*(?:{_TOKEN})') AS r FROM sents)),
+whole AS (SELECT doc_id, para_id, sent_id, tok_id, {value} AS value FROM raw),
+tok AS (SELECT doc_id, para_id, sent_id, tok_id, unnest(p) AS value, generate_subscripts(p, 1) - 1 AS part_no, CASE WHEN len(p) > 1 THEN unnest(p) ELSE {_known('value')} END AS clean FROM (SELECT *, {parts} AS p FROM whole)),
+{_LEX}{_KIND}AS kind FROM tok),
+tagged AS (SELECT t.*, CASE WHEN part_no > 0 THEN [{{'lemma': regexp_replace(t.value, '^-', ''), 'tags': 'part'}}] WHEN t.value <> '—' AND a.readings IS NOT NULL THEN a.readings WHEN t.value <> '—' AND b.readings IS NOT NULL THEN b.readings
+  ELSE [{{'lemma': CASE WHEN t.kind = 'unknown' AND NOT {str(lemma).lower()} THEN '' ELSE coalesce(t.clean, t.value) END, 'tags': t.kind}}] END AS readings
+  FROM t LEFT JOIN byform a ON a.form = t.f LEFT JOIN byform b ON b.form = lower(t.f))
+"""
+    )
+
+
+_LINE_SENTENCES = _SENTENCES[: _SENTENCES.index("m AS (")].rstrip().rstrip(",") + ", l AS (SELECT doc_id, para_id, list_filter(string_split(p, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\r\\f\\x0B]')) AS s FROM p), sents AS (SELECT doc_id, para_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS sent_id FROM l)"
+_VOW = "аеєиіїоуюяАЕЄИІЇОУЮЯ"
+_KEY_OF = "regexp_replace(regexp_replace(replace({0}, ':inanim', ''), '^(noun(?::(?:un)?anim)?:[mnfps]|(?:noun(?::(?:un)?anim)?).*&pron|verb(?::perf|:imperf)+|adj(?:.*?:&adjp)?|[a-z]+).*\\z', '\\1'), 'adj.*?:&adjp', 'adj:&adjp')"
+# an entry's accent lies on its first vowel of either case, but only small vowels are counted
+_STRESSED = (
+    _TAGGED
+    + f""", entries AS (SELECT DISTINCT lemma, {_KEY_OF.format('tags')} AS tag_key, lower(form) AS low FROM lexicon_uk WHERE form IS NOT NULL AND lemma IS NOT NULL AND tags IS NOT NULL AND regexp_matches(form, '[{_VOW}]')),
+v AS (SELECT DISTINCT value, readings FROM tagged),
+ask AS (SELECT value, unnest(readings) AS r FROM v WHERE length(regexp_replace(value, '[^{_VOW}]', '', 'g')) > 1 AND NOT contains(value, chr(769))),
+hit AS (SELECT DISTINCT value FROM ask JOIN entries ON entries.lemma = r.lemma AND tag_key = {_KEY_OF.format('r.tags')} AND low = lower(value)),
+stressed AS (SELECT DISTINCT v.value, CASE WHEN hit.value IS NULL THEN v.value ELSE regexp_replace(v.value, '^([^{_VOW}]*[{_VOW}])', '\\1' || chr(769)) END AS stressed FROM v LEFT JOIN hit ON hit.value = v.value)
+"""
+)
+_ALLOWED = """CASE WHEN contains(tags, 'pron') THEN regexp_matches(semtag, ':deictic|:quantif') WHEN NOT starts_with(tags, 'noun') THEN true
+  WHEN contains(tags, ':anim') AND contains(tags, 'name') THEN regexp_matches(semtag, ':hum|:supernat') WHEN contains(tags, ':anim') THEN regexp_matches(semtag, ':hum|:supernat|:animal|:org') WHEN contains(tags, ':unanim') THEN contains(semtag, ':animal')
+  WHEN regexp_matches(lemma, '^[А-ЯІЇЄҐA-Z]') AND contains(tags, ':geo') THEN contains(semtag, ':loc') ELSE contains(semtag, ':hum:group') OR NOT regexp_matches(semtag, ':hum|:supernat|:animal') END"""
+
+
+def more_sql() -> dict[str, str]:
+    return {
+        "document_tagging": _document_tokens(_CLEANED_SENTENCES, True, False) + "SELECT doc_id, para_id, sent_id, tok_id, part_no, value, len(readings)::INT AS n_readings, readings[1].lemma AS lemma, readings[1].tags AS tags FROM tagged",
+        "line_tagging": _document_tokens(_LINE_SENTENCES, False, True) + "SELECT value, readings[1].lemma AS lemma, readings[1].tags AS tags, count(*) AS n, 1 AS most FROM tagged GROUP BY 1, 2, 3",
+        "alternatives": _TAGGED + "SELECT readings[1].lemma AS lemma, readings[1].tags AS tags, (len(readings) - 1)::INT AS n_alts, count(*) AS n FROM tagged GROUP BY 1, 2, 3",
+        "class_counts_by_document": _TAGGED + f"SELECT doc_id, count_if(readings[1].tags = 'unknown')::BIGINT AS unknown, count_if(readings[1].tags = 'unclass')::BIGINT AS unclass, count_if(readings[1].tags NOT IN ('unknown', 'unclass') AND {_CYRILLIC.format('value')})::BIGINT AS known FROM tagged GROUP BY doc_id",
+        "semantic_tag_lookup": f"""WITH x AS (SELECT DISTINCT lemma, tags FROM lexicon_uk WHERE lemma IS NOT NULL AND tags IS NOT NULL),
+            k(semtag, cond) AS (VALUES ('1:conc:hum', ''), ('2:abst', ''), ('3:conc:animal', ''), ('4:quantif', ''), ('5:case', ':v_rod'))
+            SELECT lemma, tags, string_agg(semtag, ';' ORDER BY semtag) AS semtags FROM x, k WHERE (cond = '' OR contains(tags, cond)) AND NOT starts_with(string_split(tags, ':')[1], 'advp') AND ({_ALLOWED}) GROUP BY 1, 2""",
+        "stress_tokens": _STRESSED + "SELECT value, stressed FROM stressed",
+        "stress_summary": _STRESSED + f"SELECT count_if(length(regexp_replace(value, '[^{_VOW}]', '', 'g')) > 1 AND NOT contains(stressed, chr(769)))::BIGINT AS unknown, count_if(contains(stressed, '/') AND contains(stressed, chr(769)))::BIGINT AS homonyms FROM stressed",
+        "ranking_summary": _TAGGED
+        + _STATS
+        + f""", many AS (SELECT lower(value) AS word FROM tagged WHERE len(readings) > 1), w AS (SELECT DISTINCT word FROM word_stats), e AS (SELECT DISTINCT {_ending('word', 't')} AS suffix FROM (SELECT word, {_RATE.format('postag')} AS t FROM word_stats)),
+            j AS (SELECT w.word IS NOT NULL AS in_words, e.suffix IS NOT NULL AS in_ends FROM many LEFT JOIN w ON w.word = many.word LEFT JOIN e ON e.suffix = right(many.word, 3))
+            SELECT count(*) AS total, count_if(in_words)::BIGINT AS word, count_if(NOT in_words)::BIGINT AS no_word, count_if(NOT in_words AND in_ends)::BIGINT AS word_end FROM j""",
+        "clean_summary": f"""WITH a AS (SELECT request_id, text AS b, regexp_replace({_LONE}, '\\x{{2028}}\\n?', chr(10), 'g') AS a FROM clean_requests WHERE text IS NOT NULL)
+            SELECT request_id, (len(regexp_extract_all(b, '{_U}[a-zA-Z]|[a-zA-Z]{_U}')) - len(regexp_extract_all(a, '{_U}[a-zA-Z]|[a-zA-Z]{_U}')))::INT AS mixes_fixed, (len(regexp_extract_all(b, '{_U}[-–‑¬][ \\t]*\\n')) - len(regexp_extract_all(a, '{_U}[-–‑¬][ \\t]*\\n')))::INT AS wraps_fixed FROM a""",
+        "paradigm_shares": _TAGGED + _STATS + ", x AS (SELECT lemma, 'xp' || (length(word) % 3 + 1) AS xp, sum(rate) AS rate FROM word_stats GROUP BY 1, 2) SELECT lemma, xp, round(rate / sum(rate) OVER (PARTITION BY lemma), 6) AS share FROM x",
+        "not_excluded": """WITH r AS (SELECT request_id, file_path AS path, list_last(string_split(file_path, '/')) AS name FROM clean_requests WHERE file_path IS NOT NULL), o AS (SELECT name FROM r GROUP BY name HAVING count(*) > 1 OR length(name) % 2 = 0)
+            SELECT request_id, path FROM r WHERE name NOT IN (SELECT name FROM o)""",
+        "report_file": _TAGGED + "SELECT value, count(*) AS n FROM tagged WHERE readings[1].tags = 'unclass' GROUP BY value",
+        "text_files": "SELECT doc_id, md5(regexp_replace(text, '[\\n\\r]', ' ', 'g')) AS digest FROM documents WHERE text IS NOT NULL",
+        "statistics_file": _TAGGED + _STATS + "SELECT DISTINCT word, lemma, postag, round(rate, 9) AS rate, -1 AS offset, '__BEG' AS ctx_word, '' AS ctx_lemma, length(word)::DOUBLE AS cnt FROM word_stats WHERE NOT contains(word, ' ') AND NOT contains(lemma, ' ') AND NOT starts_with(word, '#')".replace("AS offset", 'AS "offset"'),
+        "context_stats": _TAGGED
+        + f""", o AS (SELECT {_KEYS}, tok_id, value, CASE WHEN len(readings) = 1 THEN {{'word': lower({_known('coalesce(clean, value)')}), 'lemma': readings[1].lemma, 'tags': readings[1].tags}} END AS t FROM tagged),
+            n AS (SELECT t, lag(t) OVER w AS p, lead(t) OVER w AS q FROM o WINDOW w AS (PARTITION BY {_KEYS} ORDER BY tok_id, value)),
+            c AS (SELECT t, -1 AS off_, p AS c FROM n UNION ALL SELECT t, 1, q FROM n)
+            SELECT t.word AS word, t.lemma AS lemma, t.tags AS postag, off_ AS "offset", c.word AS ctx_word, c.lemma AS ctx_lemma, regexp_replace(c.tags, ':(arch|coll|slang|bad|vulg|up[0-9]{{2}}|ns)', '', 'g') AS ctx_postag, count(*)::DOUBLE AS cnt FROM c WHERE t IS NOT NULL AND c IS NOT NULL GROUP BY ALL""",
+    }
+

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -13,22 +12,26 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).filter("line <> ''")
 
 
+def _blocks(spark: SparkSession, path: str, between: str) -> DataFrame:
+    """``(block)``: the non-empty pieces of a file between the matches of a pattern."""
+    return spark.read.text(path, wholetext=True).select(F.explode(F.split("value", between)).alias("block")).filter("block <> ''")
+
+
 def word_statistics(spark: SparkSession, path: str, version: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``word_stats(word, lemma, postag, rate)`` and ``word_ctx_stats`` of a file of head
     lines and context lines that begin with a tab. The first line names the version; another
     than ``version`` is an error."""
-    lines = _numbered(spark, path)
     if version is not None:
-        head = lines.filter("line_no = 0").first()
+        head = _numbered(spark, path).filter("line_no = 0").first()
         found = head.line.removeprefix("# version: ").strip() if head and head.line.startswith("# version: ") else ""
         if found != version:
             raise ValueError(f"statistics of version {found!r}, not {version!r}")
-    body = lines.filter("not line like '#%'").withColumn("p", F.split(F.regexp_replace("line", r"^\h+|\h+$", ""), r"\h+"))
-    head = ~F.col("line").startswith("\t")
-    words = body.filter(head).select(F.col("p")[0].alias("word"), F.col("p")[1].alias("lemma"), F.col("p")[2].alias("postag"), F.col("p")[3].cast("double").alias("rate"))
-    # the head line of each context line is the last one before it; one file is one group
-    w = W.orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    filled = body.withColumn("h", F.last(F.when(head, F.col("p")), ignorenulls=True).over(w)).filter(~head)
+    # a head line and the indented lines after it are one block, so no order of lines is needed
+    blocks = _blocks(spark, path, r"\r?\n(?![\t\r\n])").filter("not block like '#%'")
+    parts = lambda x: F.split(F.regexp_replace(x, r"^\h+|\h+$", ""), r"\h+")
+    blocks = blocks.select(F.split("block", "\r?\n").alias("lines")).select(parts(F.col("lines")[0]).alias("h"), F.filter(F.slice("lines", 2, 2**30), lambda x: x != "").alias("rest"))
+    words = blocks.select(F.col("h")[0].alias("word"), F.col("h")[1].alias("lemma"), F.col("h")[2].alias("postag"), F.col("h")[3].cast("double").alias("rate"))
+    filled = blocks.select("h", F.explode("rest").alias("line")).select("h", parts(F.col("line")).alias("p"))
     ctx = filled.select(*(F.col("h")[k].alias(n) for k, n in enumerate(("word", "lemma", "postag"))), F.col("p")[0].cast("int").alias("offset"), F.col("p")[1].alias("ctx_word"), F.regexp_replace(F.col("p")[2], r"^\^$", "").alias("ctx_lemma"), F.col("p")[3].alias("ctx_postag"), F.col("p")[4].cast("double").alias("cnt"))
     return words, ctx
 
@@ -65,10 +68,11 @@ def stress_table(spark: SparkSession, path: str) -> DataFrame:
     lines are its forms, ``/n/`` moves the accent of all forms by n vowels."""
     from textloom.operators.stress import accents, strip_accent, tag_key
 
-    x = _numbered(spark, path).withColumn("t", F.trim(F.regexp_replace("line", r"\s*#.*", ""))).filter("t <> ''")
+    # an entry and its indented lines are one block
+    clean = F.filter(F.transform(F.split("block", "\r?\n"), lambda x: F.regexp_replace(F.regexp_replace(x, r"\s*#.*", ""), r"^\s+|\s+$", "")), lambda x: x != "")
+    x = _blocks(spark, path, r"\r?\n(?![ /\r\n#])").select(clean.alias("lines")).filter(F.size("lines") > 0)
+    x = x.select(F.split(F.col("lines")[0], " ").alias("h"), F.explode("lines").alias("t"))
     move = F.regexp_extract("t", "^/(-?[0-9]+)/$", 1)
-    x = x.withColumns({"p": F.split("t", " "), "move": F.when(move != "", move.cast("int")), "first": ~F.col("line").rlike("^ ") & ~F.col("t").startswith("/")})
-    w = W.orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    x = x.withColumn("h", F.last(F.when(F.col("first"), F.col("p")), ignorenulls=True).over(w))
+    x = x.withColumns({"p": F.split("t", " "), "move": F.when(move != "", move.cast("int"))})
     full = F.col("h")[0]
     return x.select(strip_accent(full).alias("lemma"), tag_key(F.col("h")[1]).alias("tag_key"), F.when(F.col("move").isNull(), F.col("p")[0]).otherwise(full).alias("form"), F.when(F.col("move").isNotNull(), 1).otherwise(0).alias("base"), F.coalesce("move", F.lit(0)).alias("offset"))

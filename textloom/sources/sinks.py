@@ -117,16 +117,16 @@ def documents(sents: DataFrame, output: str, token_format: bool = False) -> Data
     return out.withColumn("body", wrapped(F.col("body"), output)) if output in ("xml", "json") else out
 
 
-def tokenised(docs: DataFrame, words: bool = False, only_words: bool = False, output: str = "txt", separator: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, body)`` of the tokenizer: sentences or word lists as txt, xml or json. Native,
-    without a shuffle."""
+def tokenised(docs: DataFrame, words: bool = False, only_words: bool = False, output: str = "txt", separator: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_space: bool = False, newline: str = " ") -> DataFrame:
+    """``(id, body)`` of the tokenizer: sentences or word lists as txt, xml or json; with
+    ``keep_space`` the white space between words too, line ends as ``newline``. Native, without a shuffle."""
     from textloom.functions import tokenize as T
 
-    sents = F.flatten(F.transform(T.paragraphs(F.col(text_col)), lambda p: T.sentences(p, separator)))
+    sents = F.flatten(F.transform(T.paragraphs(F.col(text_col)), lambda p: T.sentences(p, separator, newline)))
     if not words and not only_words:
         body = {"txt": F.array_join(sents, "\n"), "json": F.to_json(sents), "xml": F.concat(F.lit("<text>\n"), F.array_join(F.transform(sents, lambda s: F.concat(F.lit("<sentence>"), xml_escape(s), F.lit("</sentence>\n"))), ""), F.lit("</text>\n"))}[output]
         return docs.select(id_col, body.alias("body"))
-    lists = F.transform(sents, lambda s: T.only_words(s) if only_words else T.particles(T.tokens(s)))
+    lists = F.transform(sents, lambda s: T.only_words(s) if only_words else T.particles(T.tokens(s, keep_space, newline)))
     sep = " " if only_words else "|"
     body = {"txt": F.array_join(F.transform(lists, lambda w: F.array_join(w, sep)), "\n"), "json": F.to_json(lists), "xml": F.concat(F.lit("<text>\n"), F.array_join(F.transform(lists, lambda w: F.concat(F.lit("<sentence>"), F.array_join(F.transform(w, lambda x: F.concat(F.lit("<word>"), xml_escape(x), F.lit("</word>"))), ""), F.lit("</sentence>\n"))), ""), F.lit("</text>\n"))}[output]
     return docs.select(id_col, body.alias("body"))

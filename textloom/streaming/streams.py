@@ -30,7 +30,7 @@ def text_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def clean_stream(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The native cleaning steps; stateless, append mode."""
-    return docs.withColumn(text_col, native_clean(F.col(text_col)))
+    return native_clean(docs, text_col)
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -45,12 +45,17 @@ def arrivals(docs: DataFrame, time_col: str = "loaded_at", late: str = "7 days",
     return docs.withWatermark(time_col, late).groupBy(F.window(time_col, window).alias("w"), by).agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars")).select(F.col("w.start").alias("start"), by, "n_docs", "n_chars")
 
 
-def run_once(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Process what is there and stop; the result as a table in memory (for tests, small
-    results)."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def run_once(df: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Process what is there and stop. Every batch is written as a table in ``folder``: in complete
+    mode a new one in place of the last, else one beside the others."""
+    path, checkpoint = f"{folder}/table", f"{folder}/checkpoint"
+
+    def write(batch: DataFrame, n: int) -> None:
+        # a batch that is repeated after a failure replaces what it had written
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={n}")
+
+    df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).option("recursiveFileLookup", True).parquet(path)
 
 
 def foreach_write(df: DataFrame, path: str, checkpoint: str, mode: str = "append"):
