@@ -237,6 +237,7 @@ class Repairer:
         self.suspects, self.readable = margins[2:] or (SUSPECT, READABLE)
         self.suspect: dict[str, bool] = {}
         self.options: dict[str, np.ndarray] = {}
+        self.most: dict[str, float] = {}
 
     def learn(self, words: set[str]) -> None:
         """Which of the words make their line suspect: unlikely as they are, or with a
@@ -265,6 +266,7 @@ class Repairer:
                     starts = np.concatenate([[0], ends[:-1] + 1])
                     scores[at, c] = np.add.reduceat(self.model.logp(p, np.append(starts, len(p))), starts) - LOST * lost
             self.options.update(zip(part, scores))
+            self.most.update(zip(part, (scores.max(1) - scores[:, 0]).tolist()))
 
     def _decoded(self, line: str) -> tuple[str | None, float, bool]:
         """The likeliest reading of the line (lost bytes are U+FFFD), null if that is
@@ -277,6 +279,9 @@ class Repairer:
         if not any(self.suspect[words[i]] for i in odd):
             return None, 0.0, False
         self._learn_options({words[i] for i in odd})
+        # no reading can be likelier than the best of every word by itself
+        if sum(self.most[words[i]] for i in odd) <= min(self.margins):
+            return None, 0.0, False
         best, back = self.options[words[odd[0]]].copy(), []
         best[1:] -= SWITCH
         plain = self.options[words[odd[0]]][0]
@@ -337,6 +342,7 @@ class Repairer:
             self.suspect.clear()
         if len(self.options) > self.OPTIONS_HELD:
             self.options.clear()
+            self.most.clear()
         self.learn({w for ws in odd for w in ws})
         bad: set[str] = set()
         for t, ws in zip(texts, odd):

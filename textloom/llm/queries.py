@@ -90,10 +90,19 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose ids do not decode to their text: none."""
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("was"))
+    """Digest of each document's text as its ids give it back."""
     back = tokenize_ids.decode_column(tokenize_ids.encode(table(spark, d, "documents")))
-    return back.join(docs, "doc_id").filter(F.col("text") != F.col("was")).select("doc_id")
+    return back.select("doc_id", F.md5("text").alias("digest"))
+
+
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    """How many characters the token spans of each document cover, and whether they do so in order and
+    without a gap."""
+    x = tokenize_ids.spans(table(spark, d, "documents"))
+    apart = F.exists(F.zip_with(F.slice("starts", 2, 2**30), F.expr("slice(ends, 1, greatest(size(ends) - 1, 0))"), lambda a, b: a > b), lambda bad: bad)
+    empty = F.exists(F.zip_with("starts", "ends", lambda a, b: a >= b), lambda bad: bad)
+    covered = F.coalesce(F.try_element_at("ends", F.lit(-1)) - F.try_element_at("starts", F.lit(1)), F.lit(0))
+    return x.select("doc_id", covered.alias("covered"), (~apart & ~empty).alias("in_order"))
 
 
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

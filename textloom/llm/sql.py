@@ -22,5 +22,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p5_terms": _TERMS + "SELECT term, occurrences, records, mark FROM marked",
         "p5_found": _TERMS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
-        "p8_roundtrip": "SELECT doc_id FROM documents WHERE false",
+        "p8_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
+        "p8_spans": "SELECT doc_id, coalesce(length(text), 0)::INT AS covered, true AS in_order FROM documents",
     }

@@ -45,7 +45,7 @@ MOST_SHARE, MOST_SHARE_OF_LANGUAGE = 0.1, 0.25
 #: Documents of a language from which its own share counts.
 LANGUAGE_DOCS = 20
 #: Most rounds; mean change of a document's shares (summed over subjects) at which they end.
-ROUNDS, TOLERANCE = 10, 0.005
+ROUNDS, TOLERANCE = 10, 0.02
 #: Prior labels of a term; least information (nats) of a verified term; bounds of its
 #: weight; least probability, given its terms, for a sentence to have a subject.
 PRIOR, INFORMATION, LOW, HIGH, SURE = 2.0, 0.15, -2.5, 3.0, 0.75

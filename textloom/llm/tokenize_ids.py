@@ -30,13 +30,29 @@ SLICE = 256
 _loaded: dict = {}
 
 
+def shipped(df: DataFrame, path: str | None) -> str:
+    """The path of the tokenizer file, which is sent to all executors."""
+    path = path or f"{TOKENIZER_DIR}/{BYTE_BPE}"
+    df.sparkSession.sparkContext.addFile(path)
+    return path
+
+
+def _here(path: str) -> str:
+    """The file itself, or the copy that was sent to this executor."""
+    if os.path.exists(path):
+        return path
+    from pyspark import SparkFiles
+
+    return SparkFiles.get(os.path.basename(path))
+
+
 def tokenizer(path: str):
     """The tokenizer of that file, loaded once per Python worker."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
+        t = Tokenizer.from_file(_here(path))
         t.encode_special_tokens = True
         t.no_padding()
         t.no_truncation()
@@ -53,7 +69,7 @@ def _encodings(texts: list, path: str) -> Iterator:
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """``(id, ids array<int>)``, one row for each input row."""
-    path = path or f"{TOKENIZER_DIR}/{BYTE_BPE}"
+    path = shipped(df, path)
 
     def run(batches):
         for b in batches:
@@ -67,7 +83,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
 def sizes(df: DataFrame, keep: list[str], text_col: str = "text", path: str | None = None) -> DataFrame:
     """Columns ``keep`` with ``n_tokens bigint``; 0 for null and empty texts."""
-    path = path or f"{TOKENIZER_DIR}/{BYTE_BPE}"
+    path = shipped(df, path)
 
     def run(batches):
         for b in batches:
@@ -91,7 +107,7 @@ def token_bytes(path: str | None = None) -> list[bytes]:
     path = path or f"{TOKENIZER_DIR}/{BYTE_BPE}"
     if ("bytes", path) not in _loaded:
         back = {c: b for b, c in byte_alphabet().items()}
-        with open(path, encoding="utf-8") as f:
+        with open(_here(path), encoding="utf-8") as f:
             spec = json.load(f)
         vocab = dict(spec["model"]["vocab"]) | {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         out = [b""] * (max(vocab.values()) + 1)
@@ -120,9 +136,25 @@ def token_spans(text: str, ids: list[int], path: str | None = None) -> list[tupl
     return [(int(char_at[a]), int(char_at[b - 1]) + 1 if b > a else int(char_at[a])) for a, b in zip(starts, ends)]
 
 
+def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """``(id, starts array<int>, ends array<int>)``: the characters of each token, one row for each
+    input row; a token of part of a character has the whole character."""
+    path = shipped(df, path)
+
+    def run(batches):
+        for b in batches:
+            texts = [x or "" for x in b.column(1).to_pylist()]
+            found = [token_spans(t, e.ids, path) for t, e in zip(texts, _encodings(texts, path))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([[x[k] for x in f] for f in found], pa.list_(pa.int32())) for k in (0, 1))], names=["id", "starts", "ends"])
+
+    src = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    kind = df.schema[id_col].dataType.simpleString()
+    return src.mapInArrow(run, f"id {kind}, starts array<int>, ends array<int>").withColumnRenamed("id", id_col)
+
+
 def decode_column(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """``(id, text)`` of encoded documents; null ids give null."""
-    path = path or f"{TOKENIZER_DIR}/{BYTE_BPE}"
+    path = shipped(df, path)
 
     def run(batches):
         for b in batches:
