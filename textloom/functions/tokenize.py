@@ -38,7 +38,7 @@ def sentences(text: Column, separator: str | None = None, newline: str = " ") ->
     if separator:
         kept = F.regexp_replace(kept, rf"\.{MARK} ", f"{MARK} ")
     parts = F.split(kept, rf"{MARK}{SPACE}*")
-    parts = F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, rf"{SPACE}+\z", ""), "\n", newline))
+    parts = F.transform(parts, lambda s: F.replace(F.regexp_replace(s, rf"{SPACE}+\z", ""), F.lit("\n"), F.lit(newline)))
     return F.filter(parts, lambda s: s.rlike(rf"[^ \t\n\r\f\x0B]"))
 
 
@@ -52,7 +52,7 @@ def tokens(sentence: Column, keep_space: bool = False, newline: str = " ") -> Co
     space between them (line ends as ``newline``, tabs as blanks)."""
     if not keep_space:
         return F.regexp_extract_all(sentence, F.lit(TOKEN), F.lit(0))
-    return F.transform(F.regexp_extract_all(sentence, F.lit(TOKEN + rf"|{SPACE}+"), F.lit(0)), lambda w: F.regexp_replace(F.regexp_replace(w, "\n", newline), "\t", " "))
+    return F.transform(F.regexp_extract_all(sentence, F.lit(TOKEN + rf"|{SPACE}+"), F.lit(0)), lambda w: F.replace(F.replace(w, F.lit("\t"), F.lit(" ")), F.lit("\n"), F.lit(newline)))
 
 
 def only_words(sentence: Column) -> Column:

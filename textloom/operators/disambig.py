@@ -125,6 +125,26 @@ class Statistics:
                 self.ctx["suffix"][e, t][c] += n
 
 
+def context_form(word: str, lemma: str, tags: str) -> str:
+    """Python form of ``normalize.context_word`` for the fold."""
+    if tags == "number":
+        if m := re.fullmatch(r"(?:(?:1[6789]|20)[0-9]{2}[-–—])?(?:1[6789]|20)([0-9]{2})", word):
+            return f"YY{m[1]}"
+        plain = word.replace(" ", "")
+        if re.fullmatch(r"(?:[0-9]+[-—–])?[0-9]+", plain):
+            return "0" if re.search("([05-9]|1[0-9])$", plain) else "2" if plain[-1] in "234" else "1"
+        if re.fullmatch(r"(?:[0-9,]+[–—-])?[0-9]+[,.][0-9]+", plain):
+            return "0,0"
+    w = word.replace("–", "-")
+    if re.match("adj|noun", tags):
+        w = re.sub("^[0-9-]*([0-9])-([а-яіїєґ]+)$", r"\1-\2", w)
+    if w != word:
+        return w
+    if tags == "punct":
+        return {"...": "…", "—": "-", "„": "«", "“": "»"}.get(word, word[0] if re.fullmatch(r"[?!]\.+", word) else word)
+    return word.lower() if re.match("[а-яіїєґ]", lemma) else word
+
+
 def _context(tokens: list[dict], at: int, offset: int) -> set[tuple]:
     """(offset, word, lemma, tag) of the readings of a neighbour; the ends have marks."""
     k = at + offset
@@ -133,9 +153,8 @@ def _context(tokens: list[dict], at: int, offset: int) -> set[tuple]:
     t = tokens[k]
     out = set()
     for r in t["readings"] or ():
-        word = t["clean"] or t["value"]
-        low = word.lower() if re.match("[а-яіїєґ]", r["lemma"] or "") else word
-        out.add((offset, low.replace("–", "-"), (r["lemma"] or "").replace("–", "-"), re.sub(N.CORE_PARTS, "", r["tags"])))
+        lemma = r["lemma"] or ""
+        out.add((offset, context_form(t["clean"] or t["value"], lemma, r["tags"]), lemma.replace("–", "-"), re.sub(N.CORE_PARTS, "", r["tags"])))
     return out
 
 
@@ -225,12 +244,13 @@ def load(word_stats: DataFrame, word_ctx_stats: DataFrame) -> Statistics:
     return Statistics(rows(word_stats, "word", "lemma", "postag", "rate"), rows(word_ctx_stats, "word", "lemma", "postag", "offset", "ctx_word", "ctx_lemma", "ctx_postag", "cnt"))
 
 
-def rank_sentences(sents: DataFrame, word_stats: DataFrame, word_ctx_stats: DataFrame) -> DataFrame:
+def rank_sentences(sents: DataFrame, word_stats: DataFrame, word_ctx_stats: DataFrame, trace: bool = False) -> DataFrame:
     """``sents`` (of ``tag.sentences``) with readings in order of rate and ``rates``, three
-    decimals of the share of each token's readings."""
+    decimals of the share of each token's readings; ``trace`` adds a column with the rates themselves."""
     s = load(word_stats, word_ctx_stats)
     held = sents.sparkSession.sparkContext.broadcast((dict(s.word), dict(s.tag), dict(s.suffix), dict(s.paradigm), {k: {a: dict(b) for a, b in v.items()} for k, v in s.ctx.items()}))
-    schema = StructType([*sents.schema.fields, StructField("rates", ArrayType(ArrayType(DoubleType())))])
+    columns = ["rates", "trace"] if trace else ["rates"]
+    schema = StructType([*sents.schema.fields, *(StructField(c, ArrayType(ArrayType(DoubleType()))) for c in columns)])
 
     def run(batches):
         x = Statistics([], [])
@@ -241,6 +261,8 @@ def rank_sentences(sents: DataFrame, word_stats: DataFrame, word_ctx_stats: Data
                 tokens = r["tokens"] or []
                 ranked = rank_tokens(tokens, x)
                 r["rates"] = [[round(a / t, 3) if (t := sum(v for v, _ in rates)) else 0.0 for a, _ in rates] for rates in ranked]
+                if trace:
+                    r["trace"] = [[a for a, _ in rates] for rates in ranked]
                 for t, rates in zip(tokens, ranked):
                     t["readings"] = [t["readings"][k] for _, k in rates] if t["readings"] else t["readings"]
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)

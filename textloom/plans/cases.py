@@ -11,14 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.config import CleanConfig
+from textloom.config import CleanConfig, TagConfig, TokenizeConfig
 from textloom.functions import clean as C
 from textloom.functions import normalize as N
 from textloom.functions import tokenize as T
 from textloom.functions.classify import token_class
-from textloom.operators import langmark, ortho, quality, semtags, spacing, stress, ud, unknown
+from textloom.operators import disambig, langmark, ortho, semtags, spacing, stress, tag, ud, unknown
 from textloom.operators.cleaning import clean
 from textloom.operators.lexicon import inflect, rewrite
+from textloom.plans import pipeline
 from textloom.sources import files, sinks
 
 # Words that the inputs hold in their right form, by language.
@@ -275,6 +276,75 @@ def _dependencies(s, d, inputs):
     return c.select("no", F.concat_ws(" ", "upos", "feats", F.nullif("misc", F.lit("_"))).alias("result"))
 
 
+# Rates of words and of their contexts, sentences of readings, and the tags chosen.
+WORD_RATES = [
+    ("а", "а", "conj:coord", 0.6), ("а", "а", "part", 0.2), ("а", "а", "intj", 0.1), ("коса", "коса", "noun:inanim:f:v_naz", 0.1), ("коса", "косий", "adj:f:v_naz", 0.5), ("за", "за", "prep", 0.2), ("за", "за", "adv", 0.3),
+    ("рік", "рік", "noun:inanim:m:v_rod", 0.2), ("рік", "рік", "noun:inanim:m:v_dav", 0.2), ("новий", "новий", "adj:f:v_rod", 0.2), ("новий", "новий", "adj:f:v_dav", 0.2),
+    ("стало", "стало", "adv", 0.3), ("стало", "стати", "verb:perf:past:n", 0.1),
+]
+WORD_CONTEXTS = [("коса", "коса", "noun:inanim:f:v_naz", -1, "гостра", "гострий", "adj:f:v_naz", 2.0), ("за", "за", "prep", 1, "рік", "рік", "noun:inanim:m:v_zna", 3.0), ("стало", "стати", "verb:perf:past:n", -1, "YY99", "1999", "number", 1.0)]
+RANKED: list[Case] = [
+    ("А=а/intj;а/part;а/conj:coord .=./punct", "conj:coord|punct"),
+    ("там=там/adv коса=косий/adj:f:v_naz;коса/noun:inanim:f:v_naz .=./punct", "adv|adj:f:v_naz|punct"),
+    ("проста=простий/adj:f:v_naz коса=косий/adj:f:v_naz;коса/noun:inanim:f:v_naz .=./punct", "adj:f:v_naz|noun:inanim:f:v_naz|punct"),
+    ("гостра=гострий/adj:f:v_naz коса=косий/adj:f:v_naz;коса/noun:inanim:f:v_naz .=./punct", "adj:f:v_naz|noun:inanim:f:v_naz|punct"),
+    ("за=за/adv;за/prep рік=рік/noun:inanim:m:v_zna .=./punct", "prep|noun:inanim:m:v_zna|punct"), ("за=за/adv;за/prep день=день/noun:inanim:m:v_naz .=./punct", "adv|noun:inanim:m:v_naz|punct"),
+    ("ясної=ясний/adj:f:v_dav;ясний/adj:f:v_rod книги=книга/noun:inanim:f:v_rod .=./punct", "adj:f:v_rod|noun:inanim:f:v_rod|punct"),
+    ("ясного=ясний/adj:m:v_rod дня=день/noun:inanim:m:v_dav;день/noun:inanim:m:v_rod .=./punct", "adj:m:v_rod|noun:inanim:m:v_rod|punct"),
+    ("1999=1999/number стало=стало/adv;стати/verb:perf:past:n .=./punct", "number|verb:perf:past:n|punct"),
+]
+
+
+def _ranked(s, d, inputs):
+    def token(x: str) -> tuple:
+        value, readings = x.split("=", 1)
+        return value, value, True, [tuple(r.split("/", 1)) for r in readings.split(";")]
+
+    kind = "no int, tokens array<struct<value:string,clean:string,whitespace_before:boolean,readings:array<struct<lemma:string,tags:string>>>>"
+    sents = s.createDataFrame([(n, [token(x) for x in i.split(" ")]) for n, i in enumerate(inputs)], kind)
+    rates = s.createDataFrame(WORD_RATES, "word string, lemma string, postag string, rate double")
+    near = s.createDataFrame(WORD_CONTEXTS, "word string, lemma string, postag string, offset int, ctx_word string, ctx_lemma string, ctx_postag string, cnt double")
+    return disambig.rank_sentences(sents, rates, near).select("no", F.array_join(F.transform("tokens", lambda t: t["readings"][0]["tags"]), "|").alias("result"))
+
+
+# Words as contexts (word, lemma, tags).
+CONTEXT_WORDS: list[Case] = [("Слово слово noun:inanim:n:v_naz", "слово"), ("Київ Київ noun:inanim:m:v_naz:prop:geo", "Київ"), ("2000-го 2000-й adj:m:v_rod:numr", "0-го"), ("1999 1999 number", "YY99"), ("— — punct", "-"), ("Азово–Чорноморський азово-чорноморський adj:m:v_naz", "Азово-Чорноморський")]
+# What a token has besides its tags, and the last column of its line.
+MISC: list[Case] = [("noun:inanim:n:v_naz||true||", "_"), ("noun:inanim:n:v_naz|1:conc|false||", "SemTags=1:conc|SpaceAfter=No"), ("noninfl:predic||true|stats|-0.600", "Uninflect=Yes|TagLevel=stats|TagConfidence=-0.600"), ("strange:tag||true||", "_")]
+
+
+def _misc(s, d, inputs):
+    p = F.split("input", r"\|", -1)
+    empty = lambda c: F.nullif(c, F.lit(""))
+    t = _rows(s, inputs).select("no", F.array(F.struct(F.lit("x").alias("lemma"), p[0].alias("tags"))).alias("readings"), empty(p[1]).alias("semtags"), (p[2] == "true").alias("space_after"), empty(p[3]).alias("level"), empty(p[4]).alias("confidence"))
+    return ud.convert(t, s.createDataFrame(UD_ENTRIES, "part string, ud string"), []).select("no", F.col("misc").alias("result"))
+
+
+# Texts, and their tokens under the options that show guesses.
+LEVELS: list[Case] = [("Він популяв.", "Він unknown||;популяв verb:imperf:past:m|stats|-0.600;. punct||"), ("Слово.", "Слово noun:inanim:n:v_naz||;. punct||¶")]
+
+
+def _levels(s, d, inputs):
+    lex = s.createDataFrame([("слово", "слово", "noun:inanim:n:v_naz")], "form string, lemma string, tags string")
+    ends = s.createDataFrame(ENDINGS[:1], "suffix string, add_del string, postag string, cnt int")
+    docs = _rows(s, inputs).withColumnsRenamed({"no": "doc_id", "input": "text"})
+    t = pipeline.tag_tokens(docs, pipeline.Tables(lex, suffix_stats=ends), TagConfig(tag_unknown=True, unknown_rate=True, show_level=True))
+    each = F.concat("value", F.lit(" "), F.col("readings")[0]["tags"], F.lit("|"), F.coalesce("level", F.lit("")), F.lit("|"), F.coalesce(F.col("confidence").cast("string"), F.lit("")))
+    marked = tag.sentences(t, paragraph_marks=True).filter("tokens is null and doc_id = 1").select(F.col("doc_id").alias("no"), F.lit("¶").alias("mark"))
+    out = t.groupBy(F.col("doc_id").alias("no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_id", "part_no", each.alias("x")))), lambda x: x["x"]), ";").alias("x"))
+    return out.join(marked, "no", "left").select("no", F.concat("x", F.coalesce("mark", F.lit(""))).alias("result"))
+
+
+# Texts, and the outputs of the tokenizer with white space kept.
+SPACED: list[Case] = [("Слово\nі\tділо.", "Слово|\\n|і| |діло|."), ("а  б", "а|  |б")]
+
+
+def _spaced(s, d, inputs):
+    docs = _rows(s, inputs).withColumnsRenamed({"no": "doc_id", "input": "text"})
+    out = pipeline.tokenize_documents(docs, TokenizeConfig(words=True, preserve_whitespace=True, newline="\\n"))
+    return out.select(F.col("doc_id").alias("no"), F.col("body").alias("result"))
+
+
 def _decoded(s, d, inputs):
     """Texts given as ``encoding:text``, written in that encoding and read back."""
     rows = [(str(no), bytearray(i.split(":", 1)[1].encode(i.split(":", 1)[0]))) for no, i in enumerate(inputs)]
@@ -319,6 +389,14 @@ CASES: dict[str, tuple[Runner, list[Case]]] = {f"case_{k}": (_cleaned(), v) for
     "case_outputs": (_outputs, OUTPUTS),
     "case_dependencies": (_dependencies, UD),
     "case_decoding": (_decoded, DECODED),
+    "case_split_words": (_cleaned(), [("урахув\nання тут", "урахування\n тут"), ("слово\nділо", "слово\nділо"), ("ми\nли.", "ми\nли.")]),
+    "case_simple_mode": (_cleaned(simple=True), [("нашійTwitter", "нашійTwitter"), ("ураху-\nвання", "ураху-\nвання"), ("новоствореноі", "новоствореної"), ("-Агов", "- Агов")]),
+    "case_disabled_rule": (_cleaned(disabled_rules=frozenset({"oi"})), [("новоствореноі", "новоствореноі")]),
+    "case_ranking": (_ranked, RANKED),
+    "case_context_words": (_column(lambda c: N.context_word(F.split(c, " ")[0], F.split(c, " ")[1], F.split(c, " ")[2])), CONTEXT_WORDS),
+    "case_misc": (_misc, MISC),
+    "case_levels": (_levels, LEVELS),
+    "case_kept_space": (_spaced, SPACED),
 }
 
 

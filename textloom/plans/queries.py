@@ -535,10 +535,36 @@ def text_files(s, d):
     path = new_folder(s, "texts")
     line = F.concat_ws("\t", F.col("doc_id").cast("string"), F.regexp_replace("text", r"[\n\r]", " "))
     sinks.write_ordered(_docs(s, d).filter("text is not null").select("doc_id", line.alias("body")), path, ["doc_id"])
-    rows = files.read_texts(s, path).select(F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
+    return _lines_of(files.read_texts(s, path))
+
+
+def _lines_of(texts: DataFrame) -> DataFrame:
+    rows = texts.select(F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
     return rows.select(F.substring_index("line", "\t", 1).cast("bigint").alias("doc_id"), F.md5(F.regexp_replace("line", "^[^\t]*\t", "")).alias("digest"))
 
 
+def _written(s: SparkSession, d: str) -> str:
+    """Documents as text files in two folders, one of them with results (it is named so)."""
+    path = new_folder(s, "files")
+    line = F.concat_ws("\t", F.col("doc_id").cast("string"), F.regexp_replace("text", r"[\n\r]", " "))
+    lines = _docs(s, d).filter("text is not null").select("doc_id", line.alias("body"))
+    sinks.write_ordered(lines, f"{path}/in", ["doc_id"])
+    sinks.write_ordered(lines.limit(0), f"{path}/in-good", ["doc_id"])
+    return path
+
+
+def decoded_files(s, d):
+    """Files read as bytes, without folders of results, and decoded."""
+    return _lines_of(files.decoded(files.read_binary(s, _written(s, d))))
+
+
+def listed_files(s, d):
+    """Files named in a list, read whole."""
+    path = _written(s, d)
+    files.read_texts(s, f"{path}/in").select("path").coalesce(1).write.text(f"{path}/list")
+    return _lines_of(files.read_listed(s, f"{path}/list"))
+
+
 def statistics_file(s, d):
     """Word and context statistics written as a file of head and context lines, and loaded."""
     path = new_folder(s, "statistics")

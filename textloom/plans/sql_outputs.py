@@ -246,6 +246,9 @@ _ALLOWED = """CASE WHEN contains(tags, 'pron') THEN regexp_matches(semtag, ':dei
   WHEN regexp_matches(lemma, '^[А-ЯІЇЄҐA-Z]') AND contains(tags, ':geo') THEN contains(semtag, ':loc') ELSE contains(semtag, ':hum:group') OR NOT regexp_matches(semtag, ':hum|:supernat|:animal') END"""
 
 
+_FILES = "SELECT doc_id, md5(regexp_replace(text, '[\\n\\r]', ' ', 'g')) AS digest FROM documents WHERE text IS NOT NULL"
+
+
 def more_sql() -> dict[str, str]:
     return {
         "document_tagging": _document_tokens(_CLEANED_SENTENCES, True, False) + "SELECT doc_id, para_id, sent_id, tok_id, part_no, value, len(readings)::INT AS n_readings, readings[1].lemma AS lemma, readings[1].tags AS tags FROM tagged",
@@ -268,7 +271,7 @@ def more_sql() -> dict[str, str]:
         "not_excluded": """WITH r AS (SELECT request_id, file_path AS path, list_last(string_split(file_path, '/')) AS name FROM clean_requests WHERE file_path IS NOT NULL), o AS (SELECT name FROM r GROUP BY name HAVING count(*) > 1 OR length(name) % 2 = 0)
             SELECT request_id, path FROM r WHERE name NOT IN (SELECT name FROM o)""",
         "report_file": _TAGGED + "SELECT value, count(*) AS n FROM tagged WHERE readings[1].tags = 'unclass' GROUP BY value",
-        "text_files": "SELECT doc_id, md5(regexp_replace(text, '[\\n\\r]', ' ', 'g')) AS digest FROM documents WHERE text IS NOT NULL",
+        **dict.fromkeys(("text_files", "decoded_files", "listed_files"), _FILES),
         "statistics_file": _TAGGED + _STATS + "SELECT DISTINCT word, lemma, postag, round(rate, 9) AS rate, -1 AS offset, '__BEG' AS ctx_word, '' AS ctx_lemma, length(word)::DOUBLE AS cnt FROM word_stats WHERE NOT contains(word, ' ') AND NOT contains(lemma, ' ') AND NOT starts_with(word, '#')".replace("AS offset", 'AS "offset"'),
         "context_stats": _TAGGED
         + f""", o AS (SELECT {_KEYS}, tok_id, value, CASE WHEN len(readings) = 1 THEN {{'word': lower({_known('coalesce(clean, value)')}), 'lemma': readings[1].lemma, 'tags': readings[1].tags}} END AS t FROM tagged),

@@ -122,7 +122,7 @@ def tokenised(docs: DataFrame, words: bool = False, only_words: bool = False, ou
     ``keep_space`` the white space between words too, line ends as ``newline``. Native, without a shuffle."""
     from textloom.functions import tokenize as T
 
-    sents = F.flatten(F.transform(T.paragraphs(F.col(text_col)), lambda p: T.sentences(p, separator, newline)))
+    sents = F.flatten(F.transform(T.paragraphs(F.col(text_col)), lambda p: T.sentences(p, separator, "\n" if keep_space else newline)))
     if not words and not only_words:
         body = {"txt": F.array_join(sents, "\n"), "json": F.to_json(sents), "xml": F.concat(F.lit("<text>\n"), F.array_join(F.transform(sents, lambda s: F.concat(F.lit("<sentence>"), xml_escape(s), F.lit("</sentence>\n"))), ""), F.lit("</text>\n"))}[output]
         return docs.select(id_col, body.alias("body"))
@@ -146,3 +146,9 @@ def write_report(df: DataFrame, path: str, order: list) -> None:
 def write_by_status(cleaned: DataFrame, path: str) -> None:
     """Cleaned texts in folders by status, so that rejected ones are kept apart."""
     cleaned.write.mode("overwrite").partitionBy("status").parquet(path)
+
+
+def write_as_is(raw: DataFrame, path: str) -> None:
+    """Files that are not cleaned (excluded, or decoded without a text), with their bytes as they were:
+    ``(path, content)`` as a table."""
+    raw.select("path", "content").write.mode("overwrite").parquet(path)
