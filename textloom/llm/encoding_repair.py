@@ -47,6 +47,8 @@ CHAINS = [(w, r) for w, rs in WRITTEN_READ.items() for r in rs] + list(TWICE)
 SWITCH, LOST = 6.0, 9.0
 #: Lines drawn to validate the margin (a bounded sample; the model itself counts all lines).
 VALIDATE_LINES = 1500
+#: Characters of a text that are drawn for it (excerpts; every text is judged whole).
+VALIDATE_CHARS = 20_000
 #: Texts whose words are scored together.
 TOGETHER = 500
 #: Log-probability per character under which a word makes its line suspect, and which the
@@ -403,7 +405,7 @@ def validate_margins(model: CharModel, lines: list[str]) -> tuple[float, ...]:
 def fit(df: DataFrame, text_col: str = "text", id_col: str = "request_id") -> tuple[CharModel, tuple[float, ...]]:
     """The model over all clean lines and its validated margins."""
     model = train(df, text_col)
-    texts = df.filter(F.col(text_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(VALIDATE_LINES // 3).select(text_col).toArrow().column(0)
+    texts = df.filter(F.col(text_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(VALIDATE_LINES // 3).select(F.substring(text_col, 1, VALIDATE_CHARS).alias("text")).toArrow().column(0)
     points, offs = to_points(texts)
     keep = clean_chars(points, offs) if len(points) else points
     lines = []

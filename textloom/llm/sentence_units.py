@@ -41,9 +41,10 @@ QUOTES = {"«": "»", "„": "“”", "“": "”", "「": "」", "『": "』",
 CLOSERS = "»”“\"'’)]」』）》"
 #: Share of all words from which a word is one of the most frequent: at most 1 / TOP_SHARE are.
 TOP_SHARE = 1e-4
-#: A word is surely no abbreviation if the corpus has it so often with a stop, this share of its
-#: occurrences without one, and no more than this share of its stops before small letters or digits.
-SURE_STOPS, SURE_BARE, SURE_INSIDE = 20, 0.5, 0.02
+#: A word is surely no abbreviation if the corpus has it so often with a stop, no more than this
+#: share of its stops before small letters or digits, and if it is longer than ``LONG`` letters or this share of
+#: its occurrences is without a stop.
+SURE_STOPS, SURE_INSIDE, SURE_BARE, LONG = 20, 0.02, 0.5, 5
 VOWELS = set("аеєиіїоуюяыэёaeiouyąęóäöü")
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:[.'’ʼ-]\p{L}[\p{L}\p{M}]*)*")
 BEFORE = regex.compile(r"(?r)(?:\p{L}[\p{L}\p{M}.'’ʼ-]*|\d+)")
@@ -175,15 +176,15 @@ class Splitter:
         if len(w) == 1 or "." in w or low in FINAL:
             return True
         c = self.corpus.get(low)
-        if c and c[2] >= SURE_STOPS and c[3] >= SURE_BARE * (c[2] + c[3]) and c[0] + c[1] <= SURE_INSIDE * c[2]:
+        if c and c[2] >= SURE_STOPS and c[0] + c[1] <= SURE_INSIDE * c[2] and (len(w) > LONG or c[3] >= SURE_BARE * (c[2] + c[3])):
             return False
         for c in self._get(low):
             if c[3] > 0.2 * (c[2] + c[3]):
                 return False
-            if c[2] and c[0] + c[1] >= 0.3 * c[2] and (c[0] or c[2] > 1 and len(w) <= 5):
+            if c[2] and c[0] + c[1] >= 0.3 * c[2] and (c[0] or c[2] > 1 and len(w) <= LONG):
                 return True
         # nothing sure: short, never without a stop, and cut off after a consonant
-        return len(w) <= 5 and c[2] >= (2 if low[-1] not in VOWELS else 8)
+        return len(w) <= LONG and c[2] >= (2 if low[-1] not in VOWELS else 8)
 
     def final(self, w: str) -> bool:
         """Whether the abbreviation also ends sentences: it does at the ends of paragraphs."""
@@ -286,6 +287,8 @@ class Splitter:
             end = b
             while end < last and text[end] in CLOSERS and (end in closing or text[end] not in "\"«„“'’" or text[end - 1] in CLOSERS):
                 end += 1
+            if not text[end:last].strip():
+                break  # the paragraph ends here, and the sentence with it
             quoted = any(k in closing for k in range(b, end))
             if any(x < a and y >= end for x, y in inside):
                 continue
