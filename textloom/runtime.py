@@ -46,16 +46,18 @@ def cut(df: DataFrame) -> DataFrame:
 def cut_by(df: DataFrame, *keys: str, within: DataFrame | None = None) -> DataFrame:
     """``cut``, partitioned by the keys, and the planner knows it: later joins and groupings
     on them do not shuffle this side again. (An adaptive plan would lose the partitioning, so
-    this one step is planned without.) Only rows with keys of ``within`` are kept, if given."""
-    conf = df.sparkSession.conf
-    before = conf.get("spark.sql.adaptive.enabled")
-    conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        n = int(conf.get("spark.sql.shuffle.partitions"))
-        df = df.repartition(n, *keys)
-        return cut(df if within is None else df.join(within.repartition(n, *keys), list(keys), "left_semi"))
-    finally:
-        conf.set("spark.sql.adaptive.enabled", before)
+    this one step is planned without, in a session of its own.) Only rows with keys of ``within``
+    are kept, if given."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = df.repartition(n, *keys)
+    if within is not None:
+        df = df.join(within.repartition(n, *keys), list(keys), "left_semi")
+    shared_folder(spark)
+    plan = lambda session, x: spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, x.queryExecution().logical())
+    own = spark._jsparkSession.cloneSession()
+    own.conf().set("spark.sql.adaptive.enabled", "false")
+    return DataFrame(plan(spark._jsparkSession, plan(own, df._jdf).checkpoint(True)), spark)
 
 
 def spread(df: DataFrame) -> DataFrame:
