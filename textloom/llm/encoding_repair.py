@@ -240,6 +240,7 @@ class Repairer:
         self.suspect: dict[str, bool] = {}
         self.options: dict[str, np.ndarray] = {}
         self.most: dict[str, float] = {}
+        self.held_lines: dict[str, set[int]] = {}
 
     def learn(self, words: set[str]) -> None:
         """Which of the words make their line suspect: unlikely as they are, or with a
@@ -323,22 +324,23 @@ class Repairer:
     def lines(self, text: str) -> dict[int, str]:
         """Garbled lines of a text, by number from 1, with what they were."""
         out = {}
-        if "�" not in text and "??" not in text and not self._is_suspect(text):
+        if text not in self.held_lines:
+            self.prepare([text])
+        suspect = self.held_lines[text]
+        if not suspect and "�" not in text and "??" not in text:
             return out
         lost = "??" in text and sum(_ASKED.match(w) is not None for w in text.split()) > 3
         for k, line in enumerate(text.split("\n"), 1):
+            if k not in suspect and "�" not in line and "??" not in line:
+                continue
             was, gain, eight_bit = self.line(line, lost)
             if was is not None and gain > self.margins[eight_bit]:
                 out[k] = was.removesuffix("\r")
         return out
 
-    def _is_suspect(self, text: str) -> bool:
-        odd = () if text.isascii() else [w for w in _ALL_BLANKS.split(text) if not w.isascii()]
-        self.learn(set(odd))
-        return any(self.suspect[w] for w in odd)
-
     def prepare(self, texts: list[str | None]) -> None:
-        """Learn about the words of some texts all at once; old words are forgotten here."""
+        """Learn about the words of some texts all at once, and which of their lines are suspect;
+        what was learned of others is forgotten here when it is much."""
         odd = [[] if not t or t.isascii() else [w for w in _ALL_BLANKS.split(t) if not w.isascii()] for t in texts]
         if len(self.suspect) > self.HELD:
             self.suspect.clear()
@@ -347,12 +349,17 @@ class Repairer:
             self.most.clear()
         self.learn({w for ws in odd for w in ws})
         bad: set[str] = set()
+        self.held_lines = {}
         for t, ws in zip(texts, odd):
+            if not t:
+                continue
+            lines = self.held_lines[t] = set()
             if any(map(self.suspect.__getitem__, ws)):
-                for line in t.split("\n"):
-                    ws = [w for w in _BLANKS.split(line)[::2] if not w.isascii()]
+                for k, line in enumerate(t.split("\n"), 1):
+                    ws = [] if line.isascii() else [w for w in _BLANKS.split(line)[::2] if not w.isascii()]
                     if any(map(self.suspect.__getitem__, ws)):
                         bad.update(ws)
+                        lines.add(k)
         self._learn_options(bad)
 
     def text(self, text: str) -> str:
@@ -441,7 +448,7 @@ def garbled_lines(df: DataFrame, id_col: str = "request_id", text_col: str = "te
     return src.mapInArrow(run, f"id {kind}, line_no int, restored string").withColumnRenamed("id", id_col)
 
 
-_ODD = re.compile("[\xa0\xad\u02bb-\u02bd\u0370-\u03ff\u2000-\u206f\u3000\ufb00-\uffff]|[A-Za-z][\u0400-\u04ff]|[\u0400-\u04ff][A-Za-z]|[\u0405\u0408\u0455\u0458]")
+_ODD = re.compile("[\xa0\xad\u02bb-\u02bd\u0370-\u03ff\u2000-\u2012\u2015-\u2018\u201a-\u2025\u2027-\u206f\u3000\ufb00-\uffff]|[A-Za-z][\u0400-\u04ff]|[\u0400-\u04ff][A-Za-z]|[\u0405\u0408\u0455\u0458]")
 
 
 def legible(text: str) -> str:

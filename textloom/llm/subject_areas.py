@@ -149,12 +149,13 @@ def _shares(d: DataFrame, weights: DataFrame, prior: list[float], k: int) -> Dat
     w = [f"w{i}" for i in range(k)]
     sents = d.select("doc_id", "n_sentences", F.posexplode("sentences").alias("sent", "terms")).select("doc_id", "n_sentences", "sent", F.explode("terms").alias("term"))
     each = sents.join(F.broadcast(weights), "term").groupBy("doc_id", "n_sentences", "sent").agg(*(F.sum(c).alias(c) for c in w))
-    # the probability of each subject given the sentence's terms
-    odds = [F.exp(F.col(c)) * q for c, q in zip(w, prior)]
-    each = each.select("doc_id", "n_sentences", *(o.alias(c) for o, c in zip(odds, w)))
-    top = F.greatest(*w) if k > 1 else F.col("w0")
-    best = F.coalesce(*(F.when(F.col(c) == top, i) for i, c in enumerate(w)))
-    each = each.filter(top >= SURE * sum((F.col(c) for c in w), F.lit(0.0))).select("doc_id", "n_sentences", best.alias("best"))
+    # the probability of each subject given the sentence's terms; the array is made once for each sentence
+    odds = F.array(F.array(*(F.exp(F.col(c)) * q for c, q in zip(w, prior))))
+
+    def winner(o):
+        return F.when(F.array_max(o) >= SURE * F.aggregate(o, F.lit(0.0), lambda a, x: a + x), F.array_position(o, F.array_max(o)) - 1)
+
+    each = each.select("doc_id", "n_sentences", F.transform(odds, winner)[0].alias("best")).filter("best is not null")
     return each.groupBy("doc_id", "n_sentences").agg(*((F.sum((F.col("best") == i).cast("double")) / F.col("n_sentences")).alias(f"s{i}") for i in range(k))).drop("n_sentences")
 
 
@@ -200,9 +201,9 @@ def subject_shares(docs: DataFrame, labels: DataFrame, subjects: DataFrame, roun
     passed = seeded.filter(n > 0).select("doc_id", *((F.col(c) / n).alias(c) for c in _cols(k)))
     clamped = shares = None
     for _ in range(rounds):
-        before, shares = shares, cut(_shares(d, *_weights(passed, d, terms, k), k))
+        before, shares = shares, cut(_shares(d, *_weights(passed, d, terms, k), k), partitioned=True)
         if before is None:
-            clamped = cut(trusted(shares, seeded, k))
+            clamped = cut(trusted(shares, seeded, k), partitioned=True)
         elif change(before, shares, k) < TOLERANCE:
             break
         passed = _pass_on(shares, clamped, k)
