@@ -194,3 +194,39 @@ def test_rules(spark):
     assert got["REPEATED"].found == "слово слово" and got["MARKS"].caret.endswith("^^^")
     words = spark.createDataFrame([(1, 3), (3, 0)], "doc_id long, n_words long")
     assert {r.doc_id: (r.rating, r.rules) for r in stats.grammar_rating(m.select("doc_id", "rule_id"), words).collect()} == {1: (66.67, 2), 3: (0.0, 0)}
+
+
+def test_contexts_are_brute_force():
+    """The index of contexts gives what going through all of them gives."""
+    import random
+    import re
+
+    r = random.Random(1)
+    words, lemmas = ["а", "б", "в", "__BEG"], ["а", "б", "в"]
+    tags = ["noun:inanim:m:v_rod", "verb:imperf:inf", "prep", "adj:f:v_naz", "adv"]
+    for _ in range(300):
+        known = {(r.choice((-1, 1)), r.choice(words), r.choice(lemmas), r.choice(tags)): float(r.randint(1, 9)) for _ in range(8)}
+        tokens = [{"value": w, "clean": w, "readings": [{"lemma": r.choice(lemmas), "tags": r.choice(tags)} for _ in range(2)]} for w in (r.choice(words[:3]), r.choice(["за", "б"]), r.choice(words[:3]), ".")]
+        s = disambig.Statistics([], [])
+        table, own = r.choice(("word", "tag")), r.choice(tags)
+        s.ctx[table]["k"] = known
+        left, right = disambig._context(tokens, 1, -1), disambig._context(tokens, 1, 1) if tokens[1]["value"] == "за" else set()
+        want = 0.0
+        for c, n in known.items():
+            hit = any(c[0] == x[0] and (c[1] == x[1] or table == "tag" and c[3] == x[3] and re.match("adj|noun|verb|advp", x[3])) for x in left) or any(c[0] == x[0] and (c[1] == x[1] or c[3] == x[3]) for x in right)
+            want += n * bool(hit)
+            if re.match(r"(adj|noun)(?!.*v_naz)", own) and any(c[2] == x[2] and c[3].startswith("verb") and x[3].startswith("verb") for x in left):
+                want += n * disambig.LEMMA_FACTOR
+        got = disambig._by_context(s, table, "k", own, tokens, 1, ["noun"])
+        assert got == pytest.approx(want) or table == "tag" and want < 1
+
+
+def test_options_imply_others():
+    from textloom.config import TagConfig
+
+    assert TagConfig(output="txt").adjusted().set_lemma_for_unknown and not TagConfig(output="txt").adjusted().disambiguate
+    c = TagConfig(output="conllu").adjusted()
+    assert c.disambiguate and c.show_rate and c.single_token_only and not c.split_hyphen_parts and c.tag_unknown
+    assert not TagConfig(output="vertical", no_disambig=True).adjusted().disambiguate
+    assert TagConfig(unknown_rate=True).adjusted().tag_unknown and TagConfig(single_token_only=True).adjusted().token_format
+    assert TagConfig(show_rate=True, all_token_readings=True).adjusted().disambiguate and not TagConfig(show_rate=True, all_token_readings=True).adjusted().single_token_only

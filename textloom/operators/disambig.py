@@ -116,6 +116,7 @@ class Statistics:
             total = sum(table.values()) or 1.0
             for k in table:
                 table[k] /= total
+        self.found: dict[tuple, _Contexts] = {}
         self.ctx = {"word": defaultdict(dict), "tag": defaultdict(lambda: defaultdict(float)), "suffix": defaultdict(lambda: defaultdict(float))}
         for word, lemma, postag, offset, c_word, c_lemma, c_tag, n in contexts:
             c, t = (offset, c_word, c_lemma, re.sub(N.CORE_PARTS, "", c_tag)), _norm(postag)
@@ -158,17 +159,41 @@ def _context(tokens: list[dict], at: int, offset: int) -> set[tuple]:
     return out
 
 
+class _Contexts:
+    """The contexts of one word, tag or ending, found by neighbour word, tag or lemma."""
+
+    def __init__(self, known: dict):
+        self.by: dict[tuple, list[tuple[int, float]]] = defaultdict(list)
+        for k, ((offset, word, lemma, tag), n) in enumerate(known.items()):
+            self.by["w", offset, word].append((k, n))
+            self.by["t", offset, tag].append((k, n))
+            if tag.startswith("verb"):
+                self.by["l", lemma].append((k, n))
+
+    def sum(self, keys) -> float:
+        """Counts of the contexts that any of the keys finds, each once."""
+        found: dict[int, float] = {}
+        for key in keys:
+            found.update(self.by.get(key, ()))
+        return sum(found.values())
+
+
 def _by_context(s: Statistics, table: str, key, tags: str, tokens, at: int, chosen: list) -> float:
-    known = s.ctx[table].get(key, {})
-    left = _context(tokens, at, -1)
-    right = _context(tokens, at, 1) if _RIGHT.match((tokens[at]["clean"] or tokens[at]["value"]).lower()) else set()
     by_tag = table != "word"
     total = 0.0
-    for c, n in known.items():
-        hit = any(c[0] == x[0] and (c[1] == x[1] or by_tag and c[3] == x[3] and re.match("adj|noun|verb|advp", x[3])) for x in left)
-        total += n * (hit or any(c[0] == x[0] and (c[1] == x[1] or c[3] == x[3]) for x in right))
-        if re.match(r"(adj|noun)(?!.*v_naz)", tags) and any(c[2] == x[2] and c[3].startswith("verb") and x[3].startswith("verb") for x in left):
-            total += n * LEMMA_FACTOR
+    known = s.ctx[table].get(key)
+    if known:
+        index = s.found.get((table, key))
+        if index is None:
+            index = s.found[table, key] = _Contexts(known)
+        left = _context(tokens, at, -1)
+        right = _context(tokens, at, 1) if _RIGHT.match((tokens[at]["clean"] or tokens[at]["value"]).lower()) else set()
+        keys = {("w", o, w) for o, w, _, _ in left | right} | {("t", o, t) for o, _, _, t in right}
+        if by_tag:
+            keys |= {("t", o, t) for o, _, _, t in left if re.match("adj|noun|verb|advp", t)}
+        total = index.sum(keys)
+        if re.match(r"(adj|noun)(?!.*v_naz)", tags):
+            total += LEMMA_FACTOR * index.sum({("l", lemma) for _, _, lemma, t in left if t.startswith("verb")})
     if by_tag and total < 1 and _agrees(tags, tokens, at, chosen):
         total = min(total + AGREEMENT, 1.0)
     return total

@@ -40,12 +40,12 @@ def unknown(df: DataFrame, word: str, lexicon: DataFrame) -> DataFrame:
 
 def _with_known(df: DataFrame, word: str, lexicon: DataFrame) -> DataFrame:
     """``df`` (null words left out) with a column ``known``."""
-    x = forms(lexicon)
+    # one join for both letter cases: the forms that differ in case only stand together
+    x = forms(lexicon).groupBy(F.lower("form").alias("__low")).agg(F.collect_list("form").alias("__v"))
     w = known_form(F.col(word))
-    df = df.filter(F.col(word).isNotNull()).withColumns({"__w": w, "__low": F.lower(w)})
-    df = df.join(x.withColumnRenamed("form", "__w").withColumn("__a", F.lit(True)), "__w", "left")
-    df = df.join(x.withColumnRenamed("form", "__low").withColumn("__b", F.lit(True)), "__low", "left")
-    return df.withColumn("known", F.col("__a").isNotNull() | F.col("__b").isNotNull()).drop("__w", "__low", "__a", "__b")
+    df = df.filter(F.col(word).isNotNull()).withColumns({"__w": w, "__low": F.lower(w)}).join(x, "__low", "left")
+    known = F.array_contains("__v", F.col("__w")) | F.array_contains("__v", F.col("__low"))
+    return df.withColumn("known", F.coalesce(known, F.lit(False))).drop("__w", "__low", "__v")
 
 
 def with_known(df: DataFrame, word: str, lexicon: DataFrame) -> DataFrame:

@@ -49,11 +49,12 @@ def tag(tokens: DataFrame, lexicon: DataFrame, single: bool = False, lemma_for_u
     (сідай-но) tokens of their own; unknown words have an empty lemma unless asked."""
     if split_parts:
         tokens = split_particles(tokens)
-    by_form = readings_by_form(lexicon)
+    # one join for both letter cases: the forms that differ in case only stand together
+    by_low = readings_by_form(lexicon).groupBy(F.lower("form").alias("__low")).agg(F.collect_list(F.struct("form", "readings")).alias("__v"))
     clean = known_form(F.coalesce("clean", "value"))
-    t = tokens.withColumns({"__f": clean, "__low": F.lower(clean)})
-    t = t.join(by_form.withColumnsRenamed({"form": "__f", "readings": "__a"}), "__f", "left")
-    t = t.join(by_form.withColumnsRenamed({"form": "__low", "readings": "__b"}), "__low", "left")
+    t = tokens.withColumns({"__f": clean, "__low": F.lower(clean)}).join(by_low, "__low", "left")
+    of = lambda form: F.get(F.filter("__v", lambda x: x["form"] == F.col(form)), F.lit(0))["readings"]
+    t = t.withColumns({"__a": of("__f"), "__b": of("__low")}).drop("__v")
     kind = token_class(F.col("value"))
     lemma = F.when((kind == "unknown") & F.lit(not lemma_for_unknown), "").otherwise(F.coalesce("clean", "value"))
     fallback = F.when(kind.isNotNull(), F.array(F.struct(lemma.alias("lemma"), kind.alias("tags"))))

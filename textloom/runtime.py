@@ -37,29 +37,30 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def cut_by(df: DataFrame, *keys: str, within: DataFrame | None = None) -> DataFrame:
-    """``cut``, partitioned by the keys, and the planner knows it: later joins and groupings
-    on them do not shuffle this side again. (An adaptive plan would lose the partitioning, so
-    this one step is planned without, in a session of its own.) Only rows with keys of ``within``
-    are kept, if given."""
+def cut(df: DataFrame, partitioned: bool = False) -> DataFrame:
+    """Materialise ``df`` in the shared folder and cut its lineage. ``partitioned``: the planner goes
+    on knowing how the rows are partitioned, so that joins and groupings on the same keys do not
+    shuffle them again. (An adaptive plan would lose that, so this one step is planned without, in a
+    session of its own.)"""
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df = df.repartition(n, *keys)
-    if within is not None:
-        df = df.join(within.repartition(n, *keys), list(keys), "left_semi")
     shared_folder(spark)
+    if not partitioned:
+        return df.checkpoint(eager=True)
     plan = lambda session, x: spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, x.queryExecution().logical())
     own = spark._jsparkSession.cloneSession()
     own.conf().set("spark.sql.adaptive.enabled", "false")
     return DataFrame(plan(spark._jsparkSession, plan(own, df._jdf).checkpoint(True)), spark)
 
 
+def cut_by(df: DataFrame, *keys: str, within: DataFrame | None = None) -> DataFrame:
+    """``cut``, partitioned by the keys. Only rows with keys of ``within`` are kept, if given."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.repartition(n, *keys)
+    if within is not None:
+        df = df.join(within.repartition(n, *keys), list(keys), "left_semi")
+    return cut(df, partitioned=True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Repartition only when the scan yields fewer partitions than there are cores.
 
