@@ -351,7 +351,7 @@ class Repairer:
         bad: set[str] = set()
         self.held_lines = {}
         for t, ws in zip(texts, odd):
-            if not t:
+            if t is None:
                 continue
             lines = self.held_lines[t] = set()
             if any(map(self.suspect.__getitem__, ws)):
