@@ -173,3 +173,13 @@ def test_gates_read_whole_texts(one):
     two = "перша колонка      друга колонка\n"
     assert not one(quality.two_columns, t=two * 3_200 + "рядок\n" * 5_000)
     assert one(quality.suspect_empty_lines, t="Рядок.\n" * 20_000 + "рядок,\n\nдалі\n" * 6)
+
+
+def test_giant_texts_in_chunks(spark):
+    lex = {k: spark.createDataFrame([(w,) for w in ("труба", "екс-глава", "загальновідоме")], "form string") for k in ("uk", "ru", "en")}
+    text = "трyба тут\nекс¬глава\n\nзагальновідо¬ме " * 40 + "x" * 300
+    df = spark.createDataFrame([(1, text, "a"), (2, "трyба", "b"), (3, None, "c"), (4, "", "d"), (5, text + "\n", "e")], "doc_id long, text string, other string")
+    want = {r.doc_id: (r.text, r.other, r.changed) for r in clean(df, lex, CleanConfig()).collect()}
+    for n in (64, 500):
+        got = {r.doc_id: (r.text, r.other, r.changed) for r in clean(df, lex, CleanConfig(chunk_chars=n)).collect()}
+        assert got == want

@@ -34,6 +34,9 @@ class CleanConfig:
     paragraph_delimiter: str = "auto"
     disabled_rules: frozenset[str] = field(default_factory=frozenset)
     merge_broken_i: bool = False
+    #: Texts longer than this are taken apart at line ends for the steps that rewrite them, and put
+    #: together again; 0 leaves them whole.
+    chunk_chars: int = 0
 
     def __post_init__(self):
         if self.mark_languages not in ("none", "mark", "cut"):

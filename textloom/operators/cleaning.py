@@ -49,7 +49,7 @@ def clean(df: DataFrame, lexicons: dict[str, DataFrame], config: CleanConfig = C
         status = F.when(quality.two_columns(F.col(text_col)), "two_columns").otherwise(status)
     df = df.withColumn("status", status)
     # the steps that ask the lexicon lie between the others, so all run in one Arrow pass
-    df = rewrite(df, plan(config), lexicons, text_col)
+    df = _in_chunks(df, config, lexicons, id_col, text_col) if config.chunk_chars else rewrite(df, plan(config), lexicons, text_col)
     status = F.col("status")
     if config.min_words:
         status = F.when(status != "ok", status).when(quality.ukrainian_words(F.col(text_col)) < config.min_words, "few_words").when(~quality.alphabet_ok(F.col(text_col), config.min_words), "few_letters").otherwise("ok")
@@ -61,6 +61,20 @@ def clean(df: DataFrame, lexicons: dict[str, DataFrame], config: CleanConfig = C
     return df.withColumn("changed", ~F.col(text_col).eqNullSafe(F.col(raw))).drop(raw, "__dos")
 
 
+def _in_chunks(df: DataFrame, config: CleanConfig, lexicons: dict[str, DataFrame], id_col: str, text_col: str) -> DataFrame:
+    """The rewriting steps with giant texts as several rows, so that they are cleaned in parallel and
+    no Arrow batch holds one whole. A word that is broken where two chunks meet stays broken."""
+    n = config.chunk_chars
+    giant = F.coalesce(F.length(text_col) > n, F.lit(False))
+    whole = rewrite(df.filter(~giant), plan(config), lexicons, text_col)
+    pieces = F.regexp_extract_all(text_col, F.lit(rf"(?s).{{1,{n}}}(?:\n|\z)|.{{1,{n}}}"), F.lit(0))
+    parts = df.filter(giant).select(*(c for c in df.columns if c != text_col), F.posexplode(pieces).alias("__part", text_col))
+    parts = rewrite(parts, plan(config), lexicons, text_col)
+    others = [F.first(c).alias(c) for c in df.columns if c not in (id_col, text_col)]
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__part", text_col))), lambda x: x[text_col]), "").alias(text_col)
+    return whole.unionByName(parts.groupBy(id_col).agg(*others, joined))
+
+
 def repeated_footers(df: DataFrame, least: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` without the footers of journal pages: lines that stand ``least`` times or more in a
     document when their page number is taken off, and lines of copyright or ISSN. Captions
