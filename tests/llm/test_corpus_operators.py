@@ -42,6 +42,13 @@ def test_ids_of_rows(spark):
     assert tokenize_ids.decode(tokenize_ids.token_bytes() and [0][:0]) == ""
 
 
+def test_spans_of_rows(spark):
+    df = spark.createDataFrame([(1, "слово 👩‍🔬"), (2, None), (3, ""), (4, "a" * 5000)], "doc_id long, text string").withColumn("starts", F.lit("clash")).withColumn("id", F.lit(9))
+    got = {r.doc_id: (r.starts, r.ends) for r in tokenize_ids.spans(df).collect()}
+    assert got[2] == ([], []) and got[3] == ([], []) and got[1][0][0] == 0 and got[1][1][-1] == len("слово 👩‍🔬") and got[4][1][-1] == 5000
+    assert all(a < b for a, b in zip(*got[1]))
+
+
 def test_byte_alphabet():
     t = tokenize_ids.byte_alphabet()
     assert len(set(t.values())) == 256 and t[ord("a")] == "a" and t[32] == "Ġ" and t[10] == "Ċ"

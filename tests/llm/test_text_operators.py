@@ -71,6 +71,13 @@ def test_alike_pairs(spark):
     assert {r.request_id: r.print_text for r in print_form.normalise(requests(spark, ["é", None, ""])).collect()} == {0: "é", 1: None, 2: ""}
 
 
+def test_classes_of_texts(spark):
+    texts = ["Слово", "Cлово", "слово", None, "", "Слово", "Слoво", "​"]
+    got = {r.request_id: (r.class_id, r.n_variants, r.n_texts) for r in print_form.members(requests(spark, texts)).collect()}
+    assert got == {0: (0, 3, 4), 1: (0, 3, 4), 5: (0, 3, 4), 6: (0, 3, 4), 2: (2, 1, 1)}
+    assert print_form.members(requests(spark, [None])).count() == 0
+
+
 # sentences (problem 3)
 
 
