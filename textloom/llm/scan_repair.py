@@ -39,6 +39,8 @@ LEAST_SHARE, LEAST_COUNT = 2e-6, 3
 #: Costs in nats: a confusion, a word that nobody knows (in small letters, capitalised),
 #: a lost or added blank, a hyphen that is no word break, how much a repair must gain.
 CONFUSION, SURELY, UNKNOWN, UNKNOWN_NAME, LOST_BLANK, ADDED_BLANK, SUSPENDED, GAIN = 2.7, 2.2, 16.2, 13.7, 5.0, 8.0, 10.5, 1.0
+#: By how much a word outside the lexicon is less likely than its count says.
+OUTSIDE = 1.5
 #: Confusions in a word, and pieces of a word that blanks have parted.
 CONFUSIONS, PIECES = 2, 3
 LEXICON_SHARE = 1e-5
@@ -411,11 +413,12 @@ def _one(text: str, vocab: Vocabulary, starts: bool) -> Reading:
     own, cost, word = vocab.word(low)
     asis = min(own, UNKNOWN_NAME if w[:1].isupper() and not starts else UNKNOWN)
     # a trailing ! or * may be a letter
-    if text[b : b + 1] in ("!", "*") and own == math.inf:
+    if text[b : b + 1] in ("!", "*") and low not in vocab.sure:
         _, more_cost, more = vocab.word(low + text[b])
         if more_cost < cost:
             b, cost, word = b + 1, more_cost, more
-    if cost + GAIN < asis:
+    # a word that only the corpus knows may be a misreading that recurs, the more so if the lexicon has the other
+    if cost + GAIN < asis + (OUTSIDE if own < math.inf and word in vocab.sure else 0.0):
         fixed = in_case(word, w, starts)
         return cost, text[:a] + fixed + text[b:], "misread", fixed
     if own == math.inf and w.isalpha():
