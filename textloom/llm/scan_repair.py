@@ -73,6 +73,9 @@ for _true, _read in PAIRS:
     BY_READ.setdefault(_read[0], []).append((_true, _read, SURELY if _read in SURE else CONFUSION))
 
 
+Reading = tuple[float, str, str | None, str]  # cost, text, damage and the repaired word (null if none)
+
+
 class Vocabulary:
     """Words with their cost as a tree of letters, and the parts of compounds with a hyphen."""
 
@@ -95,6 +98,17 @@ class Vocabulary:
                     node = node.setdefault(c, {})
                 node[""] = w
         self.memo: dict[str, tuple[float, float, str]] = {}
+        self.pieces: dict[tuple[str, bool], tuple[Reading, bool]] = {}
+
+    def piece(self, text: str, starts: bool) -> tuple[Reading, bool]:
+        """The reading of one piece by itself, and whether it begins with small letters that make no
+        known word."""
+        key = text, starts
+        if key not in self.pieces:
+            if len(self.pieces) > self.HELD:
+                self.pieces.clear()
+            self.pieces[key] = _one(text, self, starts), _unknown(text, self)
+        return self.pieces[key]
 
     def word(self, w: str) -> tuple[float, float, str]:
         """Cost of a word in small letters as it is (infinite if nobody knows it); least cost through
@@ -350,7 +364,6 @@ def repair(text: str | None, vocab: Vocabulary) -> tuple[list[tuple[int, str, st
 
 
 Piece = tuple[int, str, bool]  # line, text, whether a line end follows
-Reading = tuple[float, str, str | None, str]  # cost, text, damage and the repaired word (null if none)
 
 
 def _decode(lines: list[Line], vocab: Vocabulary, damage: list[tuple[int, str, str]]) -> list[str]:
@@ -366,15 +379,16 @@ def _decode(lines: list[Line], vocab: Vocabulary, damage: list[tuple[int, str, s
         if best[i] + r[0] < best[j]:
             best[j], back[j] = best[i] + r[0], (i, r)
 
+    alone = [vocab.piece(text, first) for (_, text, _), first in zip(pieces, starts)]
     for i, (_, text, ends) in enumerate(pieces):
-        one = _one(text, vocab, starts[i])
+        one = alone[i][0]
         arc(i, i + 1, one)
         if i + 1 < n:
             if ends and _WRAP.search(text):
                 joined = _join(text, pieces[i + 1][1], vocab, starts[i])
                 if joined:
                     arc(i, i + 2, joined)
-            elif one[0] >= min(UNKNOWN, UNKNOWN_NAME) or _unknown(pieces[i + 1][1], vocab):
+            elif one[0] >= min(UNKNOWN, UNKNOWN_NAME) or alone[i + 1][1]:
                 for j in range(i + 2, min(n, i + PIECES) + 1):
                     merged = _merge([t for _, t, _ in pieces[i:j]], vocab, starts[i])
                     if merged:
