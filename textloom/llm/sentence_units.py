@@ -38,6 +38,7 @@ HELD = 200_000
 FINAL = {"etc", "usw", "itd", "itp", "ін", "інш", "др", "пр", "проч", "под", "p.m", "a.m", "прим", "шт", "кг", "км"}
 MONTHS = {"januar", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember"}
 QUOTES = {"«": "»", "„": "“”", "“": "”", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "《": "》"}
+QUOTED = regex.compile("[" + regex.escape("".join({c for a, b in QUOTES.items() for c in a + b} | {'"'}), special_only=False) + "]")
 CLOSERS = "»”“\"'’)]」』）》"
 #: Share of all words from which a word is one of the most frequent: at most 1 / TOP_SHARE are.
 TOP_SHARE = 1e-4
@@ -139,7 +140,8 @@ def _pairs(text: str) -> list[tuple[int, int]]:
     """Places of the quotations and brackets that are closed in this paragraph."""
     out, open_ = [], []
     straight = -1
-    for i, c in enumerate(text):
+    for m in QUOTED.finditer(text):
+        i, c = m.start(), m.group()
         if open_ and c in QUOTES[text[open_[-1]]]:
             out.append((open_.pop(), i))
         elif c in QUOTES:
@@ -186,6 +188,11 @@ class Splitter:
         # nothing sure: short, never without a stop, and cut off after a consonant
         return len(w) <= LONG and c[2] >= (2 if low[-1] not in VOWELS else 8)
 
+    def surely_final(self, w: str) -> bool:
+        """Whether the corpus alone tells that the word ends sentences, abbreviation or not."""
+        c = self.corpus.get(w.lower())
+        return bool(c) and c[2] >= SURE_STOPS and c[0] + c[1] <= SURE_INSIDE * c[2] and c[7] > 0 and c[7] >= FINAL_SHARE * (c[2] - c[0] - c[1])
+
     def final(self, w: str) -> bool:
         """Whether the abbreviation also ends sentences: it does at the ends of paragraphs."""
         c = self._get(w.lower())[1]
@@ -245,7 +252,7 @@ class Splitter:
         if w[0].isdigit():
             only = text[start:a].strip() == w
             return not only and word_after(text, k).split("-")[0].lower() not in MONTHS
-        if not self.abbreviation(w):
+        if len(w) > 1 and self.surely_final(w) or not self.abbreviation(w):
             return True
         x = word_after(text, k)
         if after.isdigit():
