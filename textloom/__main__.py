@@ -33,6 +33,9 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--cut-output", help="folder for the Russian paragraphs that --mark-languages cut takes out")
     p.add_argument("--exclude", help="text file with the names of files that are not to be cleaned")
     p.add_argument("--as-is-output", help="folder for excluded and undecodable files as they were")
+    p.add_argument("--journal", action="store_true")
+    p.add_argument("--split-long-lines", action="store_true")
+    p.add_argument("--chunk-chars", type=int, default=0)
     p.add_argument("--no-disambig", action="store_true")
     p.add_argument("--newline", default=" ")
     p.add_argument("--preserve-whitespace", action="store_true")
@@ -59,7 +62,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.what == "clean":
         empty = lex.limit(0)
         lexicons = {"uk": lex, "ru": read(a.lexicon_ru) if a.lexicon_ru else empty, "en": read(a.lexicon_en) if a.lexicon_en else empty}
-        config = CleanConfig(min_words=a.min_words, simple=a.simple, mark_languages=a.mark_languages, disabled_rules=frozenset(a.disable))
+        config = CleanConfig(min_words=a.min_words, simple=a.simple, mark_languages=a.mark_languages, disabled_rules=frozenset(a.disable), journal=a.journal, split_long_lines=a.split_long_lines, chunk_chars=a.chunk_chars)
         raw = all_ = files.read_binary(spark, a.input[0])
         if a.exclude:
             raw = files.without_excluded(all_, spark.read.text(a.exclude).select(F.trim("value").alias("name")))

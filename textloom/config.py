@@ -34,6 +34,10 @@ class CleanConfig:
     paragraph_delimiter: str = "auto"
     disabled_rules: frozenset[str] = field(default_factory=frozenset)
     merge_broken_i: bool = False
+    #: Take out the footers of journal pages, abstracts and lists of references.
+    journal: bool = False
+    #: Part headings and long sentences of texts that are one long line.
+    split_long_lines: bool = False
     #: Texts longer than this are taken apart at line ends for the steps that rewrite them, and put
     #: together again; 0 leaves them whole.
     chunk_chars: int = 0

@@ -48,6 +48,10 @@ def clean(df: DataFrame, lexicons: dict[str, DataFrame], config: CleanConfig = C
     if not config.simple and not config.allow_two_columns:
         status = F.when(quality.two_columns(F.col(text_col)), "two_columns").otherwise(status)
     df = df.withColumn("status", status)
+    if config.journal:
+        df = native(repeated_footers(df, id_col=id_col, text_col=text_col), [C.abstracts], text_col)
+    if config.split_long_lines:
+        df = df.withColumn(text_col, F.coalesce(C.split_long_lines(F.col(text_col)), text_col))
     # the steps that ask the lexicon lie between the others, so all run in one Arrow pass
     df = _in_chunks(df, config, lexicons, id_col, text_col) if config.chunk_chars else rewrite(df, plan(config), lexicons, text_col)
     status = F.col("status")

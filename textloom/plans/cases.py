@@ -307,6 +307,13 @@ def _ranked(s, d, inputs):
     return disambig.rank_sentences(sents, rates, near).select("no", F.array_join(F.transform("tokens", lambda t: t["readings"][0]["tags"]), "|").alias("result"))
 
 
+# Journal pages, and what is left of them; a text of one long line.
+JOURNAL: list[Case] = [
+    ("Перша сторінка.\nВісник науки        12\nДруга сторінка.\nВісник науки        13\nТретя сторінка.\nВісник науки        14\n© Видавець", "Перша сторінка.\nДруга сторінка.\nТретя сторінка."),
+    ("Один раз        12\nслово", "Один раз        12\nслово"), ("Текст статті.\n\nAbstract\nShort text.\n\nДалі текст.", "Текст статті.\n\nДалі текст."), ("Таблиця 1        5\nТаблиця 1        6\nТаблиця 1        7", "Таблиця 1        5\nТаблиця 1        6\nТаблиця 1        7"),
+]
+_LONG = "Слово за словом іде довга розповідь про все на світі без кінця і краю аж до вечора. "
+ONE_LINE: list[Case] = [(_LONG * 15, (_LONG[:-1] + "\n") * 14 + _LONG), ("Коротко. Так.", "Коротко. Так.")]
 # Words as contexts (word, lemma, tags).
 CONTEXT_WORDS: list[Case] = [("Слово слово noun:inanim:n:v_naz", "слово"), ("Київ Київ noun:inanim:m:v_naz:prop:geo", "Київ"), ("2000-го 2000-й adj:m:v_rod:numr", "0-го"), ("1999 1999 number", "YY99"), ("— — punct", "-"), ("Азово–Чорноморський азово-чорноморський adj:m:v_naz", "Азово-Чорноморський")]
 # What a token has besides its tags, and the last column of its line.
@@ -391,6 +398,8 @@ CASES: dict[str, tuple[Runner, list[Case]]] = {f"case_{k}": (_cleaned(), v) for
     "case_decoding": (_decoded, DECODED),
     "case_split_words": (_cleaned(), [("урахув\nання тут", "урахування\n тут"), ("слово\nділо", "слово\nділо"), ("ми\nли.", "ми\nли.")]),
     "case_simple_mode": (_cleaned(simple=True), [("нашійTwitter", "нашійTwitter"), ("ураху-\nвання", "ураху-\nвання"), ("новоствореноі", "новоствореної"), ("-Агов", "- Агов")]),
+    "case_journal": (_cleaned(journal=True), JOURNAL),
+    "case_one_line": (_cleaned(split_long_lines=True), ONE_LINE),
     "case_disabled_rule": (_cleaned(disabled_rules=frozenset({"oi"})), [("новоствореноі", "новоствореноі")]),
     "case_ranking": (_ranked, RANKED),
     "case_context_words": (_column(lambda c: N.context_word(F.split(c, " ")[0], F.split(c, " ")[1], F.split(c, " ")[2])), CONTEXT_WORDS),
