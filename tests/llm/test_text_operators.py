@@ -1,5 +1,6 @@
 import random
 import unicodedata
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -221,6 +222,34 @@ def test_garbled_rows(spark):
     assert len(whole) == len(texts) and whole[len(texts) - 3] is None and "бабуся" in whole[len(texts) - 4]
 
 
+def test_margins_are_validated_on_all_lines(spark):
+    """Brute force over every clean line, most of them far into long texts."""
+    lines = [x for lang in ("uk", "ru", "be", "pl", "de") for s in SENTENCES[lang].split("\n") for x in (*s.split(", "), *s.split()) if not x.isascii()]
+    lines += ["Це слово cлово", "Cон", lines[0], "дуже ˝дивний рядок"]
+    texts = ["plain words of no use\n" * 1000 + "\n".join(lines[k::3]) for k in range(3)] + [None, "", "\n"]
+    model, margins = encoding_repair.fit(requests(spark, texts))
+    clean = [s for s in lines if char_model.clean_chars(*to_points(pa.array([s]))).all()]
+    assert len(clean) == len(lines) - 1
+    garbled = [encoding_repair.garble(s, encoding_repair.CHAINS[zlib.crc32(s.encode()) % len(encoding_repair.CHAINS)]) for s in clean]
+    pairs = [(s, g) for s, g in zip(clean, garbled) if g and g != s]
+    score = lambda w: model.scores([w])[0]
+    odd = lambda s: [w for w in s.split(" ") if not w.isascii()]
+    worst = [min(score(encoding_repair.readable(w)) / (len(w) + 1) for w in encoding_repair._ALL_BLANKS.split(g) if not w.isascii()) for _, g in pairs]
+    likely = [sum(map(score, odd(s))) / sum(len(w) + 1 for w in odd(s)) for s, _ in pairs]
+    suspects = np.quantile(np.clip(worst, *encoding_repair.SUSPECT_BOUNDS), 0.998)
+    legibly = np.quantile(np.clip(likely, *encoding_repair.READABLE_BOUNDS), 0.1)
+    assert margins[2:] == pytest.approx((suspects, legibly), abs=2e-4)
+    r = encoding_repair.Repairer(model, (0.0, 0.0, *margins[2:]))
+    gains = [(s, *r.line(x), kind) for kind, xs in ((0, [(s, s) for s in clean]), (1, pairs)) for s, x in xs]
+    for eight_bit, least in enumerate((2.0, 4.0)):
+        c = np.array([gain for _, was, gain, e, kind in gains if e == eight_bit and kind == 0 and was is not None])
+        b = np.array([gain for s, was, gain, e, kind in gains if e == eight_bit and kind == 1 and was == s])
+        cuts = np.arange(least, 30.0, 0.5)
+        wrong = np.array([3 * (c > x).sum() + (b <= x).sum() for x in cuts])
+        good = cuts[wrong == wrong.min()]
+        assert len(b) and margins[eight_bit] == good[len(good) // 2]
+
+
 # shapes (problem 4) and rule lists
 
 

@@ -4,8 +4,8 @@ A smoothed character n-gram model is trained on the clean lines of the corpus.
 Each word of a suspect line is read back through every candidate chain of encoding
 and decoding; a Viterbi pass over the line chooses, per word, the likeliest chain
 (a change of chain costs ``SWITCH``), and the line counts as garbled when the
-result is likelier than the line as it is by more than a margin that was validated on clean
-lines and on lines garbled for the purpose.
+result is likelier than the line as it is by more than a margin that was validated on all clean
+lines of the corpus and on the same lines garbled for the purpose.
 
 Defined cases: null, empty and ASCII-only texts have no garbled line, but for runs
 of question marks in place of words; a line with bytes that are lost for good
@@ -16,6 +16,9 @@ from __future__ import annotations
 
 import functools
 import re
+import zlib
+from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +48,12 @@ TWICE = (("utf-8", "ansi", "utf-8", "ansi"), ("utf-8", "cp1251", "utf-8", "cp125
 CHAINS = [(w, r) for w, rs in WRITTEN_READ.items() for r in rs] + list(TWICE)
 #: Nats for a change of chain between two words, and for a character lost in decoding.
 SWITCH, LOST = 6.0, 9.0
-#: Lines drawn to validate the margin (a bounded sample; the model itself counts all lines).
-VALIDATE_LINES = 1500
-#: Characters of a text that are drawn for it (excerpts; every text is judged whole).
-VALIDATE_CHARS = 20_000
+#: Lines that are garbled and judged together, for memory, when the margin is validated.
+VALIDATED = 2_000
+#: Margins to choose from; scores of words are counted in steps of ``STEP``.
+CUTS, STEP = np.arange(2.0, 30.0, 0.5), 1e-4
+#: Least margin for chains through UTF-8 and for 8-bit chains.
+LEAST = (2.0, 4.0)
 #: Texts whose words are scored together.
 TOGETHER = 500
 #: Log-probability per character under which a word makes its line suspect, and which the
@@ -374,56 +379,147 @@ class Repairer:
         return "\n".join(lines)
 
 
-def validate_margins(model: CharModel, lines: list[str]) -> tuple[float, ...]:
-    """The margins of chains through UTF-8 and of 8-bit chains: between the gain of clean
-    lines and of the same lines garbled with every chain, where the fewest go wrong; and the
-    scores of suspect and of readable words: those of nearly all garbled and clean lines."""
-    worst, likely = [], []
-    pairs = [(s, garble(s, CHAINS[n % len(CHAINS)])) for n, s in enumerate(lines)]
-    pairs = [(s, g) if g != s else (s, None) for s, g in pairs]
-    for s, g in pairs:
-        if g:
-            words = [w for w in _ALL_BLANKS.split(g) if not w.isascii()]
-            worst.append(min(x / (len(w) + 1) for w, x in zip(words, model.scores([readable(w) for w in words]))) if words else SUSPECT)
-            words = [w for w in _ALL_BLANKS.split(s) if not w.isascii()]
-            likely.append(model.scores(words).sum() / sum(len(w) + 1 for w in words) if words else READABLE)
-    suspects = float(np.clip(np.quantile(worst, 0.998), *SUSPECT_BOUNDS)) if worst else SUSPECT
-    legibly = float(np.clip(np.quantile(likely, 0.1), *READABLE_BOUNDS)) if likely else READABLE
-    r = Repairer(model, (0.0, 0.0, suspects, legibly))
-    clean, bad = ([], []), ([], [])
-    r.prepare([x for p in pairs for x in p])
-    for s, g in pairs:
-        was, gain, eight_bit = r.line(s)
-        if was is not None:
-            clean[eight_bit].append(gain)
-        if g:
-            was, gain, eight_bit = r.line(g)
-            if was == s:
-                bad[eight_bit].append(gain)
-    out = []
-    for least, c, b in zip((2.0, 4.0), clean, bad):
-        cuts = np.arange(least, 30.0, 0.5)
-        wrong = [3 * (np.array(c) > x).sum() + (np.array(b) <= x).sum() for x in cuts]
-        good = cuts[np.array(wrong) == min(wrong)]
-        out.append(float(good[len(good) // 2]) if b else 2 * least)
-    return out[0], out[1], suspects, legibly
-
-
-def fit(df: DataFrame, text_col: str = "text", id_col: str = "request_id") -> tuple[CharModel, tuple[float, ...]]:
-    """The model over all clean lines and its validated margins."""
-    model = train(df, text_col)
-    texts = df.filter(F.col(text_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(VALIDATE_LINES // 3).select(F.substring(text_col, 1, VALIDATE_CHARS).alias("text")).toArrow().column(0)
+def clean_lines(texts: pa.Array) -> list[str]:
+    """The clean lines of all texts that are not ASCII."""
     points, offs = to_points(texts)
     keep = clean_chars(points, offs) if len(points) else points
     lines = []
     for k, t in enumerate(texts.to_pylist()):
         good = keep[offs[k] : offs[k + 1]]
         start = 0
-        for x in t.split("\n"):
+        for x in t.split("\n") if t else ():
             if x and good[start] and not x.isascii():
                 lines.append(x)
             start += len(x) + 1
-    return model, validate_margins(model, lines[:VALIDATE_LINES])
+    return lines
+
+
+def _odd_words(line: str) -> list[str]:
+    return [w for w in _ALL_BLANKS.split(line) if not w.isascii()]
+
+
+def _trials(model: CharModel, lines: list[str]) -> list[tuple[str, str | None, int, float, float, float]]:
+    """Distinct lines; each as the chain that its checksum names garbles it, null if that leaves it as it
+    is or cannot be; how often it occurs; the score per character of its least likely garbled word and
+    that of its words as they are; a bound that the gain of its restoration is never under."""
+    times = Counter(lines)
+    garbled = {s: garble(s, CHAINS[zlib.crc32(s.encode()) % len(CHAINS)]) for s in times}
+    pairs = [(s, _odd_words(s), g, _odd_words(g)) for s, g in garbled.items() if g and g != s]
+    was, now = (list({w for p in pairs for w in p[i]}) for i in (1, 3))
+    good, bad = dict(zip(was, model.scores(was).tolist())), dict(zip(now, model.scores([readable(w) for w in now]).tolist()))
+    out = [(s, None, times[s], 0.0, 0.0, 0.0) for s, g in garbled.items() if not g or g == s]
+    for s, clean, g, odd in pairs:
+        likely = sum(good[w] for w in clean)
+        # the chain by itself is one of the readings
+        least = likely - SWITCH - sum(bad[w] for w in odd)
+        out.append((s, g, times[s], min(bad[w] / (len(w) + 1) for w in odd), likely / sum(len(w) + 1 for w in clean), least))
+    return out
+
+
+def _steps(bounds: tuple[float, float]) -> int:
+    return round((bounds[1] - bounds[0]) / STEP) + 1
+
+
+def _step(x: float, bounds: tuple[float, float]) -> int:
+    return round((min(max(x, bounds[0]), bounds[1]) - bounds[0]) / STEP)
+
+
+def _count_scores(model: CharModel, lines: list[str], total: np.ndarray) -> None:
+    """Count the scores of garbled and of clean words, in steps between their bounds."""
+    first = _steps(SUSPECT_BOUNDS)
+    for _, g, n, worst, likely, _ in _trials(model, lines):
+        if g:
+            total[_step(worst, SUSPECT_BOUNDS)] += n
+            total[first + _step(likely, READABLE_BOUNDS)] += n
+
+
+def _quantile(total: np.ndarray, share: float, bounds: tuple[float, float], default: float) -> float:
+    """The quantile of scores counted in steps, between two of them by their distance."""
+    n = int(total.sum())
+    if not n:
+        return default
+    at = share * (n - 1)
+    a, b = np.searchsorted(np.cumsum(total), [int(at), min(int(at) + 1, n - 1)], side="right")
+    return float(round(bounds[0] + STEP * (a + (b - a) * (at - int(at))), 6))
+
+
+def _count_gains(model: CharModel, repairer: Repairer, lines: list[str], total: np.ndarray) -> None:
+    """Count, by chains through UTF-8 and 8-bit chains and by the number of cuts under them, the gains of clean
+    lines that would be changed and of garbled lines that are restored."""
+    total = total.reshape(2, 2, len(CUTS) + 1)
+    trials = _trials(model, lines)
+    # a line that surely gains more than every cut needs no reading
+    read = [g if g and least <= CUTS[-1] + 0.5 else None for _, g, _, _, _, least in trials]
+    repairer.prepare([t[0] for t in trials] + read)
+    for (s, g, n, *_), r in zip(trials, read):
+        was, gain, eight_bit = repairer.line(s)
+        if was is not None:
+            total[0, int(eight_bit), np.searchsorted(CUTS, gain)] += n
+        if r:
+            was, gain, eight_bit = repairer.line(r)
+            if was == s:
+                total[1, int(eight_bit), np.searchsorted(CUTS, gain)] += n
+        elif g:
+            total[1, int("utf-8" not in CHAINS[zlib.crc32(s.encode()) % len(CHAINS)]), -1] += n
+
+
+def _margins(total: np.ndarray) -> tuple[float, float]:
+    """The margins of chains through UTF-8 and of 8-bit chains: between the gains of clean and
+    of garbled lines, where the fewest go wrong."""
+    out = []
+    for least, clean, bad in zip(LEAST, *total.reshape(2, 2, len(CUTS) + 1)):
+        wrong = (3 * (clean.sum() - np.cumsum(clean)) + np.cumsum(bad))[:-1][CUTS >= least]
+        good = CUTS[CUTS >= least][wrong == wrong.min()]
+        out.append(float(good[len(good) // 2]) if bad.any() else 2 * least)
+    return out[0], out[1]
+
+
+def _over_lines(texts: DataFrame, start: Callable[[], Callable[[list[str], np.ndarray], None]], size: int) -> np.ndarray:
+    """``size`` counters over the clean lines of all texts; ``start`` gives a task what counts some lines."""
+
+    def run(batches):
+        count, total = start(), np.zeros(size, np.int64)
+        for b in batches:
+            for k in range(0, b.num_rows, TOGETHER):
+                lines = clean_lines(b.column(0).slice(k, TOGETHER))
+                for j in range(0, len(lines), VALIDATED):
+                    count(lines[j : j + VALIDATED], total)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["slot", "n"])
+
+    rows = texts.mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return out
+
+
+def validate_margins(texts: DataFrame, model: CharModel) -> tuple[float, ...]:
+    """The margins of chains through UTF-8 and of 8-bit chains, validated on all clean lines of
+    ``texts`` and on the same lines garbled; and the scores of suspect and of readable words: those of
+    nearly all garbled and clean lines. Two passes, of which only counters come back."""
+    held = texts.sparkSession.sparkContext.broadcast(model.counts)
+
+    def scores():
+        m = CharModel(held.value)
+        return lambda lines, total: _count_scores(m, lines, total)
+
+    first = _steps(SUSPECT_BOUNDS)
+    total = _over_lines(texts, scores, first + _steps(READABLE_BOUNDS))
+    words = _quantile(total[:first], 0.998, SUSPECT_BOUNDS, SUSPECT), _quantile(total[first:], 0.1, READABLE_BOUNDS, READABLE)
+
+    def gains():
+        m = CharModel(held.value)
+        r = Repairer(m, (0.0, 0.0, *words))
+        return lambda lines, total: _count_gains(m, r, lines, total)
+
+    return *_margins(_over_lines(texts, gains, 4 * (len(CUTS) + 1))), *words
+
+
+def fit(df: DataFrame, text_col: str = "text", id_col: str = "request_id") -> tuple[CharModel, tuple[float, ...]]:
+    """The model over all clean lines and its margins, validated on all of them."""
+    model = train(df, text_col)
+    texts = spread(df.select(F.col(text_col).alias("text")).filter("text is not null"))
+    return model, validate_margins(texts, model)
 
 
 def garbled_lines(df: DataFrame, id_col: str = "request_id", text_col: str = "text", fitted: tuple[CharModel, tuple[float, ...]] | None = None) -> DataFrame:
