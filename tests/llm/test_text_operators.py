@@ -334,6 +334,34 @@ def test_languages_held_out():
     assert (c.decode(c.margins(test)).argmax(1) == np.array(want)).all()
 
 
+def test_languages_are_fitted_on_all_labelled_rows(spark):
+    """Brute force over all paragraphs: more rows than 4,000, one of them long, some with a wrong label."""
+    r = random.Random(3)
+    some = lambda lang: " ".join(r.choices(SENTENCES[lang].split(), k=8))
+    rows = [(lang, f"{some(lang)}\n\n{some('ru' if n % 9 == 0 else lang)}") for lang in languages.LANGUAGES for n in range(370)]
+    rows.append(("uk", "\n\n".join([*(some("uk") for _ in range(150)), SENTENCES["uk"].split("\n")[0] + " щґюжщ"])))
+    assert len(rows) > 4000 and len(rows[-1][1]) > 5000
+    df = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(rows)] + [(-1, None, "uk"), (-2, "", "uk"), (-3, UK, None)], "request_id long, text string, lang string")
+    c = languages.fit(df)
+    # a word at the end of the long text is known
+    assert (c.weights[languages.features(["щґюжщ "])[0]] != 0).any(2).all()
+    found = [(p, languages.LANGUAGES.index(lang)) for lang, t in rows for p in languages.paragraphs(encoding_repair.legible(t)) if len(p) > 30]
+    e, seeds = languages.Examples([p for p, _ in found], np.array([k for _, k in found])), languages._seeds()
+    every = np.ones(len(seeds.langs), bool)
+    held, held_seeds = np.array([zlib.crc32(p.encode()) % 4 == 0 for p, _ in found]), np.cumsum(every) % 4 == 0
+    want = languages._fit(seeds, every)
+    for _ in range(2):
+        agree = want.decode(want.margins([p for p, _ in found])).argmax(1) == e.langs
+        assert 0.5 < agree.mean() < 1
+        rest, own = (languages._counts(e, agree & x) + languages._counts(seeds, y) for x, y in ((~held, ~held_seeds), (held, held_seeds)))
+        w = languages._weights(rest)
+        right = np.concatenate([languages._margins(x, use, w) * languages.codewords()[x.langs] > 0 for x, use in ((e, agree & held), (seeds, held_seeds))])
+        langs, use = np.concatenate([e.langs, seeds.langs]), np.concatenate([agree & held, held_seeds])
+        trust = [(right[use & (langs == k)].sum(0) + 0.9 * 8) / ((use & (langs == k)).sum() + 8) for k in range(len(languages.LANGUAGES))]
+        want = languages.Classifier(languages._weights(rest + own), np.array(trust) ** 2)
+    assert np.array_equal(c.weights, want.weights) and np.allclose(c.trust, want.trust, atol=0.01)
+
+
 def test_mislabelled(spark):
     ru, uk, en = (SENTENCES[x].split("\n")[0] for x in ("ru", "uk", "en"))
     rows = [(1, uk, "uk-UA"), (2, ru, "UK"), (3, f"{uk}\n \n{ru}\n\n\n{en}", None), (4, None, "uk"), (5, "", "uk"), (6, "Коротко", "ru"), (7, uk, "und"), (8, uk, "")]

@@ -7,9 +7,9 @@ by how well they were predicted for that language on held-out texts; a small lea
 second language marks the result as ambiguous. A paragraph whose sentences are in several
 languages is divided into segments by a Viterbi pass over its sentences.
 
-The classifiers are fitted on the seeds and on a bounded sample of labelled rows
-(``LABELLED`` texts, of each an excerpt of at most ``LABELLED_CHARS``). Labels are often wrong, so a sampled paragraph counts only if
-the classifier fitted so far agrees with its label.
+The classifiers are fitted on the seeds and on all labelled rows, by passes of which only counters
+come back. Labels are often wrong, so a paragraph counts only if the classifier fitted so far
+agrees with its label.
 
 Defined cases: null, empty and blank texts have no paragraph; a paragraph with fewer
 than ``LEAST_LETTERS`` letters, or of a text that is junk, has no language.
@@ -19,6 +19,9 @@ from __future__ import annotations
 
 import functools
 import re
+import zlib
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,9 @@ from textloom.llm.seeds import SENTENCES
 from textloom.runtime import spread
 
 LANGUAGES = list(SENTENCES)
-BITS, SLOTS, LABELLED, LABELLED_CHARS = 24, 1 << 16, 4000, 5_000
+BITS, SLOTS = 24, 1 << 16
+#: Rounds in which the classifier is fitted to the labels that it agrees with.
+ROUNDS = 2
 #: A quarter of the training texts is held out to measure the bits.
 HELD_OUT = 4
 #: Share of right bits to expect before any is measured, and texts that it counts for.
@@ -170,11 +175,15 @@ class Examples:
         return self.slots[keep], self.row[keep]
 
 
-def _weights(e: Examples, use: np.ndarray) -> np.ndarray:
-    """Weights of the n-grams for each bit, from the examples in use."""
+def _counts(e: Examples, use: np.ndarray) -> np.ndarray:
+    """Languages x SLOTS: how often the examples in use have each n-gram."""
     slots, row = e.only(use)
     flat = (e.langs[row][:, None] * SLOTS + slots).ravel()
-    counts = np.bincount(flat, minlength=len(LANGUAGES) * SLOTS).reshape(len(LANGUAGES), SLOTS).astype(float)
+    return np.bincount(flat, minlength=len(LANGUAGES) * SLOTS).reshape(len(LANGUAGES), SLOTS)
+
+
+def _weights(counts: np.ndarray) -> np.ndarray:
+    """Weights of the n-grams for each bit, from how often each language has them."""
     # every language has the same weight, however many texts it has
     p = counts / np.maximum(counts.sum(1, keepdims=True), 1)
     codes = codewords()
@@ -197,18 +206,31 @@ def _margins(e: Examples, use: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.bincount(row, minlength=len(out)), 1)[:, None]
 
 
+def _held_out(use: np.ndarray) -> np.ndarray:
+    return use & (np.cumsum(use) % HELD_OUT == 0)
+
+
+def _right(e: Examples, held: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Languages x (BITS + 1): of the held-out examples, those for which each bit is right, and all."""
+    right = np.ones((len(e.langs), BITS + 1), np.int64)
+    right[:, :BITS] = _margins(e, held, weights) * codewords()[e.langs] > 0
+    return np.stack([right[held & (e.langs == k)].sum(0) for k in range(len(LANGUAGES))])
+
+
+def _classifier(counts: np.ndarray, right: np.ndarray) -> Classifier:
+    """The classifier of n-gram counts, its bits trusted as they are right on held-out examples."""
+    trust, n = np.ones((len(LANGUAGES), BITS)), right[:, BITS:]
+    some = n[:, 0] > 0
+    trust[some] = ((right[some, :BITS] + TRUSTED * SMOOTH) / (n[some] + SMOOTH)) ** 2
+    return Classifier(_weights(counts), trust)
+
+
 def _fit(e: Examples, use: np.ndarray) -> Classifier:
     """The classifier of the examples in use; how far its bits are trusted is measured by
     weights that have not seen the held-out quarter, on that quarter."""
-    held = use & (np.cumsum(use) % HELD_OUT == 0)
-    codes = codewords()
-    right = _margins(e, held, _weights(e, use & ~held)) * codes[e.langs] > 0
-    c = Classifier(_weights(e, use), np.ones((len(LANGUAGES), BITS)))
-    for k in range(len(LANGUAGES)):
-        at = held & (e.langs == k)
-        if at.any():
-            c.trust[k] = ((right[at].sum(0) + TRUSTED * SMOOTH) / (at.sum() + SMOOTH)) ** 2
-    return c
+    held = _held_out(use)
+    rest = _counts(e, use & ~held)
+    return _classifier(rest + _counts(e, held), _right(e, held, _weights(rest)))
 
 
 def label(c: Column) -> Column:
@@ -222,19 +244,97 @@ def paragraphs(text: str) -> list[str]:
     return [p for p in _BREAK.split(text) if p.strip()]
 
 
-def fit(df: DataFrame, id_col: str = "request_id", text_col: str = "text", lang_col: str = "lang") -> Classifier:
-    """The classifier of the seeds and of a bounded sample of labelled rows."""
-    known = df.select(id_col, F.col(text_col).alias("text"), label(F.col(lang_col)).alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isin(LANGUAGES))
-    rows = known.orderBy(F.xxhash64(id_col), id_col).limit(LABELLED).select(F.substring("text", 1, LABELLED_CHARS).alias("text"), "lang").toArrow().to_pylist()
+def _seeds() -> Examples:
+    """The seeds, each whole and in sentences."""
     seed = [(s, k) for k, lang in enumerate(LANGUAGES) for s in SENTENCES[lang].split("\n")]
     seed = [(x, k) for s, k in seed for x in (s, *re.split(r"(?<=[.。।])", s)) if x.strip()]
-    more = [(p, LANGUAGES.index(r["lang"])) for r in rows for p in paragraphs(legible(r["text"])) if len(p) > 30]
-    e = Examples([x for x, _ in seed + more], np.array([k for _, k in seed + more], int))
-    use = np.arange(len(e.langs)) < len(seed)
-    c = _fit(e, use)
-    for _ in range(2):
-        agree = c.decode(_margins(e, np.ones(len(use), bool), c.weights)).argmax(1) == e.langs
-        c = _fit(e, agree | (np.arange(len(use)) < len(seed)))
+    return Examples([x for x, _ in seed], np.array([k for _, k in seed], int))
+
+
+def _labelled(b: pa.RecordBatch) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Paragraphs of labelled texts, their languages, and which are held out; some texts at a time."""
+    for k in range(0, b.num_rows, TOGETHER):
+        part = b.slice(k, TOGETHER)
+        found = [(p, LANGUAGES.index(lang)) for t, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for p in paragraphs(legible(t)) if len(p) > 30]
+        if found:
+            yield [p for p, _ in found], np.array([k for _, k in found]), np.array([zlib.crc32(p.encode()) % HELD_OUT == 0 for p, _ in found])
+
+
+def _count_labelled(c: Classifier, texts: list[str], langs: np.ndarray, held: np.ndarray, total: np.ndarray) -> None:
+    """Count the n-grams of the paragraphs with whose labels the classifier agrees, by whether
+    they are held out and by language."""
+    total = total.reshape(2, len(LANGUAGES), SLOTS)
+    agree = c.decode(c.margins(texts)).argmax(1) == langs
+    words: dict[tuple[int, int], Counter[str]] = defaultdict(Counter)
+    for t, k, h in zip(np.array(texts, object)[agree], langs[agree], held[agree]):
+        words[int(h), int(k)].update(t.split())
+    for at, n in words.items():
+        each, times = list(n), np.fromiter(n.values(), np.int64, len(n))
+        for j in range(0, len(each), 20_000):  # in slices, for memory
+            slots, row = features([w + " " for w in each[j : j + 20_000]])
+            total[at] += np.bincount(slots.ravel(), np.repeat(times[j + row], 3), minlength=SLOTS).astype(np.int64)
+
+
+def _count_right(c: Classifier, part: Classifier, texts: list[str], langs: np.ndarray, held: np.ndarray, total: np.ndarray) -> None:
+    """Count, by language, the held-out paragraphs with whose labels ``c`` agrees for which each bit is right
+    by ``part``, and all of them."""
+    if held.any():
+        texts, langs = [t for t, h in zip(texts, held) if h], langs[held]
+        agree = c.decode(c.margins(texts)).argmax(1) == langs
+        right = np.ones((len(texts), BITS + 1), np.int64)
+        right[:, :BITS] = part.margins(texts) * codewords()[langs] > 0
+        np.add.at(total.reshape(len(LANGUAGES), BITS + 1), langs[agree], right[agree])
+
+
+def _over_labelled(known: DataFrame, start: Callable[[], Callable], size: int) -> np.ndarray:
+    """``size`` counters over the paragraphs of all labelled texts; ``start`` gives a task what counts some of them."""
+
+    def run(batches):
+        count, total = start(), np.zeros(size, np.int64)
+        for b in batches:
+            for some in _labelled(b):
+                count(*some, total)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["slot", "n"])
+
+    rows = known.mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return out
+
+
+def _refit(known: DataFrame, e: Examples, c: Classifier) -> Classifier:
+    """The classifier of the seeds and of all labelled paragraphs with whose labels ``c`` agrees. A
+    quarter of the paragraphs, chosen by their checksums, is held out to measure the bits."""
+    sc = known.sparkSession.sparkContext
+    all_ = np.ones(len(e.langs), bool)
+    held = _held_out(all_)
+    before = sc.broadcast((c.weights, c.trust))
+
+    def agreeing():
+        c = Classifier(*before.value)
+        return lambda *some: _count_labelled(c, *some)
+
+    counts = _over_labelled(known, agreeing, 2 * len(LANGUAGES) * SLOTS).reshape(2, len(LANGUAGES), SLOTS)
+    counts += np.stack([_counts(e, ~held), _counts(e, held)])
+    rest = _weights(counts[0])
+    part = sc.broadcast(rest)
+
+    def right():
+        c, p = Classifier(*before.value), Classifier(part.value, before.value[1])
+        return lambda *some: _count_right(c, p, *some)
+
+    measured = _over_labelled(known, right, len(LANGUAGES) * (BITS + 1)).reshape(len(LANGUAGES), BITS + 1)
+    return _classifier(counts.sum(0), measured + _right(e, held, rest))
+
+
+def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Classifier:
+    """The classifier of the seeds and of all labelled rows."""
+    known = spread(df.select(F.col(text_col).alias("text"), label(F.col(lang_col)).alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isin(LANGUAGES)))
+    e = _seeds()
+    c = _fit(e, np.ones(len(e.langs), bool))
+    for _ in range(ROUNDS):
+        c = _refit(known, e, c)
     return c
 
 
@@ -327,7 +427,7 @@ def _run(df: DataFrame, id_col: str, text_col: str, lang_col: str, found, column
     """``(id, label, columns...)`` of what ``found`` gives for texts: garbled lines are restored
     first, texts that are junk are left out; one Arrow pass."""
     fitted = fit_encoding(df, text_col, id_col)
-    c = fit(df, id_col, text_col, lang_col)
+    c = fit(df, text_col, lang_col)
     learned = quality.learn_shapes(df, quality.common_words(df, text_col), fitted, id_col, text_col)
     held = df.sparkSession.sparkContext.broadcast((fitted[0].counts, fitted[1], c.weights, c.trust, learned))
 
