@@ -218,13 +218,18 @@ def readable(word: str) -> str:
 
 
 
+@functools.cache
+def _ansi_chars() -> dict[int, str]:
+    """Byte -> character, the inverse of ``_ansi``."""
+    return {b: chr(c) for c, b in _ansi().items()}
+
+
 def garble(s: str, chain: tuple[str, ...]) -> str | None:
     """What ``s`` looks like after ``chain``; null if it cannot be written so."""
-    back = {b: chr(c) for c, b in _ansi().items()}
     for written, read in zip(chain[::2], chain[1::2]):
         try:
             raw = s.encode(written)
-            s = "".join(back[b] for b in raw) if read == "ansi" else raw.decode(read)
+            s = raw.decode("latin-1").translate(_ansi_chars()) if read == "ansi" else raw.decode(read)
         except (UnicodeEncodeError, UnicodeDecodeError):
             return None
     return s
@@ -395,7 +400,7 @@ def clean_lines(texts: pa.Array) -> list[str]:
 
 
 def _odd_words(line: str) -> list[str]:
-    return [w for w in _ALL_BLANKS.split(line) if not w.isascii()]
+    return [w for w in line.replace("\t", " ").replace("\r", " ").split(" ") if not w.isascii()]
 
 
 def _trials(model: CharModel, lines: list[str]) -> list[tuple[str, str | None, int, float, float, float]]:
@@ -452,7 +457,8 @@ def _count_gains(model: CharModel, repairer: Repairer, lines: list[str], total:
     read = [g if g and least <= CUTS[-1] + 0.5 else None for _, g, _, _, _, least in trials]
     repairer.prepare([t[0] for t in trials] + read)
     for (s, g, n, *_), r in zip(trials, read):
-        was, gain, eight_bit = repairer.line(s)
+        # a line without a suspect word stays
+        was, gain, eight_bit = repairer.line(s) if repairer.held_lines[s] or "??" in s else (None, 0.0, False)
         if was is not None:
             total[0, int(eight_bit), np.searchsorted(CUTS, gain)] += n
         if r:
